@@ -449,3 +449,26 @@ def anova(df: DataFrame, value: str, factor: str, levels: list[str] | None = Non
     f = F.when((k > 1) & (N > k) & (F.col("ssw") > 0), (F.col("ssb") / (k - 1)) / (F.col("ssw") / (N - k)))
     return tot.select(F.lit(value).alias("value"), F.lit(factor).alias("factor"), "k", "N",
                       f.alias("f"), PV.f_sf_p(f, k - 1, N - k).alias("p_value"))
+
+
+def rank_statistics(df: DataFrame, numerics: list[str], categoricals: list[str],
+                    groups: dict[tuple[int, int], list[str]]) -> DataFrame:
+    """U (first level asc), its tie-corrected z (continuity, larger U) and Kruskal H per pair."""
+    _, per_level, per_pair = rank_sums(df, numerics, categoricals, groups)
+    w = Window.partitionBy("num", "cat").orderBy("level")
+    pl = per_level.withColumn("pos", F.row_number().over(w))
+    agg = pl.groupBy("num", "cat").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.max(F.when(F.col("pos") == 1, F.col("n"))).cast("double").alias("n1"),
+        F.max(F.when(F.col("pos") == 1, F.col("rank_sum"))).alias("r1"),
+        F.max(F.when(F.col("pos") == 2, F.col("n"))).cast("double").alias("n2"),
+        F.sum(F.pow(F.col("rank_sum"), 2) / F.col("n")).alias("r2_over_n")).join(per_pair, ["num", "cat"])
+    NN = F.col("N").cast("double")
+    u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    u_big = F.greatest(u1, F.col("n1") * F.col("n2") - u1)
+    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((NN + 1) - F.col("tie") / (NN * (NN - 1))))
+    h_den = 1 - F.col("tie") / (F.pow(NN, 3) - NN)
+    h = F.when(h_den > 0, (F.lit(12.0) / (NN * (NN + 1)) * F.col("r2_over_n") - 3 * (NN + 1)) / h_den)
+    return agg.select("num", "cat", "k", F.col("N").alias("n_total"), "n1", "n2", u1.alias("u"),
+                      F.when(sigma > 0, (u_big - F.col("n1") * F.col("n2") / 2 - 0.5) / sigma).alias("z"),
+                      h.alias("h"), "tie")
