@@ -1,9 +1,10 @@
 """Driver analysis: standardised OLS per KPI target (REG1–REG11).
 
-One **Gram pass** per target: every population covariance among the features
-and the target over the listwise-complete rows, in a single aggregate
-(``covar_pop``, JVM-side) — or, for very wide designs, per-batch centred
-cross-products from ``mapInPandas`` summed by ``(i, j)``.  The p × p system is
+One **Gram pass** per target: per Arrow batch (``mapInPandas``) the
+cross-products of the mean-shifted design, summed by ``(i, j)`` — p(p+1)/2
+partial sums per batch, so the shuffle does not grow with the rows.  (A
+single aggregate of ``covar_pop`` terms is kept as ``_gram_jvm``; it measured
+slower because its generated code outgrows whole-stage codegen.)  The p × p system is
 then solved on the driver (p is the number of features, not rows).
 
 Standardisation (ddof 0) is applied algebraically to the covariances:
@@ -30,7 +31,7 @@ from tablelens.sources.tables import q
 KPI_KEYWORDS = ["amount", "value", "revenue", "score", "rating", "spend", "purchase", "sales", "price",
                 "cost", "roi", "rate", "conversion", "frequency", "order", "click"]
 
-JVM_GRAM_MAX_FEATURES = 60
+JVM_GRAM_MAX_FEATURES = 60   # _gram_jvm (covar_pop aggregates) measured slower than batches
 
 
 def kpi_targets(numerics: list[str], targets: list[str] | None = None, max_targets: int = 3) -> list[str]:
@@ -162,8 +163,7 @@ def driver_analysis(df: DataFrame, numerics: list[str], eligible_cats: list[str]
             kinds.append("num")
             exprs.append(q(target).cast("double"))
             design = df.where(complete).select(*[e.alias(f"f{i}") for i, e in enumerate(exprs)])
-            gram = _gram_jvm if len(exprs) <= JVM_GRAM_MAX_FEATURES else _gram_batches
-            n, _, cov = gram(design, names + [target])
+            n, _, cov = _gram_batches(design, names + [target])
             p = len(names)
             if n < opts.min_model_rows or p < 1 or p >= n - 1:
                 continue

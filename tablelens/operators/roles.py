@@ -41,6 +41,9 @@ DATETIME_PATTERNS = [
     "HH:mm:ss",
 ]
 _SNIFF_MAX_LEN = 32
+# every pattern above starts with 1-4 digits and a separator: a cheap necessary test
+# that keeps non-date strings away from the (exception-driven) parsers
+_SNIFF_PREFIX = r"^[0-9]{1,4}[-/.:]"
 
 ROLE_NUMERIC, ROLE_CATEGORICAL, ROLE_DATETIME = "numeric", "categorical", "datetime"
 ROLE_ID, ROLE_TEXT, ROLE_NONE, ROLE_UNSUPPORTED = "id", "text", "none", "unsupported"
@@ -100,7 +103,7 @@ def column_profile(df: DataFrame) -> DataFrame:
         nn = F.count(c)
         if fam == "string":
             avg_len = F.avg(F.length(c)).cast("double")
-            short = F.length(c) <= _SNIFF_MAX_LEN
+            short = (F.length(c) <= _SNIFF_MAX_LEN) & c.rlike(_SNIFF_PREFIX)
             parsed = [F.count(F.when(short, F.try_to_timestamp(c, F.lit(p)))) for p in DATETIME_PATTERNS]
             dt_ok = (nn > 0) & (F.greatest(*parsed) == nn)
         else:
@@ -114,11 +117,11 @@ def column_profile(df: DataFrame) -> DataFrame:
     return wide.select("n_rows", F.inline("cols"))
 
 
-def column_roles(df: DataFrame, opts: Options = Options()) -> DataFrame:
+def column_roles(df: DataFrame, opts: Options = Options(), dist: DataFrame | None = None) -> DataFrame:
     """Role table: ordinal, column, dtype, family, role, n_rows, n_non_null,
-    n_missing, n_distinct, unique_ratio, avg_len (+ distinct rows of the table)."""
+    n_missing, n_distinct, unique_ratio, avg_len."""
     prof = column_profile(df)
-    dist = distinct_counts(df).where("ordinal >= 0")
+    dist = (dist if dist is not None else distinct_counts(df)).where("ordinal >= 0")
     t = prof.join(dist, "ordinal", "left")
     t = t.withColumn("n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long"))
     ratio = F.when(F.col("n_non_null") > 0, F.col("n_distinct") / F.col("n_non_null"))
@@ -171,10 +174,11 @@ class RoleInfo:
 
 def detect(df: DataFrame, opts: Options = Options()) -> tuple[DataFrame, RoleInfo]:
     """Role table as a DataFrame plus its driver-side copy (one row per column)."""
-    roles = column_roles(df, opts).cache()
+    dist = distinct_counts(df).cache()          # one row per column: small
+    roles = column_roles(df, opts, dist).cache()
     rows = [r.asDict() for r in roles.collect()]
     n_rows = rows[0]["n_rows"] if rows else df.count()
-    dup = distinct_rows(df)
+    dup = next((r["n_distinct"] for r in dist.where("ordinal = -1").collect()), 0)
     info = RoleInfo(n_rows=n_rows, n_cols=len(df.columns), n_duplicate_rows=n_rows - dup, columns=rows)
     return roles, info
 

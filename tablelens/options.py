@@ -35,7 +35,7 @@ class Options:
     # --- segmentation ---
     max_k: int = 10
     kmeans_restarts: int = 1          # reference: 10 restarts of k-means++; k-means|| init needs fewer
-    kmeans_max_iter: int = 30
+    kmeans_max_iter: int = 20
     seed: int = 42
     k_min: int = 2
     k_max: int = 6

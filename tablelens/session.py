@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (cuts lineage, survives executor loss).
+    """Materialise ``df`` as a parquet table in the checkpoint dir and read it back.
 
-    Used where later steps must see the *same* physical rows as earlier ones,
-    e.g. partition ids of a range-partitioned table.
+    Cuts lineage and survives executor loss: later steps see exactly the rows
+    written once (e.g. partition ids of a range-partitioned table), and the
+    plan is computed a single time (``checkpoint()`` would compute it twice).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tablelens-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
