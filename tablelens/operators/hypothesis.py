@@ -408,6 +408,8 @@ def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str],
                       F.lit("Mann-Whitney U (Bonferroni)").alias("method")))
         pu = pu.withColumn("keep", F.coalesce(F.col("p_raw") < F.col("bonferroni_alpha"), F.lit(False)))
         out.append(pu)
+    if not out:
+        return spark.createDataFrame([], _POSTHOC_SCHEMA)
     res = out[0] if len(out) == 1 else out[0].unionByName(out[1])
     return res.join(names, ["num", "cat"]).select(
         "num", "cat", "numeric", "categorical", "group1", "group2", "mean_diff", "statistic",
