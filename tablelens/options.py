@@ -39,6 +39,7 @@ class Options:
     seed: int = 42
     k_min: int = 2
     k_max: int = 6
+    sweep_parallelism: int = 4        # concurrent k-means fits in the K sweep
 
     # --- engine knobs (no effect on results) ---
     rank_partitions: int | None = None   # None: spark.sql.shuffle.partitions
