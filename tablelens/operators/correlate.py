@@ -1,7 +1,8 @@
 """Correlation stage (COR1–COR5): Pearson and Spearman, pairwise-complete.
 
-* Pearson: every ``corr(a, b)`` for i < j in **one** aggregate (``corr`` skips
-  rows with a null in the pair, like pandas).
+* Pearson: all pairs i < j in one pass of per-Arrow-batch co-moment matrices
+  under the pairwise non-null mask (rows with a null in the pair are skipped,
+  like pandas), summed by (i, j).
 * Spearman: Pearson on average ranks.  Ranks come from the distributed rank
   table.  A column without nulls is ranked once (context -1); a pair touching
   a nullable column is ranked on its own complete rows (context = pair).
@@ -13,8 +14,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.functions.columns import pair_label
 from tablelens.operators.ranks import rank_table, with_midrank
@@ -24,16 +28,59 @@ from tablelens.sources.tables import q
 _SCHEMA = ("i int, j int, col_i string, col_j string, n long, pearson double, spearman double")
 
 
+_MOMENT_SCHEMA = T.StructType([T.StructField(n, T.IntegerType() if n in ("i", "j") else T.DoubleType())
+                               for n in ("i", "j", "n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def pairwise_corr(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], tuple[int, float | None]]:
+    """Pairwise-complete Pearson r for all i < j of the (double) columns ``cols``.
+
+    Per Arrow batch, with M the non-null mask and X the mean-shifted values
+    (nulls as 0): counts MᵀM, sums XᵀM, squares (X²)ᵀM and cross-products XᵀX —
+    p(p-1)/2 rows of partial sums per batch, summed by (i, j).  One pass, no
+    per-pair aggregate buffers, shuffle independent of the row count.
+    """
+    p = len(cols)
+    means = df.agg(*[F.avg(F.col(c)).alias(f"m{k}") for k, c in enumerate(cols)]).first()
+    shift = np.array([means[f"m{k}"] or 0.0 for k in range(p)])
+    iu = np.triu_indices(p, 1)
+
+    def partial(batches):
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float) - shift
+            m = ~np.isnan(x)
+            x = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            n = mf.T @ mf
+            sx = x.T @ mf                      # sx[i, j] = Σ x_i over rows where j is present
+            sxx = (x * x).T @ mf
+            sxy = x.T @ x
+            yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "n": n[iu],
+                                "sx": sx[iu], "sy": sx.T[iu], "sxx": sxx[iu], "syy": sxx.T[iu], "sxy": sxy[iu]})
+
+    sums = (df.select(*cols).mapInPandas(partial, _MOMENT_SCHEMA)
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).collect())
+    out = {}
+    for r in sums:
+        n = r["n"]
+        if n < 2:
+            out[(r["i"], r["j"])] = (int(n), None)
+            continue
+        cxy = r["sxy"] - r["sx"] * r["sy"] / n
+        vx = r["sxx"] - r["sx"] ** 2 / n
+        vy = r["syy"] - r["sy"] ** 2 / n
+        out[(r["i"], r["j"])] = (int(n), float(cxy / np.sqrt(vx * vy)) if vx > 0 and vy > 0 else None)
+    return out
+
+
 def pearson(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     """(i, j, col_i, col_j, n, pearson) for all pairs i < j in ordinal order."""
-    items = []
-    for (i, a), (j, b) in combinations(columns, 2):
-        x, y = q(a).cast("double"), q(b).cast("double")
-        items.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("col_i"),
-                              F.lit(b).alias("col_j"),
-                              F.count_if(x.isNotNull() & y.isNotNull()).cast("long").alias("n"),
-                              F.corr(x, y).alias("pearson")))
-    return df.agg(F.array(*items).alias("p")).select(F.inline("p"))
+    names = [f"x{k}" for k in range(len(columns))]
+    base = df.select(*[q(c).cast("double").alias(n) for (_, c), n in zip(columns, names)])
+    res = pairwise_corr(base, names)
+    rows = [(columns[a][0], columns[b][0], columns[a][1], columns[b][1], *res[(a, b)])
+            for a, b in combinations(range(len(columns)), 2)]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, col_i string, col_j string, n long, pearson double")
 
 
 def spearman(df: DataFrame, columns: list[tuple[int, str]],
@@ -70,10 +117,14 @@ def spearman(df: DataFrame, columns: list[tuple[int, str]],
     wide = ranked.groupBy("rid").agg(*[
         F.max(F.when((F.col("col") == k) & (F.col("ctx") == c), F.col("midrank"))).alias(rname(k, c))
         for k, c in needed])
-    items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                      F.corr(F.col(rname(i, ctx_of[(i, j)])), F.col(rname(j, ctx_of[(i, j)]))).alias("spearman"))
-             for i, j in pairs]
-    return wide.agg(F.array(*items).alias("s")).select(F.inline("s"))
+    rcols = [rname(k, c) for k, c in needed]
+    res = pairwise_corr(wide.select(*rcols), rcols)
+    pos = {name: k for k, name in enumerate(rcols)}
+    rows = []
+    for i, j in pairs:
+        a, b = pos[rname(i, ctx_of[(i, j)])], pos[rname(j, ctx_of[(i, j)])]
+        rows.append((i, j, res[(min(a, b), max(a, b))][1]))
+    return df.sparkSession.createDataFrame(rows, "i int, j int, spearman double")
 
 
 def correlations(df: DataFrame, columns: list[tuple[int, str]],
