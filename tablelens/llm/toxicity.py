@@ -143,7 +143,7 @@ def _ratios(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
         level = levels[m].withColumn("ctx", F.expr(f"substring(s, 1, {m - 1})"))
         c = level.agg(F.sum((F.col("k") == 1).cast("long")).alias("a"), F.sum((F.col("k") == 2).cast("long")).alias("b")).first()
         disc = max(0.1, (c["a"] or 0) / max(1, (c["a"] or 0) + 2 * (c["b"] or 0)))
-        sums = level.groupBy("ctx").agg(F.sum("k").alias("K"), F.count(F.lit(1)).alias("T"))
+        sums = level.groupBy("ctx").agg(F.sum("k").alias("of"), F.count(F.lit(1)).alias("kinds"))
         level = level.join(sums, "ctx")
         if lower is None:
             back = F.lit(1.0 / chars)
@@ -151,8 +151,8 @@ def _ratios(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
             low = lower.select(F.col("s").alias("t"), F.col("p").alias("pb"))
             level = level.join(low, F.expr(f"substring(s, 2, {m - 1}) = t"))
             back = F.col("pb")
-        lower = level.select("s", ((F.greatest(F.col("k") - disc, F.lit(0.0)) + disc * F.col("T") * back)
-                                   / F.col("K")).alias("p"))
+        lower = level.select("s", ((F.greatest(F.col("k") - disc, F.lit(0.0)) + disc * F.col("kinds") * back)
+                                   / F.col("of")).alias("p"))
     lower = stable(lower)
     at = strings.withColumn("ctx", F.expr(f"substring(s, 1, {ORDER - 1})"))
     ctx = at.groupBy("ctx").agg(*[a for c in ("tox", "ordy") for a in (
