@@ -40,8 +40,8 @@ RANK_OFFSET = 2.7
 SPACE = "▁"
 #: Cells of (unit, place, length) looked up at once.
 CELLS = 3_000_000
-#: Edges of known units that a worker keeps (32 bytes each).
-MEMORY = 3_000_000
+#: Edges of known units that a worker keeps (24 bytes each).
+MEMORY = 2_000_000
 
 _GOLD, _M1, _M2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -183,7 +183,7 @@ class Lattices:
             at = stop
         row, src, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, froms, pieces))
         order = np.argsort(row, kind="stable")
-        self.row, self.src, self.piece = row, src, piece = row[order], src[order], piece[order]
+        self.row, self.src, self.piece = row, src, piece = [x[order].astype(np.int32) for x in (row, src, piece)]
         n_rows = len(flat)
         self.lo = np.r_[0, np.cumsum(np.bincount(row, minlength=n_rows))]
         weight = vocab.weight[np.maximum(self.piece, 0)]
@@ -208,7 +208,7 @@ class Lattices:
             total[here] = top + np.log(add)
             self.cond[edge] = term / np.repeat(add, count)
         run = np.cumsum(self.cond)
-        self.upto = run - np.repeat(np.r_[0, run][self.lo[:-1]], np.diff(self.lo))
+        self.upto = (run - np.repeat(np.r_[0, run][self.lo[:-1]], np.diff(self.lo))).astype(np.float32)
 
     def plus(self, other: Lattices) -> Lattices:
         """Both, with ``other``'s units, rows and edges numbered on."""
@@ -216,8 +216,8 @@ class Lattices:
         rows, edges = len(self.lo) - 1, len(self.src)
         out.last = np.concatenate([self.last, other.last + rows])
         out.lo = np.concatenate([self.lo[:-1], other.lo + edges])
-        out.row = np.concatenate([self.row, other.row + rows])
-        out.src = np.concatenate([self.src, np.where(other.src < 0, -1, other.src + rows)])
+        out.row = np.concatenate([self.row, other.row + np.int32(rows)])
+        out.src = np.concatenate([self.src, np.where(other.src < 0, other.src, other.src + np.int32(rows))])
         for name in ("piece", "cond", "upto"):
             setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
         return out
@@ -421,7 +421,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
-        for part in (p for b in batches for p in slices(b, "text", 2_000_000)):
+        for part in (p for b in batches for p in slices(b, "text", 500_000)):
             docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
             lat, results, kappa = sample_slice(texts, row_keys(docs_, seed), vocab, k)
             rows = []
@@ -441,7 +441,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
                        pa.array([decode_pieces(x, vocab) == t for x, t in zip(c[2], c[6])])]
                 names = ["doc_id", "sample", "n_pieces", "ids_crc32", "decodes", "log_prob", "perturbed", "inclusion"]
             else:
-                mid = [pa.array([x.tolist() for x in c[2]], pa.list_(pa.int32()))]
+                mid = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in c[2]]), pa.int32()),
+                                                pa.array(np.concatenate(c[2]), pa.int32()))]
                 names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"]
             yield pa.RecordBatch.from_arrays(head + mid + tail, names)
     schema = SAMPLES if not digest else ("doc_id long, sample int, n_pieces long, ids_crc32 long, decodes boolean, "
