@@ -6,8 +6,8 @@ features) + transition of neighbouring labels``, and Viterbi decoding gives the
 The words in content lines over all words is the content share, which decides retention.
 
 Training: documents of known quality (``labels.quality``) outside the held-out fold, at most
-``TRAIN_DOCS`` of them, chosen by hash, of at most ``TRAIN_LINES`` lines each (the documented bound
-of the sample; scoring has none). Lines of poor documents start as boilerplate, lines of good ones as
+``TRAIN_DOCS`` of them, chosen by hash, that pass the base rule and have at most ``TRAIN_LINES`` lines
+(the documented bound of the sample; scoring has none). Lines of poor documents start as boilerplate, lines of good ones as
 content; after each fit the poor documents' lines are decoded again, so that a clean line in a poor
 document becomes content. Weights maximise the conditional log-likelihood (forward-backward, Adam).
 
@@ -36,7 +36,7 @@ SYMBOLS = b"#*$%&|<>"
 
 FEATURES = ["any line", "no word", "1-3 words", "8 words or more", "60 words or more", "symbols > 2 %",
             "symbols > 10 %", "capitals > 30 %", "capitals > 70 %", "marks !? > 3 %", "digits > 20 %",
-            "letters < 70 %", "mean word > 12", "bars", "repeats an earlier line"]
+            "letters < 70 %", "no final mark", "mean word > 12", "bars", "repeats an earlier line"]
 
 #: Byte classes: 0 other, 1 blank, 2 small letter, 3 capital, 4 digit, 5 symbol, 6 ! or ?, 7 inside a character
 _CLASS = np.zeros(256, np.uint8)
@@ -74,6 +74,8 @@ class Lines:
         caps, symbols = per_line(kind == 3), per_line(kind == 5)
         letters = caps + per_line(kind == 2)
         marks, digits, bars = per_line(kind == 6), per_line(kind == 4), per_line(flat == ord("|"))
+        solid = np.maximum.accumulate(np.where(blank, -1, np.arange(len(flat))))
+        last = flat[np.maximum(solid[np.maximum(ends - 1, 0)], 0)]   # last character of the line that is no blank
         self.dup = np.zeros(len(ends), bool)
         at = 0
         for x in lines:
@@ -89,12 +91,13 @@ class Lines:
         self.features = np.stack([
             np.ones(len(ends), bool), words == 0, (words > 0) & (words <= 3), words >= 8, words >= 60,
             symbols > 0.02 * n, symbols > 0.1 * n, caps > 0.3 * np.maximum(letters, 1), caps > 0.7 * np.maximum(letters, 1),
-            marks > 0.03 * n, digits > 0.2 * n, letters < 0.7 * n,
+            marks > 0.03 * n, digits > 0.2 * n, letters < 0.7 * n, ~np.isin(last, list(b".!?\"")) & (words > 0),
             chars > 12 * np.maximum(words, 1), bars > 2, self.dup], axis=1)
         self.word_chars = np.bincount(doc, chars, len(texts)).astype(np.int64)
         self.n_symbols = np.bincount(doc, symbols, len(texts)).astype(np.int64)
         self.n_dup_lines = np.bincount(doc, self.dup, len(texts)).astype(np.int64)
         self.n_repeat_words = self._repeats(split)
+        self.failed = (self.n_words < 50) | (100 * self.n_repeat_words > 50 * self.n_words)
 
     def _repeats(self, split: list[list[bytes]]) -> np.ndarray:
         flat = list(chain.from_iterable(split))
@@ -211,7 +214,7 @@ def fit_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             x = Lines(part.column("text").to_pylist())
             mask = (x.features @ bits).astype(np.int32)
             edge = np.r_[0, np.cumsum(x.per_doc)]
-            keep = x.per_doc <= TRAIN_LINES
+            keep = (x.per_doc <= TRAIN_LINES) & ~x.failed
             lists = [mask[a:b].tolist() for a, b, k in zip(edge[:-1], edge[1:], keep) if k]
             yield pa.RecordBatch.from_arrays([part.column("good").filter(pa.array(keep)),
                                               pa.array(lists, pa.list_(pa.int32()))], ["good", "lines"])
@@ -239,9 +242,8 @@ def _judge(texts: list[str | None], field: ChainField, min_share: float) -> tupl
     label = field.decode(field.emissions(x.features), x.per_doc)
     doc = np.repeat(np.arange(len(texts)), x.per_doc)
     content = np.bincount(doc, x.words * (label == 0), len(texts)).astype(np.int64)
-    failed = (x.n_words < 50) | (100 * x.n_repeat_words > 50 * x.n_words)
     share = content / np.maximum(x.n_words, 1)
-    return x, {"failed": failed, "share": share, "label": label, "kept": ~failed & (share >= min_share),
+    return x, {"failed": x.failed, "share": share, "label": label, "kept": ~x.failed & (share >= min_share),
                "n_lines": x.per_doc, "n_boilerplate": np.bincount(doc, label, len(texts)).astype(np.int64)}
 
 
