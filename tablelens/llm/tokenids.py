@@ -40,8 +40,10 @@ MAGIC = b"S8BSEG01"
 #: Fixed values of the format: values per word and bits per value for selectors 1 to 15 (0: escape).
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-#: Ids that a segment holds before it is closed (one document is never cut).
+#: A segment is closed at so many ids (one slice of texts is never cut).
 SEGMENT_IDS = 1_000_000
+#: Text that is tokenized at once.
+SLICE_BYTES = 2_000_000
 
 
 # ---------------------------------------------------------------- Simple-8b
@@ -277,50 +279,37 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     """Tokenize ``docs``, write the segments in ascending id order and give the table that reads them back."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for part in (p for b in batches for p in slices(b, "text", 2_000_000)):
-            ids = [np.append(i, np.uint32(end_id)) for i in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-            lengths = np.array([len(i) for i in ids], np.int64)
-            words, first = encode(np.concatenate(ids), lengths)
-            edge = first[np.r_[0, np.cumsum(-(-lengths // BLOCK))]].astype(np.int64)
-            block = np.r_[0, np.cumsum(-(-lengths // BLOCK))]
-            raw = [words[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            offs = [(first[a:b + 1] - first[a]).astype("<u4").tobytes() for a, b in zip(block[:-1], block[1:])]
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), part.column("scan"), pa.array(lengths), pa.array(offs, pa.binary()),
-                pa.array(raw, pa.binary())], ["doc_id", "scan", "n_ids", "blocks", "words"])
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, seq, start = TaskContext.get().partitionId(), 0, 0
-        docs_, sizes, offs, words, held = [], [], [np.zeros(1, np.uint32)], [], 0
+        enc, here, seq, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []                                    # (doc ids, lengths, words, block offsets)
 
         def close():
-            first = np.concatenate(offs)
+            docs_, lengths, words, first = zip(*held)
+            shift = np.cumsum([0] + [len(w) for w in words]).astype(np.uint32)
+            offsets = np.concatenate([f[:-1] + s for f, s in zip(first, shift)] + [shift[-1:]])
+            lengths, docs_ = np.concatenate(lengths), [d for ds in docs_ for d in ds]
+            blob = pack_segment(docs_, lengths, np.concatenate(words), offsets)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
-                (here, seq, docs_[0], start, held,
-                 pack_segment(docs_, np.array(sizes, np.int64), np.concatenate(words), first)),
-                SEGMENTS_ARROW.types)], schema=SEGMENTS_ARROW)
-
-        for batch in batches:
-            for d, n, b, w in zip(batch.column("doc_id").to_pylist(), batch.column("n_ids").to_pylist(),
-                                  batch.column("blocks"), batch.column("words")):
-                if held and held + n > SEGMENT_IDS:
-                    yield close()
-                    seq, start = seq + 1, start + held
-                    docs_, sizes, offs, words, held = [], [], [np.zeros(1, np.uint32)], [], 0
-                docs_.append(d)
-                sizes.append(n)
-                offs.append(np.frombuffer(b.as_buffer(), "<u4")[1:] + offs[-1][-1])
-                words.append(np.frombuffer(w.as_buffer(), "<u8"))
-                held += n
+                (here, seq, docs_[0], start, int(lengths.sum()), blob), SEGMENTS_ARROW.types)], schema=SEGMENTS_ARROW)
+
+        for part in (p for b in batches for p in slices(b, "text", SLICE_BYTES)):
+            ids = enc.encode([t or "" for t in part.column("text").to_pylist()])
+            lengths = np.array([len(i) + 1 for i in ids], np.int64)
+            tail = np.full(1, end_id, np.uint32)
+            words, first = encode(np.concatenate([x for i in ids for x in (i, tail)]), lengths)
+            held.append((part.column("doc_id").to_pylist(), lengths, words, first))
+            if sum(int(x[1].sum()) for x in held) >= SEGMENT_IDS:
+                n = sum(int(x[1].sum()) for x in held)
+                yield close()
+                held, seq, start = [], seq + 1, start + n
         if held:
             yield close()
 
+    # The texts are ordered before they are tokenized: range bounds come from a pass over their rows, and a
+    # pass over tokenized rows would tokenize twice.
     rows = scan(docs, {"doc_id": (id_col, "long"), "text": (text_col, "string")}).withColumn(
         "scan", F.monotonically_increasing_id())
-    coded = rows.mapInArrow(tokenize, "doc_id long, scan long, n_ids long, blocks binary, words binary")
-    ordered = coded.repartitionByRange(parts, "doc_id", "scan").sortWithinPartitions("doc_id", "scan")
+    ordered = rows.repartitionByRange(parts, "doc_id", "scan").sortWithinPartitions("doc_id", "scan")
     return stable(ordered.mapInArrow(segments, SEGMENTS))
 
 
