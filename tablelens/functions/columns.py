@@ -23,12 +23,6 @@ def silhouette_label(v: Column) -> Column:
     return F.when(v > 0.5, F.lit("good")).when(v > 0.25, F.lit("fair")).otherwise(F.lit("poor"))
 
 
-def safe_div(num: Column, den: Column, otherwise=None) -> Column:
-    """num / den when den > 0, else ``otherwise`` (ANSI-safe)."""
-    other = F.lit(otherwise) if not isinstance(otherwise, Column) else otherwise
-    return F.when(den > 0, num / den).otherwise(other)
-
-
 def sample_skewness(g1: Column, n: Column) -> Column:
     """Adjusted Fisher-Pearson G1 from Spark's population skewness g1."""
     n = n.cast("double")

@@ -2,9 +2,7 @@
 
 One **Gram pass** per target: per Arrow batch (``mapInPandas``) the
 cross-products of the mean-shifted design, summed by ``(i, j)`` — p(p+1)/2
-partial sums per batch, so the shuffle does not grow with the rows.  (A
-single aggregate of ``covar_pop`` terms is kept as ``_gram_jvm``; it measured
-slower because its generated code outgrows whole-stage codegen.)  The p × p system is
+partial sums per batch, so the shuffle does not grow with the rows.  The p × p system is
 then solved on the driver (p is the number of features, not rows).
 
 Standardisation (ddof 0) is applied algebraically to the covariances:
@@ -19,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +29,25 @@ from tablelens.sources.tables import q
 KPI_KEYWORDS = ["amount", "value", "revenue", "score", "rating", "spend", "purchase", "sales", "price",
                 "cost", "roi", "rate", "conversion", "frequency", "order", "click"]
 
-JVM_GRAM_MAX_FEATURES = 60   # _gram_jvm (covar_pop aggregates) measured slower than batches
 
-
-def kpi_targets(numerics: list[str], targets: list[str] | None = None, max_targets: int = 3) -> list[str]:
-    """Targets: user list filtered to numerics, else keyword match, else first three (REG1)."""
-    if targets is None:
-        targets = [c for c in numerics
-                   if any(k in c.lower().replace(" ", "_").replace("(", "").replace(")", "") for k in KPI_KEYWORDS)]
-        if not targets:
-            targets = numerics[:3]
-    return [t for t in targets if t in numerics][:max_targets]
+def kpi_targets(spark: SparkSession, numerics: list[str], targets: list[str] | None = None,
+                opts: Options = Options()) -> list[str]:
+    """Targets (REG1): the user's, as far as they are numeric, else the numerics whose
+    name holds a KPI keyword, in table order; if there is none, the numerics
+    (the first ``fallback_targets``, if given)."""
+    names = spark.createDataFrame(list(enumerate(numerics)), "ordinal int, name string")
+    if targets is not None:
+        wanted = spark.createDataFrame(list(enumerate(targets)), "place int, name string")
+        chosen = names.join(wanted, "name").orderBy("place")
+    else:
+        plain = F.lower(F.regexp_replace("name", "[()]", ""))
+        marked = names.withColumn("kpi", plain.rlike("|".join(KPI_KEYWORDS)))
+        some = F.max("kpi").over(Window.partitionBy())           # as many rows as numeric columns
+        early = F.lit(True) if opts.fallback_targets is None else F.col("ordinal") < opts.fallback_targets
+        chosen = marked.withColumn("some", some).where("kpi OR NOT some").where(F.col("some") | early).orderBy("ordinal")
+    if opts.max_targets is not None:
+        chosen = chosen.limit(opts.max_targets)
+    return [r.name for r in chosen.collect()]
 
 
 def _levels(df: DataFrame, complete, cats: list[str]) -> dict[str, list[str]]:
@@ -53,23 +59,9 @@ def _levels(df: DataFrame, complete, cats: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {c: [] for c in cats}
     for r in rows:
         out[r["c"]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def _gram_jvm(df: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    p = len(names)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.col(f"f{i}")).alias(f"m{i}") for i in range(p)]
-    for i in range(p):
-        for j in range(i, p):
-            aggs.append(F.covar_pop(F.col(f"f{i}"), F.col(f"f{j}")).alias(f"c{i}_{j}"))
-    row = df.agg(*aggs).first()
-    n = row["n"]
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    return n, mean, cov
+    # in the order of the column's own type: 9 before 10
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    return {c: sorted(v, key=float) if c in numeric else sorted(v) for c, v in out.items()}
 
 
 def _gram_batches(df: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -126,7 +118,7 @@ def fit_standardised_ols(n: int, cov: np.ndarray, kinds: list[str], names: list[
     t = beta / np.maximum(se, 1e-10)
     pv = [t_two_sided(float(abs(x)), float(dfe)) for x in t]
     return {"beta": beta, "se": se, "t": t, "p": pv, "r2": r2, "adj_r2": adj, "f": f_stat,
-            "f_p": f_sf(f_stat, p, dfe) if f_stat > 0 else (1.0 if r2 < 1 else 0.0),
+            "f_p": f_sf(f_stat, p, dfe) if f_stat > 0 else 1.0,   # a perfect fit has no F, as in the reference
             "collinear": collinear, "rank": rank}
 
 
@@ -142,7 +134,7 @@ def driver_analysis(df: DataFrame, numerics: list[str], eligible_cats: list[str]
     spark = df.sparkSession
     models, drivers = [], []
     if len(numerics) >= 2:
-        for target in kpi_targets(numerics, targets, opts.max_targets):
+        for target in kpi_targets(spark, numerics, targets, opts):
             feats = [c for c in numerics if c != target]
             cats = eligible_cats[:opts.max_onehot_features]
             needed = [target] + feats + cats

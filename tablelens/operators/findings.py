@@ -112,8 +112,8 @@ def cluster_findings(summary: DataFrame, profile: DataFrame) -> DataFrame:
 def recommendations(spark: SparkSession, models: DataFrame | None, drivers: DataFrame | None,
                     tests: DataFrame | None, means: DataFrame | None, posthoc: DataFrame | None,
                     seg_info: dict | None, profile: DataFrame | None, hints: DataFrame | None,
-                    max_lines: int = 8) -> DataFrame:
-    """FND6–FND10: up to ``max_lines`` recommendations, or one fallback line."""
+                    max_lines: int | None = None) -> DataFrame:
+    """FND6–FND10: the recommendations (the first ``max_lines``, if given), or one fallback line."""
     parts = []
     if models is not None and drivers is not None:
         sig_models = models.where("model_significant").select("target")
@@ -164,7 +164,7 @@ def recommendations(spark: SparkSession, models: DataFrame | None, drivers: Data
                                        "no signal strong enough for a recommendation")], SCHEMA)
     allrec = reduce(DataFrame.unionByName, parts)
     ranked = allrec.withColumn("_o", F.row_number().over(Window.orderBy("seq", "rule", "subject"))) \
-        .where(F.col("_o") <= max_lines).drop("_o").cache()
+        .where(F.lit(True) if max_lines is None else F.col("_o") <= max_lines).drop("_o").cache()
     if ranked.limit(1).count() == 0:
         return spark.createDataFrame([("recommendation", "fallback", 99, None, None, None,
                                        "no signal strong enough for a recommendation")], SCHEMA)

@@ -25,20 +25,22 @@ def named_group_aggregate(df: DataFrame, key: str, spec: list[tuple[str, str, st
 def crosstab(df: DataFrame, row: str, col: str, col_levels: list[str] | None = None) -> DataFrame:
     """Counts of (row level, col level) including zero cells, long form (AGG14).
 
-    Built by ``pivot`` (the column levels are a bounded categorical list)
-    followed by an unpivot — no cross join.  Rows with a null in either key
-    are dropped, as ``pd.crosstab`` does.
+    One count per cell, left-joined to the grid of levels: every row level
+    takes the list of column levels, one value of the aggregate.  Rows with a
+    null in either key are dropped, as ``pd.crosstab`` does.
     """
     base = df.where(q(row).isNotNull() & q(col).isNotNull()).select(
         q(row).cast("string").alias("row_level"), q(col).cast("string").alias("col_level"))
+    counts = base.groupBy("row_level", "col_level").agg(F.count(F.lit(1)).alias("count"))
     if col_levels is None:
-        col_levels = [r[0] for r in base.select("col_level").distinct().orderBy("col_level").collect()]
-    wide = base.groupBy("row_level").pivot("col_level", col_levels).count().na.fill(0)
-    ids = ["row_level"]
-    long = wide.select("row_level", F.inline(F.array(*[
-        F.struct(F.lit(lv).alias("col_level"), F.col(f"`{lv}`").cast("long").alias("count"))
-        for lv in col_levels])))
-    return long.select(*ids, "col_level", "count")
+        levels = counts.agg(F.collect_set("col_level").alias("levels")).withColumn("grid", F.lit(1))
+        rows = (counts.select("row_level", F.lit(1).alias("grid")).distinct().join(levels, "grid")
+                .select("row_level", F.explode("levels").alias("col_level")))
+    else:
+        rows = counts.select("row_level").distinct().select(
+            "row_level", F.explode(F.array(*[F.lit(v) for v in col_levels])).alias("col_level"))
+    return rows.join(counts, ["row_level", "col_level"], "left").select(
+        "row_level", "col_level", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def ordered_levels(df: DataFrame, column: str, order: list[str], keep_missing: bool = True) -> DataFrame:
@@ -49,7 +51,7 @@ def ordered_levels(df: DataFrame, column: str, order: list[str], keep_missing: b
     counts = (df.where(q(column).isNotNull()).groupBy(q(column).cast("string").alias("level"))
               .agg(F.count(F.lit(1)).alias("count")))
     how = "left" if keep_missing else "inner"
-    return F.broadcast(order_df).join(counts, "level", how).select("ord", "level", "count")
+    return order_df.join(counts, "level", how).select("ord", "level", "count")
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:

@@ -237,7 +237,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
 
     # assemble ------------------------------------------------------------------
     an = spark.createDataFrame([(i, j, bool(all_normal.get((i, j), False))) for i, j in sorted(tested)],
-                               "num int, cat int, normality_met boolean") if tested else None
+                               "num int, cat int, normality_met boolean")
     t = pairs.join(an, ["num", "cat"]).join(par, ["num", "cat"])
     if rank_rows is not None:
         t = t.join(rank_rows, ["num", "cat"], "left")

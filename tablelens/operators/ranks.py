@@ -150,4 +150,7 @@ def box_stats(rt: DataFrame, keys: list[str], value: str = "value", whisker: flo
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("n_fliers"),
         F.min(v).alias("min"), F.max(v).alias("max"))
-    return qs.join(agg, keys)
+    # a whisker never lies inside the box: without a point between quartile and fence it ends at the quartile
+    return (qs.join(agg, keys)
+            .withColumn("whisker_low", F.least("whisker_low", "q1"))
+            .withColumn("whisker_high", F.greatest("whisker_high", "q3")))

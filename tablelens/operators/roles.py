@@ -183,11 +183,6 @@ def detect(df: DataFrame, opts: Options = Options()) -> tuple[DataFrame, RoleInf
     return roles, info
 
 
-def distinct_rows(df: DataFrame) -> int:
-    fp = _fingerprints(df).where("ordinal = -1").select("h1", "h2")
-    return fp.distinct().count()
-
-
 def table_summary(df: DataFrame) -> DataFrame:
     """n_rows, n_cols, n_duplicate_rows, n_missing_cells (ROL3–ROL5) in one row."""
     n_cols = len(df.columns)

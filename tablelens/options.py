@@ -14,14 +14,16 @@ class Options:
     id_min_unique: int = 100          # ... and distinct  >  this
     text_avg_len_threshold: float = 50.0  # text role: mean string length > this
 
-    # --- work caps of the reference, kept as options (ordinal order) ---
-    max_hist_numeric: int = 12
-    max_bar_categorical: int = 12
-    max_test_numeric: int = 8
-    max_test_categorical: int = 8
-    max_cluster_features: int = 6
-    max_onehot_features: int = 20
-    max_targets: int = 3
+    # --- work caps (ordinal order); None: no cap. REFERENCE_CAPS has the reference's values ---
+    max_hist_numeric: int | None = None
+    max_bar_categorical: int | None = None
+    max_test_numeric: int | None = None
+    max_test_categorical: int | None = None
+    max_cluster_features: int | None = None
+    max_onehot_features: int | None = None
+    max_targets: int | None = None
+    fallback_targets: int | None = None     # targets when no name is a KPI's; None: every numeric
+    max_recommendations: int | None = None
 
     # --- statistics ---
     alpha: float = 0.05
@@ -34,13 +36,15 @@ class Options:
 
     # --- segmentation ---
     max_k: int = 10
-    kmeans_restarts: int = 1          # reference: 10 restarts of k-means++; k-means|| init needs fewer
-    kmeans_max_iter: int = 20
+    kmeans_restarts: int = 10
+    kmeans_max_iter: int = 300
     seed: int = 42
     k_min: int = 2
     k_max: int = 6
-    sweep_parallelism: int = 4        # concurrent k-means fits in the K sweep
+    sweep_parallelism: int = 8        # concurrent k-means fits in the K sweep
 
-    # --- engine knobs (no effect on results) ---
-    rank_partitions: int | None = None   # None: spark.sql.shuffle.partitions
-    broadcast_row_limit: int = 200_000   # broadcast a side only below this many rows
+
+# How many columns, targets and lines the reference looks at.
+REFERENCE_CAPS = Options(max_hist_numeric=12, max_bar_categorical=12, max_test_numeric=8, max_test_categorical=8,
+                         max_cluster_features=6, max_onehot_features=20, max_targets=3, fallback_targets=3,
+                         max_recommendations=8)

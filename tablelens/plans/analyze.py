@@ -96,7 +96,7 @@ def analyze(df: DataFrame, opts: Options = Options(), targets: list[str] | None
         recs = FD.recommendations(
             spark, drv["models"] if drv else None, drv["drivers"] if drv else None, tests,
             out.get("group_means"), out.get("posthoc"), seg_info,
-            seg["profile"] if seg else None, hints, 8)
+            seg["profile"] if seg else None, hints, opts.max_recommendations)
         parts.append(recs)
         out["findings"] = reduce(DataFrame.unionByName, parts)
     return {k: v for k, v in out.items() if v is not None}

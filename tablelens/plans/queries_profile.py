@@ -212,8 +212,8 @@ b AS (SELECT level, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med,
              count(x) AS n FROM s GROUP BY level)
 SELECT {'b.level AS level, ' if with_level else ''}b.n::BIGINT AS n, round(q1, {R}) AS q1,
        round(med, {R}) AS median, round(q3, {R}) AS q3,
-       round(min(x) FILTER (WHERE {fence}), {R}) AS whisker_low,
-       round(max(x) FILTER (WHERE {fence}), {R}) AS whisker_high,
+       round(least(min(x) FILTER (WHERE {fence}), any_value(q1)), {R}) AS whisker_low,
+       round(greatest(max(x) FILTER (WHERE {fence}), any_value(q3)), {R}) AS whisker_high,
        count(*) FILTER (WHERE NOT ({fence}))::BIGINT AS n_fliers
 FROM b JOIN s ON b.level = s.level
 GROUP BY b.level, b.n, q1, med, q3"""

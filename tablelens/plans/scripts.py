@@ -45,7 +45,7 @@ def crosstab(df: DataFrame, row: str, col: str, row_order: list[str] | None = No
     if row_order is None:
         return ct
     order = df.sparkSession.createDataFrame([(i, r) for i, r in enumerate(row_order)], "ord int, row_level string")
-    return F.broadcast(order).join(ct, "row_level", "left").orderBy("ord", "col_level")
+    return order.join(ct, "row_level", "left").orderBy("ord", "col_level")
 
 
 def box_stats(df: DataFrame, value: str, key: str) -> DataFrame:

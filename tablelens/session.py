@@ -32,8 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint dir of the session.
 
     Uses ``spark.checkpoint.dir`` (the shared folder the cluster names) when it
-    is set; only when it is unset (tests, local runs) a fresh temp folder is
-    taken.
+    is set. When it is unset, a local master gets a fresh temp folder; on any
+    other master that would be a folder of one machine, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tablelens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

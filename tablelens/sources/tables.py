@@ -57,16 +57,22 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return normalise(spark.read.parquet(path))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Inf|INF|infinity|Infinity)$"
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """CSV scan with pandas-like type inference.
 
+    ``multi_line`` allows line feeds inside quotes, at the price of one task
+    per file; without it a file is split over many tasks.
+
     All fields are read as strings, the NA tokens become null, then each
     column is cast to the narrowest of long / double / boolean that holds all
     its non-null values (one aggregate pass decides all columns); otherwise it
     stays a string (dates stay strings, as in pandas, and are sniffed by the
     role detector).
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True,
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line,
                          quote='"', escape='"', sep=sep)
     raw = normalise_names(raw)
     cleaned = raw.select(*[
@@ -79,7 +85,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         probes += [
             F.count(v).alias(f"nn::{c}"),
             F.count(F.trim(v).try_cast("long")).alias(f"long::{c}"),
-            F.count(F.trim(v).try_cast("double")).alias(f"double::{c}"),
+            F.count(F.when(F.trim(v).rlike(NUMBER), F.trim(v).try_cast("double"))).alias(f"double::{c}"),
             F.count_if(v.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"bool::{c}"),
         ]
     stats = cleaned.agg(*probes).first().asDict() if cleaned.columns else {}

@@ -72,7 +72,7 @@ def test_dirty_csv(spark):
         fh.write('20,1,10.5,x,"said ""hi"""\n')
         fh.write('NA,2,N/A,y,plain\n')
         fh.write('35,3,12.0,,"multi\nline"\n')
-    df = read_csv(spark, path)
+    df = read_csv(spark, path, multi_line=True)
     assert df.columns == ["Age", "age", "Purchase_Amount_(USD)", "a.b", "note"]
     types = dict(df.dtypes)
     assert types["Age"] == "bigint" and types["Purchase_Amount_(USD)"] == "double" and types["a.b"] == "string"

@@ -9,7 +9,7 @@ from tablelens.operators import correlate as C
 from tablelens.operators import drivers as RG
 from tablelens.operators import hypothesis as H
 from tablelens.operators import segment as SG
-from tablelens.options import Options
+from tablelens.options import REFERENCE_CAPS, Options
 
 
 def frame(spark, data: dict):
@@ -155,10 +155,13 @@ def test_collinear_and_short_model(spark):
     assert RG.driver_analysis(short, ["y", "x"], [], ["y"])["models"].count() == 0
 
 
-def test_kpi_targets():
-    assert RG.kpi_targets(["Age", "Purchase_Amount_(USD)", "Review_Rating", "Previous_Purchases"]) == \
-        ["Purchase_Amount_(USD)", "Review_Rating", "Previous_Purchases"]
-    assert RG.kpi_targets(["a", "b", "c", "d"]) == ["a", "b", "c"]
+def test_kpi_targets(spark):
+    names = ["Age", "Purchase_Amount_(USD)", "Review_Rating", "Previous_Purchases", "Order_Count"]
+    assert RG.kpi_targets(spark, names) == names[1:]
+    assert RG.kpi_targets(spark, names, opts=REFERENCE_CAPS) == names[1:4]
+    assert RG.kpi_targets(spark, ["a", "b", "c", "d"]) == ["a", "b", "c", "d"]
+    assert RG.kpi_targets(spark, ["a", "b", "c", "d"], opts=REFERENCE_CAPS) == ["a", "b", "c"]
+    assert RG.kpi_targets(spark, ["a", "b"], ["x", "b", "a"]) == ["b", "a"]
 
 
 def test_blobs_choose_three(spark):
@@ -175,8 +178,42 @@ def test_blobs_choose_three(spark):
     assert all(a >= b for a, b in zip(inertia, inertia[1:]))
 
 
-def test_elbow_rule():
-    assert SG.elbow([100, 50, 40, 35]) == 2
-    assert SG.elbow([100, 90]) == 3
-    k, ke, ks = SG.choose_k([100, 50, 20, 18, 17], [0.5, 0.6, 0.4, 0.3])
-    assert (k, ke, ks) == (3, 3, 3)
+def test_elbow_rule(spark):
+    def chosen(inertia, silhouette=()):
+        rows = [(i + 1, float(v), silhouette[i - 1] if 0 < i <= len(silhouette) else None) for i, v in enumerate(inertia)]
+        return tuple(SG.choose_k(spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double")).first())
+
+    assert chosen([100, 50, 40, 35]) == (2, 2, 2)
+    assert chosen([100, 90]) == (3, 3, 3)
+    assert chosen([100, 50, 20, 18, 17], [0.5, 0.6, 0.4, 0.3]) == (3, 3, 3)
+    assert chosen([100, 90, 80, 20, 18, 17], [0.5, 0.48, 0.47, 0.3, 0.2]) == (4, 4, 2)   # within 0.05 of the best
+    assert chosen([100, 90, 80, 20, 18, 17], [0.6, 0.48, 0.47, 0.3, 0.2]) == (2, 4, 2)
+
+
+def test_small_levels_give_empty_tables(spark):
+    df = spark.createDataFrame([(float(i), f"g{i}") for i in range(5)], "x double, g string")
+    res = H.group_comparison(df, ["x"], ["g"], {"g": 5})
+    assert {k: v.count() for k, v in res.items() if k != "moments"} == {
+        "tests": 0, "normality": 0, "group_means": res["group_means"].count(), "posthoc": 0}
+
+
+def test_base_level_is_the_smallest_number(spark):
+    rng = np.random.default_rng(5)
+    df = frame(spark, {"y": rng.normal(size=60), "f": [9.0, 10.0] * 30})
+    names = {r["feature"] for r in RG.driver_analysis(df, ["y", "x"], ["f"], ["y"])["drivers"].collect()} \
+        if "x" in df.columns else set(RG._levels(df, F.lit(True), ["f"])["f"][1:])
+    assert names == {"10.0"}
+
+
+def test_whiskers_stay_outside_the_box(spark):
+    df = frame(spark, {"x": [0.0, 0.0, 0.0, 1000.0]})
+    from tablelens.operators.describe import box_table
+    r = box_table(df, [(0, "x")]).first()
+    assert (r["q3"], r["whisker_high"], r["whisker_low"]) == (250.0, 250.0, 0.0)
+
+
+def test_crosstab_with_awkward_levels(spark):
+    from tablelens.operators.grouped import crosstab
+    df = spark.createDataFrame([("a", "row_level"), ("b", "x`y"), ("a", "row_level")], "r string, c string")
+    got = {(r.row_level, r.col_level): r["count"] for r in crosstab(df, "r", "c").collect()}
+    assert got == {("a", "row_level"): 2, ("a", "x`y"): 0, ("b", "row_level"): 0, ("b", "x`y"): 1}
