@@ -29,6 +29,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,11 +93,17 @@ def pieces(page: str) -> list[Piece]:
     return out
 
 
-def token_stats(parts: list[Piece]) -> dict[str, tuple[int, float]]:
-    """Count and first relative position of every token of a page."""
-    keys = []
+def token_keys(parts: list[Piece]) -> list[str]:
+    """The tokens of a page: tags, and words between them."""
+    keys: list[str] = []
     for p in parts:
         keys += [p.key] if p.name else html.unescape(p.text).split()
+    return keys
+
+
+def token_stats(parts: list[Piece]) -> dict[str, tuple[int, float]]:
+    """Count and first relative position of every token of a page."""
+    keys = token_keys(parts)
     first: dict[str, int] = {}
     for i, k in enumerate(keys):
         first.setdefault(k, i)
@@ -104,71 +111,74 @@ def token_stats(parts: list[Piece]) -> dict[str, tuple[int, float]]:
 
 
 def _hash(page: int, count: int) -> int:
-    """A signed 48-bit hash of (page, count): sums over 2^15 pages stay exact in a task and wrap in a long."""
+    """A 40-bit hash of (page, count); sums of it are kept as decimals and never wrap."""
     x = (page * 0x9E3779B97F4A7C15 + count * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 31)) >> 24                                  # 40 bits: 2^23 pages before a long would wrap
+    return (x ^ (x >> 31)) >> 24
 
 
-STATS = "host string, token string, pages long, vector decimal(38,0), place double, ones long"
+STATS = "host string, token string, pages long, vector decimal(38,0), place double"
 STATS_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("pages", pa.int64()),
-                         ("vector", pa.decimal128(38, 0)), ("place", pa.float64()), ("ones", pa.int64())])
+                         ("vector", pa.decimal128(38, 0)), ("place", pa.float64())])
 #: A task hands over what it holds beyond this many (host, token) pairs.
 HELD = 2_000_000
 
 
-def _emit(held: dict, keep) -> pa.RecordBatch:
-    from decimal import Decimal
-    rows = [(h, t, n, Decimal(v), place, ones) for (h, t), (n, v, place, ones) in held.items() if keep(h, t, n)]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, STATS_ARROW)],
-                                      schema=STATS_ARROW)
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pass, per task: ``host, token`` of the tokens on at least ``MIN_SHARE`` of the task's own pages of a host."""
+    held: dict[str, Counter] = {}
+    pages: Counter = Counter()
+
+    def named():
+        rows = [(h, t) for h, c in held.items() for t, n in c.items() if n >= MIN_SHARE * pages[h]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ([], []))],
+                                          ["host", "token"])
 
+    for batch in batches:
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            held.setdefault(host, Counter()).update(set(token_keys(pieces(text))))
+            pages[host] += 1
+        if sum(map(len, held.values())) > HELD:
+            # one task may see many hosts: hand over; a token frequent on the whole is frequent in some part
+            yield named()
+            held, pages = {}, Counter()
+    yield named()
 
-def _count(batches: Iterator[pa.RecordBatch], candidates: bool) -> Iterator[pa.RecordBatch]:
-    """Per task: (host, token) with pages, vector fingerprint, summed place, pages with exactly one.
 
-    First pass (no ``candidates`` column): only tokens frequent among the task's own pages of the host;
-    the token '' counts the host's pages. Second pass: the candidate tokens, whatever their frequency.
-    """
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second pass, per task: pages, vector fingerprint and summed place of the named tokens, whatever their
+    frequency; the token '' stands for the host's pages themselves (once on each)."""
     held: dict[tuple[str, str], list] = {}
-    pages: Counter = Counter()
 
-    def frequent(h, t, n):
-        return n >= MIN_SHARE * pages[h]
+    def counted():
+        rows = [(h, t, n, Decimal(v), place) for (h, t), (n, v, place) in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+            zip(*rows) if rows else [[]] * 5, STATS_ARROW)], schema=STATS_ARROW)
 
     for batch in batches:
-        wanted = batch.column("candidates").to_pylist() if candidates else [None] * batch.num_rows
-        for host, page, text, want in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(),
-                                          batch.column("html").to_pylist(), wanted):
+        for i, (host, page, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")))):
             stats = token_stats(pieces(text))
-            if want is not None:
-                stats = {t: stats[t] for t in want if t in stats}
-            stats[""] = (1, 0.0)
-            pages[host] += 1
-            for t, (n, place) in stats.items():
-                x = held.setdefault((host, t), [0, 0, 0.0, 0])
+            named = {t: stats[t] for t in batch.column("candidates")[i].as_py() if t in stats}
+            for t, (n, place) in [*named.items(), ("", (1, 0.0))]:
+                x = held.setdefault((host, t), [0, 0, 0.0])
                 x[0] += 1
                 x[1] += _hash(page, n)
                 x[2] += place
-                x[3] += n == 1
         if len(held) > HELD:
-            # one task may see many hosts: hand over; a token frequent on the whole is frequent in some part
-            yield _emit(held, frequent if not candidates else lambda *_: True)
-            held, pages = {}, Counter()
-    if held:
-        yield _emit(held, frequent if not candidates else lambda *_: True)
+            yield counted()
+            held = {}
+    yield counted()
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """``host, n_pages, tokens`` from ``pages(host, page, html)``: the frequent tokens with their vectors and places."""
-    first = (pages.mapInArrow(lambda b: _count(b, False), STATS).groupBy("host", "token").agg(F.sum("pages").alias("n")))
-    named = stable(first.where("token <> ''").groupBy("host").agg(F.collect_set("token").alias("candidates")))
+    named = stable(pages.select("host", "html").mapInArrow(_frequent, "host string, token string")
+                   .groupBy("host").agg(F.collect_set("token").alias("candidates")))
     hint = F.broadcast if count_at_most(named, BROADCAST_HOSTS) else (lambda x: x)
     rows = pages.join(hint(named), "host").select("host", "page", "html", "candidates")
-    exact = (rows.mapInArrow(lambda b: _count(b, True), STATS).groupBy("host", "token")
-             .agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("place").alias("place"),
-                  F.sum("ones").alias("ones")))
+    exact = (rows.mapInArrow(_count, STATS).groupBy("host", "token")
+             .agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("place").alias("place")))
     return stable(exact.groupBy("host").agg(
         F.max(F.when(F.col("token") == "", F.col("pages"))).alias("n_pages"),
         F.max(F.when(F.col("token") == "", F.col("vector"))).cast("string").alias("spine"),
