@@ -229,9 +229,11 @@ def fit_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     poor = np.repeat([r.good == 0 for r in got], per_doc)
     label = poor.astype(np.int8)
     doc = np.repeat(np.arange(len(got)), per_doc)
-    for _ in range(rounds):
+    for i in range(rounds):
         field = ChainField.fit(x, per_doc, label)
-        again = np.where(poor, field.decode(field.emissions(x), per_doc), 0)
+        # at first each line of a poor document speaks for itself: its neighbours' labels are only assumed
+        decoded = field.emissions(x) > 0 if i == 0 else field.decode(field.emissions(x), per_doc)
+        again = np.where(poor, decoded, 0)
         none = np.bincount(doc, again, len(got)) == 0            # a poor document keeps some boilerplate
         label = np.where(none[doc], label, again)
     return field

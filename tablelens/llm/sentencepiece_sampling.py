@@ -207,8 +207,13 @@ class Lattices:
             add = np.add.reduceat(term, first)
             total[here] = top + np.log(add)
             self.cond[edge] = term / np.repeat(add, count)
-        run = np.cumsum(self.cond)
-        self.upto = (run - np.repeat(np.r_[0, run][self.lo[:-1]], np.diff(self.lo))).astype(np.float32)
+        # added up row by row, so that a row's numbers do not depend on its neighbours
+        self.upto = self.cond.copy()
+        place = np.arange(len(row)) - self.lo[row]
+        for j in range(1, int(place.max(initial=0)) + 1):
+            e = np.flatnonzero(place == j)
+            self.upto[e] += self.upto[e - 1]
+        self.upto = self.upto.astype(np.float32)
 
     def plus(self, other: Lattices) -> Lattices:
         """Both, with ``other``'s units, rows and edges numbered on."""
@@ -288,8 +293,10 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int):
         lo = np.searchsorted(d, docs_in)
         hi = np.searchsorted(d, docs_in, side="right")
         logp = np.log(np.maximum(p, 1e-300))
-        cum = np.cumsum(logp)
-        before = cum - logp - np.repeat((np.r_[0, cum])[lo], hi - lo)        # log-probability in front of a decision
+        cum = np.empty(len(d))
+        for a, b in zip(lo.tolist(), hi.tolist()):                # by document: the same in any batch
+            np.cumsum(logp[a:b], out=cum[a:b])
+        before = cum - logp                                       # log-probability in front of a decision
         spare = np.maximum(1.0 - p, 0.0)
         r = lat.row[e]
         spare[lat.lo[r + 1] - lat.lo[r] == 1] = 0.0
@@ -300,7 +307,7 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int):
         cap = np.repeat(value, hi - lo)
         with np.errstate(over="ignore", divide="ignore"):
             g[open_] = -np.log(np.exp(-cap[open_]) - np.log(u[open_]) / (spare * np.exp(before))[open_])
-        total = np.r_[0, cum][hi] - np.r_[0, cum][lo]
+        total = np.where(hi > lo, np.r_[cum, 0.0][np.maximum(hi - 1, 0)], 0.0)
         state.append({"docs": docs_in, "lo": lo, "hi": hi, "d": d, "un": un, "e": e, "before": before, "g": g,
                       "closed": {}})
         for j, x in enumerate(docs_in.tolist()):
