@@ -40,8 +40,8 @@ RANK_OFFSET = 2.7
 SPACE = "▁"
 #: Cells of (unit, place, length) looked up at once.
 CELLS = 3_000_000
-#: Edges of known units that a worker keeps (24 bytes each).
-MEMORY = 2_000_000
+#: Edges of known units that a worker keeps (28 bytes each).
+MEMORY = 2_500_000
 
 _GOLD, _M1, _M2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -98,20 +98,25 @@ class Vocabulary:
                 raise ValueError("no slot left for a piece")
 
     def lattices(self, units: list[str]) -> tuple[Lattices, np.ndarray]:
-        """The lattices known so far with those of ``units`` added, and the number of each unit in them.
-        What is known is forgotten beyond ``MEMORY`` edges."""
-        if self.known is None or len(self.known.src) > MEMORY:
-            self.known, self.number = None, {}
+        """Lattices that hold all of ``units``, and the number of each unit in them.
+
+        A worker keeps those of the first units it meets, up to ``MEMORY`` edges (frequent units come early);
+        other new ones are added for this call alone.
+        """
         get = self.number.get
         at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
         unseen = np.flatnonzero(at < 0).tolist()
-        if unseen or self.known is None:
-            new = list({units[i]: None for i in unseen})
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            at[unseen] = [self.number[units[i]] for i in unseen]
-            more = Lattices(new, self)
-            self.known = more if self.known is None else self.known.plus(more)
-        return self.known, at
+        if not unseen and self.known is not None:
+            return self.known, at
+        new = {units[i]: None for i in unseen}
+        new = dict(zip(new, range(len(self.number), len(self.number) + len(new))))
+        at[unseen] = [new[units[i]] for i in unseen]
+        more = Lattices(list(new), self)
+        whole = more if self.known is None else self.known.plus(more)
+        if len(whole.src) <= MEMORY or self.known is None:
+            self.known = whole
+            self.number.update(new)
+        return whole, at
 
     def find(self, h: np.ndarray) -> np.ndarray:
         size = np.uint64((1 << 20) - 1)
@@ -428,7 +433,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
-        for part in (p for b in batches for p in slices(b, "text", 500_000)):
+        for part in (p for b in batches for p in slices(b, "text", 800_000)):
             docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
             lat, results, kappa = sample_slice(texts, row_keys(docs_, seed), vocab, k)
             rows = []
