@@ -41,7 +41,7 @@ SPACE = "▁"
 #: Cells of (unit, place, length) looked up at once.
 CELLS = 3_000_000
 #: Edges of known units that a worker keeps (28 bytes each).
-MEMORY = 2_500_000
+MEMORY = 2_000_000
 
 _GOLD, _M1, _M2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -433,7 +433,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
-        for part in (p for b in batches for p in slices(b, "text", 800_000)):
+        for part in (p for b in batches for p in slices(b, "text", 500_000)):
             docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
             lat, results, kappa = sample_slice(texts, row_keys(docs_, seed), vocab, k)
             rows = []
