@@ -3,12 +3,12 @@
 Plan per analysis (not per pair):
 
 * **moment table** — one shuffle: categoricals unpivoted, then
-  ``groupBy(cat, level)`` with count / mean / var of every tested numeric
-  (map-side combine → at most cats × levels rows per task).  t, F, Cohen's d,
-  eta², Tukey HSD and group means all come from it.
-* **normality** — Shapiro-Wilk per (numeric, categorical, level) group of 3 to
-  ``shapiro_max_n`` values: only those rows are shipped to
-  ``applyInPandas`` (a filtered scan), so each Python task is bounded.
+  ``groupBy(cat, level)`` with count / mean / var / skewness / kurtosis of every tested
+  numeric (map-side combine → at most cats × levels rows per task).  t, F, Cohen's d,
+  eta², normality, Tukey HSD and group means all come from it.
+* **normality** — Jarque-Bera from the moments, for groups of any size.  With
+  ``normality_rule="shapiro"``: Shapiro-Wilk per (numeric, categorical, level) group of 3 to
+  ``shapiro_max_n`` values, larger groups count as normal.
 * **rank tests** — only pairs that need Mann-Whitney / Kruskal-Wallis: values
   counted per (pair, level, value), ranked with the distributed rank table,
   rank sums per level joined back.
@@ -37,7 +37,7 @@ from tablelens.sources.tables import q
 
 # ------------------------------------------------------------------ moments
 def moment_table(df: DataFrame, numerics: list[str], categoricals: list[str]) -> DataFrame:
-    """num, cat, numeric, categorical, level, rows, n, mean, var.
+    """num, cat, numeric, categorical, level, rows, n, mean, var, skew, kurt (excess).
 
     ``rows`` counts rows of the level (null numerics included: the size filter
     of the tests), ``n`` the non-null values (the post-hoc filter)."""
@@ -48,15 +48,21 @@ def moment_table(df: DataFrame, numerics: list[str], categoricals: list[str]) ->
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(numerics)):
         x = F.col(f"x{i}")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}"),
+                 F.skewness(x).alias(f"s{i}"), F.kurtosis(x).alias(f"k{i}")]
     per = long.groupBy("cat", "level").agg(*aggs)
     num_structs = [F.struct(F.lit(i).alias("num"), F.lit(c).alias("numeric"), F.col(f"n{i}").alias("n"),
-                            F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var"))
+                            F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var"),
+                            F.col(f"s{i}").alias("skew"), F.col(f"k{i}").alias("kurt"))
                    for i, c in enumerate(numerics)]
     cat_name = F.element_at(F.array(*[F.lit(c) for c in categoricals]), F.col("cat") + 1)
     return per.select("cat", cat_name.alias("categorical"), "level", "rows",
                       F.inline(F.array(*num_structs))).select(
-        "num", "cat", "numeric", "categorical", "level", "rows", "n", "mean", "var")
+        "num", "cat", "numeric", "categorical", "level", "rows", "n", "mean", "var", "skew", "kurt")
+
+
+_MOMENTS_SCHEMA = ("num int, cat int, numeric string, categorical string, level string, rows long, n long, "
+                   "mean double, var double, skew double, kurt double")
 
 
 def group_means(mt: DataFrame) -> DataFrame:
@@ -64,7 +70,85 @@ def group_means(mt: DataFrame) -> DataFrame:
     return mt.select("num", "cat", "numeric", "categorical", "level", "mean")
 
 
+# ---------------------------------------------------------- one expression per statistic
+def student_t(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """(t, degrees of freedom, Cohen's d) of two structs ``(n, mean, var)`` under a pooled variance."""
+    n1, n2 = a["n"].cast("double"), b["n"].cast("double")
+    dfree = n1 + n2 - 2
+    pooled = F.try_divide((n1 - 1) * a["var"] + (n2 - 1) * b["var"], dfree)
+    diff = a["mean"] - b["mean"]
+    t = F.when((dfree > 0) & (pooled > 0), diff / F.sqrt(pooled * (1 / n1 + 1 / n2)))
+    d = F.when(dfree > 0, F.when(pooled > 0, F.abs(diff) / F.sqrt(pooled)).otherwise(F.lit(0.0)))
+    return t, dfree, d
+
+
+def one_way(moments: DataFrame) -> DataFrame:
+    """num, cat, k, n_total, f, eta_sq of a one-way ANOVA over the moment rows of each (num, cat).
+
+    Two aggregates and a join on (num, cat), no window: a factor may have any number of levels."""
+    keys = ["num", "cat"]
+    totals = moments.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"),
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("grand"))
+    squares = moments.join(totals.select(*keys, "grand"), keys).groupBy(*keys).agg(
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"),
+        F.sum(F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("var")).otherwise(F.lit(0.0))).alias("ssw"))
+    k, n, ssb, ssw = F.col("k").cast("double"), F.col("n_total").cast("double"), F.col("ssb"), F.col("ssw")
+    return totals.join(squares, keys).select(
+        *keys, "k", "n_total",
+        F.when((k > 1) & (n > k) & (ssw > 0), (ssb / (k - 1)) / (ssw / (n - k))).alias("f"),
+        F.when(ssb + ssw > 0, ssb / (ssb + ssw)).otherwise(F.lit(0.0)).alias("eta_sq"))
+
+
+def parametric(moments: DataFrame) -> DataFrame:
+    """``one_way`` plus g1, g2 (n, mean, var of the first two levels), t, t_df and cohen_d per (num, cat)."""
+    keys = ["num", "cat"]
+    group = F.struct("n", "mean", "var")
+    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("level"))
+    two = moments.withColumn("pos", pos).groupBy(*keys).agg(
+        F.max(F.when(F.col("pos") == 1, group)).alias("g1"), F.max(F.when(F.col("pos") == 2, group)).alias("g2"))
+    t, dfree, d = student_t(F.col("g1"), F.col("g2"))
+    return one_way(moments).join(two.select(*keys, "g1", "g2", t.alias("t"), dfree.alias("t_df"),
+                                            d.alias("cohen_d")), keys)
+
+
+def rank_statistics(df: DataFrame, numerics: list[str], categoricals: list[str],
+                    groups: dict[tuple[int, int], list[str]]) -> DataFrame:
+    """Per (num, cat): U of the first level ascending, its tie-corrected z (continuity, larger U), and
+    Kruskal's H in the centred form, which does not cancel at large N."""
+    keys = ["num", "cat"]
+    _, per_level, per_pair = rank_sums(df, numerics, categoricals, groups)
+    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("level"))
+    total = F.col("N").cast("double")
+    gap = F.col("rank_sum") / F.col("n") - (total + 1) / 2
+    one = per_level.withColumn("pos", pos).join(per_pair, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k_ranked"), F.max("N").alias("n_ranked"), F.max("tie").alias("tie"),
+        F.max("max_cnt").alias("max_cnt"),
+        F.max(F.when(F.col("pos") == 1, F.col("n"))).cast("double").alias("u_n1"),
+        F.max(F.when(F.col("pos") == 1, F.col("rank_sum"))).alias("r1"),
+        F.max(F.when(F.col("pos") == 2, F.col("n"))).cast("double").alias("u_n2"),
+        F.sum(F.col("n") * F.pow(gap, 2)).alias("spread"))
+    n, n1, n2, tie = F.col("n_ranked").cast("double"), F.col("u_n1"), F.col("u_n2"), F.col("tie")
+    u = F.col("r1") - n1 * (n1 + 1) / 2
+    sigma = F.sqrt(n1 * n2 / 12.0 * (n + 1 - F.try_divide(tie, n * (n - 1))))
+    untied = 1 - F.try_divide(tie, F.pow(n, 3) - n)
+    return one.select(
+        *keys, "k_ranked", "n_ranked", "u_n1", "u_n2", "tie", u.alias("u"),
+        (((n1 <= 8) | (n2 <= 8)) & (F.col("max_cnt") <= 1)).alias("u_exact"),
+        F.when(sigma > 0, (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sigma).alias("z"),
+        F.when(untied > 0, F.lit(12.0) / (n * (n + 1)) * F.col("spread") / untied).alias("h"))
+
+
 # ---------------------------------------------------------- normality
+def jarque_bera(moments: DataFrame) -> DataFrame:
+    """Adds jb = n/6 · (skew² + kurt²/4) and jb_p = exp(-jb/2), its χ² tail with two degrees of freedom.
+
+    Groups of fewer than three values: null.  A constant group: jb 0, jb_p 1."""
+    s, k = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("skew", "kurt"))
+    return moments.withColumn("jb", F.when(F.col("n") >= 3, F.col("n") / 6.0 * (F.pow(s, 2) + F.pow(k, 2) / 4))) \
+        .withColumn("jb_p", F.exp(-F.col("jb") / 2))
+
+
 _SHAPIRO_SCHEMA = T.StructType([
     T.StructField("num", T.IntegerType()), T.StructField("cat", T.IntegerType()),
     T.StructField("level", T.StringType()), T.StructField("n", T.LongType()),
@@ -134,8 +218,9 @@ def rank_sums(df: DataFrame, numerics: list[str], categoricals: list[str],
 
 
 # ---------------------------------------------------------- the stage
-def _pairs_frame(spark, numerics, categoricals, n_levels):
-    rows = [(i, j, numerics[i], categoricals[j], int(n_levels[c]))
+def pairs_frame(spark, numerics, categoricals, n_levels=None):
+    """num, cat, numeric, categorical, n_groups (null without ``n_levels``) of every pair of columns."""
+    rows = [(i, j, numerics[i], categoricals[j], int(n_levels[c]) if n_levels else None)
             for i in range(len(numerics)) for j, c in enumerate(categoricals)]
     return spark.createDataFrame(rows, "num int, cat int, numeric string, categorical string, n_groups int")
 
@@ -147,8 +232,9 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
     Returns tables ``tests``, ``normality``, ``group_means``, ``posthoc``, ``moments``."""
     spark = df.sparkSession
     if not numerics or not categoricals:
-        empty = spark.createDataFrame([], _TESTS_SCHEMA)
-        return {"tests": empty}
+        return {name: spark.createDataFrame([], schema) for name, schema in [
+            ("tests", _TESTS_SCHEMA), ("normality", _NORMALITY_SCHEMA), ("group_means", _MEANS_SCHEMA),
+            ("posthoc", _POSTHOC_SCHEMA), ("moments", _MOMENTS_SCHEMA)]}
     mt = moment_table(df, numerics, categoricals).cache()
     mt_rows = [r.asDict() for r in mt.collect()]            # ≤ 8 × 8 × 15 rows: plan input
     surv = [r for r in mt_rows if r["rows"] >= opts.min_group_size]
@@ -157,22 +243,26 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         n_surv[(r["num"], r["cat"])] = n_surv.get((r["num"], r["cat"]), 0) + 1
     tested = {k for k, v in n_surv.items() if v >= 2}
     surv = [r for r in surv if (r["num"], r["cat"]) in tested]
-    pairs = _pairs_frame(spark, numerics, categoricals, {c: n_levels[c] for c in categoricals}) \
+    pairs = pairs_frame(spark, numerics, categoricals, {c: n_levels[c] for c in categoricals}) \
         .where(F.struct("num", "cat").isin([F.struct(F.lit(i), F.lit(j)) for i, j in sorted(tested)])
                if tested else F.lit(False))
 
     # normality ------------------------------------------------------------
-    sw = normality(df, numerics, categoricals, surv, opts)
-    surv_df = spark.createDataFrame(
-        [(r["num"], r["cat"], r["level"], r["rows"], r["n"], r["mean"], r["var"]) for r in surv],
-        "num int, cat int, level string, rows long, n long, mean double, var double")
-    norm = (surv_df.join(sw.select("num", "cat", "level", "shapiro_stat", "shapiro_p"),
-                         ["num", "cat", "level"], "left")
-            .withColumn("normal", F.when(F.col("n") < 3, F.lit(False))
-                        .when(F.col("n") > opts.shapiro_max_n, F.lit(True))
-                        .otherwise(F.coalesce(F.col("shapiro_p") > opts.alpha, F.lit(False))))
-            .withColumn("note", F.when(F.col("n") < 3, F.lit("n<3"))
-                        .when(F.col("n") > opts.shapiro_max_n, F.lit(f"n>{opts.shapiro_max_n}, CLT applies"))))
+    columns = [c.split()[0] for c in _MOMENTS_SCHEMA.split(", ")]
+    surv_df = spark.createDataFrame([tuple(r[c] for c in columns) for r in surv], _MOMENTS_SCHEMA)
+    norm = jarque_bera(surv_df)
+    if opts.normality_rule == "shapiro":
+        sw = normality(df, numerics, categoricals, surv, opts).drop("n")
+        norm = norm.join(sw, ["num", "cat", "level"], "left")
+        large = F.col("n") > opts.shapiro_max_n
+        p, note = F.when(large, F.lit(1.0)).otherwise(F.col("shapiro_p")), F.when(
+            large, F.lit(f"n>{opts.shapiro_max_n}, CLT applies"))
+    else:
+        norm = norm.withColumns({c: F.lit(None).cast("double") for c in ("shapiro_stat", "shapiro_p")})
+        p, note = F.col("jb_p"), F.lit(None).cast("string")
+    few = F.col("n") < 3
+    norm = norm.withColumn("normal", ~few & F.coalesce(p > opts.alpha, F.lit(False))) \
+        .withColumn("note", F.when(few, F.lit("n<3")).otherwise(note))
     norm = norm.cache()
     norm_rows = [r.asDict() for r in norm.select("num", "cat", "normal").collect()]
     all_normal: dict[tuple[int, int], bool] = {}
@@ -181,34 +271,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         all_normal[k] = all_normal.get(k, True) and bool(r["normal"])
 
     # parametric statistics from moments -------------------------------------
-    w_lvl = Window.partitionBy("num", "cat").orderBy("level")
-    s = surv_df.withColumn("pos", F.row_number().over(w_lvl))
-    par = s.groupBy("num", "cat").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"),
-        F.max(F.when(F.col("pos") == 1, F.struct("n", "mean", "var"))).alias("g1"),
-        F.max(F.when(F.col("pos") == 2, F.struct("n", "mean", "var"))).alias("g2"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
-        F.sum(F.when(F.col("n") > 1, (F.col("n") - 1) * F.col("var")).otherwise(F.lit(0.0))).alias("ssw"),
-        F.min("n").alias("min_n"))
-    par = par.join(s.select("num", "cat", "n", "mean"), ["num", "cat"]).groupBy(
-        "num", "cat", "k", "n_total", "g1", "g2", "grand", "ssw", "min_n").agg(
-        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"))
-    n1, n2 = F.col("g1.n").cast("double"), F.col("g2.n").cast("double")
-    v1, v2 = F.col("g1.var"), F.col("g2.var")
-    m1, m2 = F.col("g1.mean"), F.col("g2.mean")
-    dfree = n1 + n2 - 2
-    pooled_var = ((n1 - 1) * v1 + (n2 - 1) * v2) / dfree
-    t_stat = F.when((dfree > 0) & (pooled_var > 0), (m1 - m2) / F.sqrt(pooled_var * (1 / n1 + 1 / n2)))
-    cohen = F.when(dfree > 0, F.when(F.sqrt(pooled_var) > 0, F.abs(m1 - m2) / F.sqrt(pooled_var))
-                   .otherwise(F.lit(0.0)))
-    N = F.col("n_total").cast("double")
-    k = F.col("k").cast("double")
-    f_stat = F.when((F.col("k") > 1) & (N > k) & (F.col("ssw") > 0),
-                    (F.col("ssb") / (k - 1)) / (F.col("ssw") / (N - k)))
-    sst = F.col("ssb") + F.col("ssw")
-    par = par.select("num", "cat", "k", "n_total", t_stat.alias("t"), dfree.alias("t_df"),
-                     cohen.alias("cohen_d"), f_stat.alias("f"),
-                     F.when(sst > 0, F.col("ssb") / sst).otherwise(F.lit(0.0)).alias("eta_sq"))
+    par = parametric(surv_df).drop("g1", "g2")
 
     # rank statistics only where needed ---------------------------------------
     need_rank = sorted(p for p in tested if not all_normal.get(p, False))
@@ -218,22 +281,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         for r in surv:
             if (r["num"], r["cat"]) in need_rank:
                 groups.setdefault((r["num"], r["cat"]), []).append(r["level"])
-        vc_lvl, per_level, per_pair = rank_sums(df, numerics, categoricals, groups)
-        pl = per_level.withColumn("pos", F.row_number().over(w_lvl))
-        rank_rows = pl.groupBy("num", "cat").agg(
-            F.max(F.when(F.col("pos") == 1, F.struct("n", "rank_sum"))).alias("r1"),
-            F.max(F.when(F.col("pos") == 2, F.col("n"))).alias("rn2"),
-            F.sum(F.pow(F.col("rank_sum"), 2) / F.col("n")).alias("r2_over_n"),
-            F.count(F.lit(1)).alias("rk")).join(per_pair, ["num", "cat"])
-        rn1 = F.col("r1.n").cast("double")
-        NN = F.col("N").cast("double")
-        u1 = F.col("r1.rank_sum") - rn1 * (rn1 + 1) / 2
-        h_den = 1 - F.col("tie") / (F.pow(NN, 3) - NN)
-        h = F.when(h_den > 0, (F.lit(12.0) / (NN * (NN + 1)) * F.col("r2_over_n") - 3 * (NN + 1)) / h_den)
-        exact = ((rn1 <= 8) | (F.col("rn2") <= 8)) & (F.col("max_cnt") <= 1)
-        rank_rows = rank_rows.select("num", "cat", u1.alias("u"), rn1.alias("u_n1"),
-                                     F.col("rn2").cast("double").alias("u_n2"), F.col("tie"),
-                                     exact.alias("u_exact"), h.alias("h"), F.col("rk"))
+        rank_rows = rank_statistics(df, numerics, categoricals, groups)
 
     # assemble ------------------------------------------------------------------
     an = spark.createDataFrame([(i, j, bool(all_normal.get((i, j), False))) for i, j in sorted(tested)],
@@ -244,7 +292,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
     else:
         t = t.select("*", *[F.lit(None).cast(ty).alias(c) for c, ty in [
             ("u", "double"), ("u_n1", "double"), ("u_n2", "double"), ("tie", "double"),
-            ("u_exact", "boolean"), ("h", "double"), ("rk", "long")]])
+            ("u_exact", "boolean"), ("h", "double")]])
     two = F.col("n_groups") == 2
     normal = F.col("normality_met")
     method = (F.when(two & normal, F.lit("t-test")).when(two, F.lit("Mann-Whitney U"))
@@ -286,10 +334,14 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
             "moments": mt}
 
 
+_MEANS_SCHEMA = "num int, cat int, numeric string, categorical string, level string, mean double"
+_NORMALITY_SCHEMA = _MOMENTS_SCHEMA + (", jb double, jb_p double, shapiro_stat double, shapiro_p double, "
+                                       "normal boolean, note string")
 _TESTS_SCHEMA = ("num int, cat int, numeric string, categorical string, n_groups int, k_tested long, "
                  "n_total long, normality_met boolean, method string, statistic_name string, "
                  "statistic double, p_raw double, effect_size double, effect_size_name string, "
-                 "effect_size_interpretation string, p_value double, significant boolean, n_tests long, "
+                 "effect_size_interpretation string, t double, f double, u double, h double, cohen_d double, "
+                 "eta_sq double, t_df double, p_value double, significant boolean, n_tests long, "
                  "bonferroni_alpha double, significant_bonferroni boolean, significant_bonferroni_raw boolean")
 
 
@@ -381,7 +433,7 @@ def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str],
     anova = [(r["num"], r["cat"]) for r in sig if r["method"] == "ANOVA" and counts.get((r["num"], r["cat"]), 0) >= 3]
     kw = [(r["num"], r["cat"]) for r in sig if r["method"] == "Kruskal-Wallis"
           and counts.get((r["num"], r["cat"]), 0) >= 3]
-    names = _pairs_frame(spark, numerics, categoricals, {c: 0 for c in categoricals}).drop("n_groups")
+    names = pairs_frame(spark, numerics, categoricals).drop("n_groups")
     out = []
     if anova:
         sel = F.struct("num", "cat").isin([F.struct(F.lit(i), F.lit(j)) for i, j in anova])
@@ -419,58 +471,23 @@ def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str],
 # ---------------------------------------------------------- named battery (TST14)
 def ab_test(df: DataFrame, value: str, flag: str, first: str = "Yes", second: str = "No") -> DataFrame:
     """Student t-test of ``value`` between ``flag == first`` and ``flag == second`` (one aggregate)."""
-    x = q(value).cast("double")
-    lv = q(flag).cast("string")
-    xa, xb = F.when(lv == first, x), F.when(lv == second, x)
-    j = df.where(lv.isin(first, second)).agg(
-        F.count(xa).alias("n1"), F.avg(xa).alias("mean1"), F.var_samp(xa).alias("v1"),
-        F.count(xb).alias("n2"), F.avg(xb).alias("mean2"), F.var_samp(xb).alias("v2"))
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    dfree = n1 + n2 - 2
-    sp = ((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / dfree
-    t = F.when(sp > 0, (F.col("mean1") - F.col("mean2")) / F.sqrt(sp * (1 / n1 + 1 / n2)))
-    return j.select(F.lit(value).alias("value"), F.lit(flag).alias("flag"), "n1", "mean1", "n2", "mean2",
+    group = F.struct("n", "mean", "var")
+    g = moment_table(df.where(q(flag).cast("string").isin(first, second)), [value], [flag]).agg(
+        F.max(F.when(F.col("level") == first, group)).alias("g1"),
+        F.max(F.when(F.col("level") == second, group)).alias("g2"))
+    t, dfree, _ = student_t(F.col("g1"), F.col("g2"))
+    return g.select(F.lit(value).alias("value"), F.lit(flag).alias("flag"),
+                    F.coalesce("g1.n", F.lit(0)).alias("n1"), F.col("g1.mean").alias("mean1"),
+                    F.coalesce("g2.n", F.lit(0)).alias("n2"), F.col("g2.mean").alias("mean2"),
                     t.alias("t"), PV.t_two_sided_p(t, dfree).alias("p_value"))
 
 
 def anova(df: DataFrame, value: str, factor: str, levels: list[str] | None = None) -> DataFrame:
     """One-way ANOVA of ``value`` over the levels of ``factor`` (all, or the given list)."""
-    x = q(value).cast("double")
-    lv = q(factor).cast("string")
-    base = df.where(lv.isNotNull() & x.isNotNull())
+    base = df.where(q(value).isNotNull())
     if levels is not None:
-        base = base.where(lv.isin(levels))
-    g = base.groupBy(lv.alias("level")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"),
-                                            F.var_samp(x).alias("var"))
-    everything = Window.partitionBy()
-    g = g.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(everything) / F.sum("n").over(everything))
-    tot = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
-                F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ssw"),
-                F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"))
-    k, N = F.col("k").cast("double"), F.col("N").cast("double")
-    f = F.when((k > 1) & (N > k) & (F.col("ssw") > 0), (F.col("ssb") / (k - 1)) / (F.col("ssw") / (N - k)))
-    return tot.select(F.lit(value).alias("value"), F.lit(factor).alias("factor"), "k", "N",
-                      f.alias("f"), PV.f_sf_p(f, k - 1, N - k).alias("p_value"))
-
-
-def rank_statistics(df: DataFrame, numerics: list[str], categoricals: list[str],
-                    groups: dict[tuple[int, int], list[str]]) -> DataFrame:
-    """U (first level asc), its tie-corrected z (continuity, larger U) and Kruskal H per pair."""
-    _, per_level, per_pair = rank_sums(df, numerics, categoricals, groups)
-    w = Window.partitionBy("num", "cat").orderBy("level")
-    pl = per_level.withColumn("pos", F.row_number().over(w))
-    agg = pl.groupBy("num", "cat").agg(
-        F.count(F.lit(1)).alias("k"),
-        F.max(F.when(F.col("pos") == 1, F.col("n"))).cast("double").alias("n1"),
-        F.max(F.when(F.col("pos") == 1, F.col("rank_sum"))).alias("r1"),
-        F.max(F.when(F.col("pos") == 2, F.col("n"))).cast("double").alias("n2"),
-        F.sum(F.pow(F.col("rank_sum"), 2) / F.col("n")).alias("r2_over_n")).join(per_pair, ["num", "cat"])
-    NN = F.col("N").cast("double")
-    u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    u_big = F.greatest(u1, F.col("n1") * F.col("n2") - u1)
-    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((NN + 1) - F.col("tie") / (NN * (NN - 1))))
-    h_den = 1 - F.col("tie") / (F.pow(NN, 3) - NN)
-    h = F.when(h_den > 0, (F.lit(12.0) / (NN * (NN + 1)) * F.col("r2_over_n") - 3 * (NN + 1)) / h_den)
-    return agg.select("num", "cat", "k", F.col("N").alias("n_total"), "n1", "n2", u1.alias("u"),
-                      F.when(sigma > 0, (u_big - F.col("n1") * F.col("n2") / 2 - 0.5) / sigma).alias("z"),
-                      h.alias("h"), "tie")
+        base = base.where(q(factor).cast("string").isin(levels))
+    k, n = F.col("k").cast("double"), F.col("n_total").cast("double")
+    return one_way(moment_table(base, [value], [factor])).select(
+        F.lit(value).alias("value"), F.lit(factor).alias("factor"), "k", F.col("n_total").alias("N"), "f",
+        PV.f_sf_p(F.col("f"), k - 1, n - k).alias("p_value"))

@@ -28,7 +28,8 @@ class Options:
     # --- statistics ---
     alpha: float = 0.05
     min_group_size: int = 5
-    shapiro_max_n: int = 2000
+    normality_rule: str = "jarque_bera"     # any group size; "shapiro": the reference's rule
+    shapiro_max_n: int = 2000               # "shapiro" only: larger groups count as normal
     hist_bins: int = 30
     corr_threshold: float = 0.3
     nonlinear_threshold: float = 0.2
@@ -44,7 +45,7 @@ class Options:
     sweep_parallelism: int = 8        # concurrent k-means fits in the K sweep
 
 
-# How many columns, targets and lines the reference looks at.
+# How many columns, targets and lines the reference looks at, and its normality rule.
 REFERENCE_CAPS = Options(max_hist_numeric=12, max_bar_categorical=12, max_test_numeric=8, max_test_categorical=8,
                          max_cluster_features=6, max_onehot_features=20, max_targets=3, fallback_targets=3,
-                         max_recommendations=8)
+                         max_recommendations=8, normality_rule="shapiro")

@@ -198,18 +198,11 @@ FROM (SELECT n1, n2, m1, m2, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS
          var_samp({n}) FILTER (WHERE l_linestatus = 'F') AS v1, var_samp({n}) FILTER (WHERE l_linestatus = 'O') AS v2
   FROM lineitem))""" for n in LINEITEM_NUMERIC))
 def q_ttest(spark, sf):
-    li = table(spark, sf, "lineitem")
-    mt = H.moment_table(li, LINEITEM_NUMERIC, ["l_linestatus"])
-    g1 = mt.where("level = 'F'").select("num", "numeric", F.col("n").alias("n1"), F.col("mean").alias("m1"),
-                                         F.col("var").alias("v1"))
-    g2 = mt.where("level = 'O'").select("num", F.col("n").alias("n2"), F.col("mean").alias("m2"),
-                                         F.col("var").alias("v2"))
-    j = g1.join(g2, "num")
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    sp = ((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / (n1 + n2 - 2)
-    return j.select("numeric", "n1", "n2", rnd("m1").alias("mean1"), rnd("m2").alias("mean2"),
-                    rnd((F.col("m1") - F.col("m2")) / F.sqrt(sp * (1 / n1 + 1 / n2))).alias("t"),
-                    rnd(F.abs(F.col("m1") - F.col("m2")) / F.sqrt(sp)).alias("cohen_d"))
+    mt = H.moment_table(table(spark, sf, "lineitem"), LINEITEM_NUMERIC, ["l_linestatus"])
+    names = spark.createDataFrame(list(enumerate(LINEITEM_NUMERIC)), "num int, numeric string")
+    return H.parametric(mt).join(names, "num").select(
+        "numeric", F.col("g1.n").alias("n1"), F.col("g2.n").alias("n2"), rnd("g1.mean").alias("mean1"),
+        rnd("g2.mean").alias("mean2"), rnd("t").alias("t"), rnd("cohen_d").alias("cohen_d"))
 
 
 @query("anova", "\nUNION ALL\n".join(f"""
@@ -221,23 +214,29 @@ FROM (SELECT count(*)::BIGINT AS k, sum(n)::BIGINT AS n_total, sum(n * (m - g) *
             FROM orders WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= 5)))""" for n in ORDERS_NUMERIC
                                            for c in ORDERS_CATS))
 def q_anova(spark, sf):
+    mt = H.moment_table(table(spark, sf, "orders"), ORDERS_NUMERIC, ORDERS_CATS).where(
+        F.col("rows") >= Options().min_group_size)
+    names = H.pairs_frame(spark, ORDERS_NUMERIC, ORDERS_CATS)
+    return H.one_way(mt).join(names, ["num", "cat"]).select(
+        "numeric", "categorical", F.col("k").cast("long").alias("k"), F.col("n_total").cast("long").alias("n_total"),
+        rnd("f").alias("f"), rnd("eta_sq").alias("eta_sq"))
+
+
+@query("normality_by_group", "\nUNION ALL\n".join(f"""
+SELECT '{n}' AS numeric, '{c}' AS categorical, level, n, round(skew, {R}) AS skewness, round(kurt, {R}) AS kurtosis,
+       round(exp(-jb / 2), {R}) AS p_value, exp(-jb / 2) > 0.05 AS normal
+FROM (SELECT *, n / 6.0 * (skew * skew + kurt * kurt / 4) AS jb FROM (
+  SELECT level, n, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS kurt FROM (
+    SELECT level, count(*)::BIGINT AS n, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 4)) AS m4
+    FROM (SELECT {c} AS level, CAST({n} AS DOUBLE) AS x, avg(CAST({n} AS DOUBLE)) OVER (PARTITION BY {c}) AS m
+          FROM orders WHERE {c} IS NOT NULL AND {n} IS NOT NULL) GROUP BY level)))""" for n in ORDERS_NUMERIC
+                                                        for c in ORDERS_CATS))
+def q_normality_by_group(spark, sf):
     o = Options()
-    mt = H.moment_table(table(spark, sf, "orders"), ORDERS_NUMERIC, ORDERS_CATS).where(F.col("rows") >= o.min_group_size)
-    w = F.sum(F.col("n") * F.col("mean")).over(_w("num", "cat")) / F.sum("n").over(_w("num", "cat"))
-    g = mt.withColumn("grand", w)
-    a = g.groupBy("numeric", "categorical").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"),
-        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"),
-        F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
-    k, N = F.col("k").cast("double"), F.col("n_total").cast("double")
-    return a.select("numeric", "categorical", "k", F.col("n_total").cast("long").alias("n_total"),
-                    rnd((F.col("ssb") / (k - 1)) / (F.col("ssw") / (N - k))).alias("f"),
-                    rnd(F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta_sq"))
-
-
-def _w(*keys):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys)
+    mt = H.moment_table(table(spark, sf, "orders"), ORDERS_NUMERIC, ORDERS_CATS)
+    return H.jarque_bera(mt).select(
+        "numeric", "categorical", "level", "n", rnd("skew").alias("skewness"), rnd("kurt").alias("kurtosis"),
+        rnd("jb_p").alias("p_value"), (F.col("jb_p") > o.alpha).alias("normal"))
 
 
 def _rank_sql(tbl: str, num: str, cat: str) -> str:
@@ -268,8 +267,8 @@ def _rank_spark(spark, sf, tname, num, cat):
     mt = H.moment_table(t, [num], [cat]).where(F.col("rows") >= Options().min_group_size)
     levels = [r["level"] for r in mt.select("level").collect()]
     st = H.rank_statistics(t, [num], [cat], {(0, 0): levels})
-    return st.select(F.lit(num).alias("numeric"), F.lit(cat).alias("categorical"), F.col("k").cast("long").alias("k"),
-                     F.col("n_total").cast("long").alias("n_total"), "u", rnd("z").alias("z"), rnd("h").alias("h"))
+    return st.select(F.lit(num).alias("numeric"), F.lit(cat).alias("categorical"), F.col("k_ranked").cast("long").alias("k"),
+                     F.col("n_ranked").cast("long").alias("n_total"), "u", rnd("z").alias("z"), rnd("h").alias("h"))
 
 
 @query("mannwhitney_u", "\nUNION ALL\n".join(f"SELECT numeric, categorical, n_total, u, z FROM ({_rank_sql(t, n, c)})"
