@@ -23,7 +23,7 @@ def _rows(df: DataFrame, kind: str, rule: str, seq, subject, metric: str, value,
 
 
 def quality_findings(missing: DataFrame, outliers: DataFrame) -> DataFrame:
-    """FND1: medium / high quality warnings."""
+    """FND1: medium / high quality warnings, or one row saying that there are none."""
     m = missing.where(F.col("severity").isin("high", "medium"))
     o = outliers.where(F.col("severity").isin("high", "medium"))
     a = _rows(m, "finding", "missing", F.row_number().over(Window.orderBy(F.desc("percentage"), "column")),
@@ -35,7 +35,10 @@ def quality_findings(missing: DataFrame, outliers: DataFrame) -> DataFrame:
               F.format_string("%s: %d IQR outliers (%.1f%%, range %.2f ~ %.2f, %s)", F.col("column"),
                               F.col("n_outliers"), F.col("percentage"), F.col("lower_bound"),
                               F.col("upper_bound"), F.col("severity")))
-    return a.unionByName(b)
+    none = m.select("column").unionByName(o.select("column")).agg(F.count("column").alias("n")).where("n = 0")
+    c = _rows(none, "finding", "quality_ok", F.lit(1), F.lit(None), "problems", F.col("n"),
+              F.lit("no severe data quality problem"))
+    return a.unionByName(b).unionByName(c)
 
 
 def driver_findings(models: DataFrame, drivers: DataFrame) -> DataFrame:

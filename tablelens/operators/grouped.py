@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.sources.tables import q
@@ -55,10 +55,13 @@ def ordered_levels(df: DataFrame, column: str, order: list[str], keep_missing: b
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
-    """level, count, share of non-null rows in percent (PRJ8, WIN4)."""
+    """level, count, share of non-null rows in percent (PRJ8, WIN4).
+
+    The total is a scalar subquery, so no task sees all levels."""
+    total = df.agg(F.count(q(column))).scalar()
     vc = (df.where(q(column).isNotNull()).groupBy(q(column).cast("string").alias("level"))
           .agg(F.count(F.lit(1)).alias("count")))
-    return vc.withColumn("share_pct", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100.0)
+    return vc.withColumn("share_pct", F.col("count") / total * 100.0)
 
 
 def level_extremes(means: DataFrame, keys: list[str], level: str = "level", value: str = "mean") -> DataFrame:

@@ -11,7 +11,7 @@ from tablelens.sources.tables import q
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    """column, n_missing, percentage (of all rows), severity; only columns with nulls."""
+    """column, n_missing, percentage (of all rows), severity; only columns with nulls, highest rate first."""
     items = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
                       F.count_if(q(c).isNull()).cast("long").alias("n_missing"))
              for i, c in enumerate(df.columns)]
@@ -19,7 +19,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     long = wide.select("n_rows", F.inline("cols")).where(F.col("n_missing") > 0)
     pct = F.col("n_missing") / F.col("n_rows") * 100.0
     return long.select("ordinal", "column", "n_missing", pct.alias("percentage"),
-                       severity(pct, 20.0, 5.0).alias("severity"))
+                       severity(pct, 20.0, 5.0).alias("severity")).orderBy(F.desc("percentage"), "ordinal")
 
 
 def numeric_rank_table(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
@@ -29,7 +29,7 @@ def numeric_rank_table(df: DataFrame, columns: list[tuple[int, str]]) -> DataFra
 
 def outlier_report(df: DataFrame, columns: list[tuple[int, str]], rt: DataFrame | None = None) -> DataFrame:
     """IQR rule per numeric column: count, percentage of non-null, bounds, severity.
-    Only columns with at least one outlier."""
+    Only columns with at least one outlier, highest rate first."""
     if not columns:
         return df.sparkSession.createDataFrame(
             [], "ordinal int, column string, n_outliers long, percentage double, "
@@ -41,4 +41,4 @@ def outlier_report(df: DataFrame, columns: list[tuple[int, str]], rt: DataFrame
     return (bs.where(F.col("n_fliers") > 0)
             .select("ordinal", "column", F.col("n_fliers").alias("n_outliers"), pct.alias("percentage"),
                     F.col("lower_fence").alias("lower_bound"), F.col("upper_fence").alias("upper_bound"),
-                    severity(pct, 10.0, 3.0).alias("severity")))
+                    severity(pct, 10.0, 3.0).alias("severity")).orderBy(F.desc("percentage"), "ordinal"))

@@ -27,23 +27,27 @@ from tablelens.sources.tables import q
 # Datetime patterns tried when sniffing string columns.
 DATETIME_PATTERNS = [
     "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
     "yyyy/MM/dd",
     "yyyy/MM/dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
+    "M/d/yyyy",
+    "M/d/yyyy HH:mm[:ss]",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
     "dd.MM.yyyy",
     "yyyy-MM",
     "HH:mm",
     "HH:mm:ss",
 ]
 _SNIFF_MAX_LEN = 32
-# every pattern above starts with 1-4 digits and a separator: a cheap necessary test
-# that keeps non-date strings away from the (exception-driven) parsers
-_SNIFF_PREFIX = r"^[0-9]{1,4}[-/.:]"
+# every pattern above starts with 1-4 digits and a separator, a day and a month name, or a month
+# name and a day, and none is longer: cheap necessary tests that keep non-date strings away from
+# the (exception-driven) parsers
+_SNIFF_PREFIX = r"^([0-9]{1,4}[-/.:]|[0-9]{1,2} [A-Za-z]{3}|[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4})"
 
 ROLE_NUMERIC, ROLE_CATEGORICAL, ROLE_DATETIME = "numeric", "categorical", "datetime"
 ROLE_ID, ROLE_TEXT, ROLE_NONE, ROLE_UNSUPPORTED = "id", "text", "none", "unsupported"
