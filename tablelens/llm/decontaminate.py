@@ -167,13 +167,13 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text",
     shared = shared_blocks(docs.sparkSession, items, item_col, item_text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            texts = [words_of(t) for t in batch.column(text_col).to_pylist()]
+        for part in (p for batch in batches for p in slices(batch, text_col)):
+            keep = np.ones(part.num_rows, bool)
+            texts = [words_of(t) for t in part.column(text_col).to_pylist()]
             for s in shared:
                 m = _matcher(s)
                 keep &= [not (k and m.match(w)[1]) for k, w in zip(keep, texts)]
-            yield batch.filter(pa.array(keep))
+            yield part.filter(pa.array(keep))
     return docs.mapInArrow(run, docs.schema)
 
 
