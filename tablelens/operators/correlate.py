@@ -1,6 +1,6 @@
 """Correlation stage (COR1–COR5): Pearson and Spearman, pairwise-complete.
 
-* Pearson: all pairs i < j in one pass of per-Arrow-batch co-moment matrices
+* Pearson: all pairs i < j in one pass of per-task co-moment matrices
   under the pairwise non-null mask (rows with a null in the pair are skipped,
   like pandas), summed by (i, j).
 * Spearman: Pearson on average ranks.  Ranks come from the distributed rank
@@ -35,9 +35,9 @@ _MOMENT_SCHEMA = T.StructType([T.StructField(n, T.IntegerType() if n in ("i", "j
 def pairwise_corr(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], tuple[int, float | None]]:
     """Pairwise-complete Pearson r for all i < j of the (double) columns ``cols``.
 
-    Per Arrow batch, with M the non-null mask and X the mean-shifted values
+    Per task, with M the non-null mask and X the mean-shifted values
     (nulls as 0): counts MᵀM, sums XᵀM, squares (X²)ᵀM and cross-products XᵀX —
-    p(p-1)/2 rows of partial sums per batch, summed by (i, j).  One pass, no
+    p(p-1)/2 rows of partial sums per task, summed by (i, j).  One pass, no
     per-pair aggregate buffers, shuffle independent of the row count.
     """
     p = len(cols)
@@ -46,17 +46,18 @@ def pairwise_corr(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], tuple
     iu = np.triu_indices(p, 1)
 
     def partial(batches):
+        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float) - shift
             m = ~np.isnan(x)
             x = np.where(m, x, 0.0)
             mf = m.astype(float)
-            n = mf.T @ mf
-            sx = x.T @ mf                      # sx[i, j] = Σ x_i over rows where j is present
-            sxx = (x * x).T @ mf
-            sxy = x.T @ x
-            yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "n": n[iu],
-                                "sx": sx[iu], "sy": sx.T[iu], "sxx": sxx[iu], "syy": sxx.T[iu], "sxy": sxy[iu]})
+            n += mf.T @ mf
+            sx += x.T @ mf                     # sx[i, j] = Σ x_i over rows where j is present
+            sxx += (x * x).T @ mf
+            sxy += x.T @ x
+        yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "n": n[iu],
+                            "sx": sx[iu], "sy": sx.T[iu], "sxx": sxx[iu], "syy": sxx.T[iu], "sxy": sxy[iu]})
 
     sums = (df.select(*cols).mapInPandas(partial, _MOMENT_SCHEMA)
             .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).collect())

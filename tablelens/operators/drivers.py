@@ -1,9 +1,10 @@
 """Driver analysis: standardised OLS per KPI target (REG1–REG11).
 
-One **Gram pass** per target: per Arrow batch (``mapInPandas``) the
-cross-products of the mean-shifted design, summed by ``(i, j)`` — p(p+1)/2
-partial sums per batch, so the shuffle does not grow with the rows.  The p × p system is
-then solved on the driver (p is the number of features, not rows).
+The complete rows are the same for every target, so the stage scans them three times however
+many targets there are: levels, means and one **Gram pass**.  That is the cross-products of the
+mean-shifted numerics and dummies, added up per task (``mapInPandas``) and summed by ``(i, j)`` —
+p(p+1)/2 partial sums per task, so the shuffle does not grow with the rows.  Each target's system
+is a block of that p × p matrix and is solved on the driver (p is the number of columns, not rows).
 
 Standardisation (ddof 0) is applied algebraically to the covariances:
 numerics and the target are z-scored, dummies stay 0/1, exactly as in the
@@ -65,7 +66,7 @@ def _levels(df: DataFrame, complete, cats: list[str]) -> dict[str, list[str]]:
 
 
 def _gram_batches(df: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Wide designs: shift by the means, then per-batch XᵀX summed by (i, j)."""
+    """Shift by the means, then XᵀX per task, summed by (i, j): rows, means and covariances (ddof 0)."""
     p = len(names)
     first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(f"f{i}")).alias(f"m{i}") for i in range(p)]).first()
     n = first["n"]
@@ -73,14 +74,15 @@ def _gram_batches(df: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.
     cols = [f"f{i}" for i in range(p)]
 
     def partial(batches):
-        iu = np.triu_indices(p)
+        g, s = np.zeros((p, p)), np.zeros(p)
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float) - shift
-            g = x.T @ x
-            s = x.sum(axis=0)
-            yield pd.DataFrame({"i": np.concatenate([iu[0], np.full(p, -1)]).astype("int32"),
-                                "j": np.concatenate([iu[1], np.arange(p)]).astype("int32"),
-                                "s": np.concatenate([g[iu], s])})
+            g += x.T @ x
+            s += x.sum(axis=0)
+        iu = np.triu_indices(p)
+        yield pd.DataFrame({"i": np.concatenate([iu[0], np.full(p, -1)]).astype("int32"),
+                            "j": np.concatenate([iu[1], np.arange(p)]).astype("int32"),
+                            "s": np.concatenate([g[iu], s])})
 
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
                            T.StructField("s", T.DoubleType())])
@@ -133,36 +135,30 @@ def driver_analysis(df: DataFrame, numerics: list[str], eligible_cats: list[str]
     """Per target: model table row + ranked drivers (REG1–REG10)."""
     spark = df.sparkSession
     models, drivers = [], []
-    if len(numerics) >= 2:
-        for target in kpi_targets(spark, numerics, targets, opts):
-            feats = [c for c in numerics if c != target]
-            cats = eligible_cats[:opts.max_onehot_features]
-            needed = [target] + feats + cats
-            complete = F.lit(True)
-            for c in needed:
-                complete = complete & q(c).isNotNull()
-            levels = _levels(df, complete, cats)
-            names, kinds, exprs = [], [], []
-            for c in feats:
-                names.append(c)
-                kinds.append("num")
-                exprs.append(q(c).cast("double"))
-            for c in cats:
-                for lv in levels[c][1:]:                    # drop the first sorted level
-                    names.append(f"{c}_{lv}")
-                    kinds.append("dummy")
-                    exprs.append(F.when(q(c).cast("string") == lv, F.lit(1.0)).otherwise(F.lit(0.0)))
-            kinds.append("num")
-            exprs.append(q(target).cast("double"))
-            design = df.where(complete).select(*[e.alias(f"f{i}") for i, e in enumerate(exprs)])
-            n, _, cov = _gram_batches(design, names + [target])
-            p = len(names)
-            if n < opts.min_model_rows or p < 1 or p >= n - 1:
-                continue
-            fit = fit_standardised_ols(n, cov, kinds, names)
+    wanted = kpi_targets(spark, numerics, targets, opts) if len(numerics) >= 2 else []
+    if wanted:
+        cats = eligible_cats[:opts.max_onehot_features]
+        complete = F.lit(True)
+        for c in numerics + cats:
+            complete = complete & q(c).isNotNull()
+        levels = _levels(df, complete, cats)
+        dummies = [(c, lv) for c in cats for lv in levels[c][1:]]        # without the first sorted level
+        names = numerics + [f"{c}_{lv}" for c, lv in dummies]
+        kinds = np.array(["num"] * len(numerics) + ["dummy"] * len(dummies))
+        exprs = [q(c).cast("double") for c in numerics] + [
+            F.when(q(c).cast("string") == lv, F.lit(1.0)).otherwise(F.lit(0.0)) for c, lv in dummies]
+        n, _, cov = _gram_batches(df.where(complete).select(*[e.alias(f"f{i}") for i, e in enumerate(exprs)]), names)
+        p = len(names) - 1
+        if n < opts.min_model_rows or p >= n - 1:
+            wanted = []
+        for target in wanted:
+            at = numerics.index(target)
+            block = [i for i in range(len(names)) if i != at] + [at]
+            feats = [names[i] for i in block[:-1]]
+            fit = fit_standardised_ols(n, cov[np.ix_(block, block)], list(kinds[block]), feats)
             models.append((target, int(n), p, float(fit["r2"]), float(fit["adj_r2"]), float(fit["f"]),
                            float(fit["f_p"]), bool(fit["f_p"] < opts.alpha), bool(fit["collinear"])))
-            for i, name in enumerate(names):
+            for i, name in enumerate(feats):
                 pv = fit["p"][i]
                 drivers.append((target, name, float(fit["beta"][i]), float(fit["se"][i]), float(fit["t"][i]),
                                 float(pv), bool(pv < opts.alpha), abs(float(fit["beta"][i])), 0))
