@@ -1,12 +1,19 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are tags (name and class) and words. Over the pages of a host each token has an occurrence
-vector, its count on every page. Tokens of one vector form an equivalence class; a class is valid
-if it is frequent (on at least ``MIN_SHARE`` of the host's pages) and its tokens keep one order.
-The root class, once on every page, is the template's spine; further valid classes (a closing tag
-that some pages lack, repeated list or paragraph marks) are nested into the slots between two
-neighbouring spine tokens. Slots whose enclosing template tags are an article (or main) part and no
-side part (`SIDE`) hold the main text; without such a part, the slots with the most text do.
+Tokens are tags (name and class) and words, told apart by the path of elements they stand in. Over
+the pages of a host each token has an occurrence vector, its count on every page. Tokens of one
+vector form an equivalence class; a class is valid if it is frequent (on at least ``MIN_SHARE`` of
+the host's pages and on ``MIN_PAGES``; fewer cannot tell a template from chance) and its tokens keep
+one order: of a class that occurs once on a page, the tokens in the longest run that keeps it, and of
+a repeated class all, where it repeats as a whole and each repetition nests into one slot of the
+spine. The spine is the root class, once on every page.
+
+A text block (what stands between two block tags) whose words all belong to valid classes is
+template and dropped, wherever it stands; the others are the content of the slots. A template word
+in a block that also varies ("Chapter 7") is kept with it. Of the slots' blocks those inside an
+article (or main) part and under no side part (`SIDE`) are the main text; on pages without text in
+such a part, all that are under no side part. A page of which nothing would be left (copies of one
+page fill a host) keeps its template text.
 
 At scale a vector is never built: its fingerprint is the sum over pages of a hash of (page, count),
 which adds up in partial aggregation, so a host with a third of all pages costs one row per task and
@@ -19,14 +26,16 @@ joined by two line feeds. Nothing else is dropped.
 
 Defined results: null html is empty and gives an empty text; a null url belongs to the empty host;
 equal page ids are told apart by their html; a page that does not follow its host's template (or a
-host whose pages share none) is read by its own tags under the same container rules; an empty
-table gives no rows.
+host whose pages share none, or too few pages) is read by its own tags under the same container
+rules; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
@@ -39,9 +48,12 @@ from tablelens.llm.common import col, count_at_most, query, stable, table
 from tablelens.llm.urlfilter import host_path
 
 MIN_SHARE = 0.5
+MIN_PAGES = 3
 #: Hosts whose templates are broadcast; beyond, pages are joined to them by shuffle.
 BROADCAST_HOSTS = 20_000
 MAIN = {"article", "main"}
+#: Containers of everything: their attributes name the page's kind or parts, and never make them a side part.
+WHOLE = MAIN | {"html", "body"}
 #: Element names, and words of class, id or role attributes, that mark a part beside the main text.
 SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title",
              "button", "select", "textarea", "iframe", "svg", "object", "menu", "dialog"}
@@ -62,6 +74,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Piece:
@@ -93,17 +106,49 @@ def pieces(page: str) -> list[Piece]:
     return out
 
 
-def token_keys(parts: list[Piece]) -> list[str]:
-    """The tokens of a page: tags, and words between them."""
-    keys: list[str] = []
+def walk(parts: list[Piece]) -> tuple[list[tuple[bool, bool]], list[str]]:
+    """For each piece: (inside a main part, inside a side part), and the path of elements it stands in, as a hash
+    (an opening tag stands outside its element, its closing tag inside). Unclosed inline marks do not nest."""
+    where, paths, stack = [], [], []
+    main = side = 0
+    path = "0"
     for p in parts:
-        keys += [p.key] if p.name else html.unescape(p.text).split()
+        paths.append(path)
+        if p.name and not p.closing and p.name not in VOID:
+            stack.append((p.name, p.name in MAIN, p.side, path))
+            main, side = main + (p.name in MAIN), side + p.side
+            own = p.name if p.name in WHOLE else _DIGITS.sub("", p.key)
+            path = f"{zlib.crc32(own.encode('utf-8', 'replace'), int(path, 16)):x}"
+        elif p.closing and any(s[0] == p.name for s in stack):
+            while True:
+                name, m, s, path = stack.pop()
+                main, side = main - m, side - s
+                if name == p.name:
+                    break
+        where.append((main > 0, side > 0))
+    return where, paths
+
+
+def token_keys(parts: list[Piece], paths: list[str]) -> list[list[str]]:
+    """The tokens of each piece: a tag, or the words of a run of text, each with its path."""
+    keys: list[list[str]] = []
+    for p, path in zip(parts, paths):
+        if p.name:
+            keys.append([path + p.key])
+        else:
+            path += " "
+            keys.append([path + w for w in html.unescape(p.text).split()])
     return keys
 
 
-def token_stats(parts: list[Piece]) -> dict[str, tuple[int, float]]:
+def page_tokens(page: str) -> list[str]:
+    parts = pieces(page)
+    return [k for keys in token_keys(parts, walk(parts)[1]) for k in keys]
+
+
+def token_stats(page: str) -> dict[str, tuple[int, float]]:
     """Count and first relative position of every token of a page."""
-    keys = token_keys(parts)
+    keys = page_tokens(page)
     first: dict[str, int] = {}
     for i, k in enumerate(keys):
         first.setdefault(k, i)
@@ -137,7 +182,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            held.setdefault(host, Counter()).update(set(token_keys(pieces(text))))
+            held.setdefault(host, Counter()).update(set(page_tokens(text)))
             pages[host] += 1
         if sum(map(len, held.values())) > HELD:
             # one task may see many hosts: hand over; a token frequent on the whole is frequent in some part
@@ -158,7 +203,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for i, (host, page, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")))):
-            stats = token_stats(pieces(text))
+            stats = token_stats(text)
             named = {t: stats[t] for t in batch.column("candidates")[i].as_py() if t in stats}
             for t, (n, place) in [*named.items(), ("", (1, 0.0))]:
                 x = held.setdefault((host, t), [0, 0, 0.0])
@@ -187,83 +232,99 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
             (F.col("place") / F.col("pages")).alias("place")))).alias("tokens")))
 
 
+def _in_order(order: list[int]) -> list[int]:
+    """Places of a longest increasing subsequence."""
+    tails, ends, before = [], [], []
+    for i, k in enumerate(order):
+        at = bisect_left(tails, k)
+        before.append(ends[at - 1] if at else -1)
+        tails[at:at + 1], ends[at:at + 1] = [k], [i]
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
 class Template:
-    """The valid classes of a host, the spine in order."""
+    """The valid classes of a host, each in order; class 0 is the spine."""
 
     def __init__(self, n_pages: int, spine: str, tokens: list[dict]):
         classes: dict[str, list[dict]] = {}
         for t in tokens:
-            if t["pages"] >= MIN_SHARE * n_pages:
+            if t["pages"] >= max(MIN_PAGES, MIN_SHARE * n_pages):
                 classes.setdefault(t["vector"], []).append(t)
         # the vector of "once on every page" is that of the page count itself
-        root = sorted(classes.pop(spine, []), key=lambda t: (t["place"], t["token"]))
-        self.spine = [t["token"] for t in root]
-        self.nested = [sorted((t["token"] for t in c)) for c in classes.values() if len(c) > 1]
-
-    def spine_marks(self, parts: list[Piece]) -> list[int]:
-        """Places of the spine's tags on a page, in template order (a class is valid where its order holds)."""
-        at = {p.key: i for i, p in enumerate(parts) if p.name}
-        marks, last = [], -1
-        for t in self.spine:
-            i = at.get(t, -1)
-            if i > last:
-                marks.append(i)
-                last = i
-        return marks
-
-
-def _contexts(parts: list[Piece]) -> list[tuple[bool, bool]]:
-    """For each piece: inside a main part; inside a side part. Unclosed inline marks do not nest."""
-    out, stack = [], []
-    main = side = 0
-    for p in parts:
-        if p.name and not p.closing and p.name not in VOID:
-            stack.append((p.name, p.name in MAIN, p.side))
-            main, side = main + (p.name in MAIN), side + p.side
-        elif p.closing and any(s[0] == p.name for s in stack):
-            while True:
-                name, m, s = stack.pop()
-                main, side = main - m, side - s
-                if name == p.name:
-                    break
-        out.append((main > 0, side > 0))
-    return out
-
-
-def _text(parts: list[Piece]) -> list[str]:
-    blocks, run = [], []
-    for p in [*parts, Piece("", "p")]:
+        valid = [classes.pop(spine, []), *(c for c in classes.values() if len(c) > 1)]
+        self.sizes = [len(c) for c in valid]
+        self.member = {t["token"]: (c, k) for c, ts in enumerate(valid)
+                       for k, t in enumerate(sorted(ts, key=lambda t: (t["place"], t["token"])))}
+
+    def fixed(self, tokens: list[str]) -> bytearray:
+        """For each token of a page whether it belongs to a class that is valid there."""
+        seen: dict[int, list[tuple[int, int]]] = {}
+        for i, t in enumerate(tokens):
+            m = self.member.get(t)
+            if m:
+                seen.setdefault(m[0], []).append((i, m[1]))
+        flags, spine = bytearray(len(tokens)), []
+        for c in sorted(seen):
+            at, order = [i for i, _ in seen[c]], [k for _, k in seen[c]]
+            size = self.sizes[c]
+            if len(set(order)) == len(order):
+                took = [at[j] for j in _in_order(order)]
+            elif order == list(range(size)) * (len(order) // size):
+                took = [i for j in range(0, len(at), size)
+                        if bisect_left(spine, at[j]) == bisect_left(spine, at[j + size - 1]) for i in at[j:j + size]]
+            else:
+                continue
+            spine = took if c == 0 else spine
+            for i in took:
+                flags[i] = 1
+        return flags
+
+
+def _blocks(parts: list[Piece], fixed: list[bool], places: list[int]) -> list[tuple[str, bool, int]]:
+    """Text blocks of the pieces at ``places``: text, whether all its words are template, place of its first text."""
+    blocks, run, same, first = [], [], True, -1
+
+    def close():
+        text = " ".join(html.unescape("".join(run)).split())
+        if text:
+            blocks.append((text, same, first))
+
+    for i in places:
+        p = parts[i]
         if not p.name:
             run.append(p.text)
+            if not p.text.isspace():
+                same, first = same and fixed[i], i if first < 0 else first
         elif p.name in BLOCK:
-            text = " ".join(html.unescape("".join(run)).split())
-            if text:
-                blocks.append(text)
-            run = []
+            close()
+            run, same, first = [], True, -1
         elif p.name == "br":
             run.append(" ")
+    close()
     return blocks
 
 
 def extract(page: str, template: Template | None) -> tuple[str, int]:
     """Main text of a page and the number of template slots it was read from (0: by its own tags)."""
     parts = pieces(page)
-    where = _contexts(parts)
-    marks = template.spine_marks(parts) if template else []
-    # slots: what lies behind each spine mark, up to the next one
-    edges = list(zip(marks, [*marks[1:], len(parts)]))
-    chosen = [(a, b) for a, b in edges if where[a][0] and not where[a][1]]
-    if not chosen and any(m and not s for m, s in where):         # the article is not on this host's spine
-        chosen, edges = [(0, len(parts))], []
-    if chosen:
-        took = [parts[i] for a, b in chosen for i in range(a, b) if where[i][0] and not where[i][1]]
-    else:
-        slots = edges or [(0, len(parts))]
-        size = [sum(len(parts[i].text) for i in range(a, b) if not where[i][1]) for a, b in slots]
-        most = max(size, default=0)
-        took = [parts[i] for (a, b), n in zip(slots, size) if n and 2 * n >= most
-                for i in range(a, b) if not where[i][1]]
-    return "\n\n".join(_text(took)), len(chosen) if edges else 0
+    where, paths = walk(parts)
+    fixed, marks = [False] * len(parts), []
+    if template and template.member:
+        keys = token_keys(parts, paths)
+        flags, at = template.fixed([k for ks in keys for k in ks]), 0
+        for i, ks in enumerate(keys):
+            fixed[i] = all(flags[at:at + len(ks)])
+            at += len(ks)
+            if parts[i].name and fixed[i]:
+                marks.append(i)
+    main = any(m and not s and p.text and not p.text.isspace() for (m, s), p in zip(where, parts))
+    blocks = _blocks(parts, fixed, [i for i, (m, s) in enumerate(where) if not s and (m or not main)])
+    kept = [b for b in blocks if not b[1]] or blocks
+    return "\n\n".join(b[0] for b in kept), len({bisect_right(marks, b[2]) for b in kept}) if marks else 0
 
 
 OUT = "page_id long, url string, text string, n_chars long, n_slots long"

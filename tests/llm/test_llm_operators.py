@@ -338,3 +338,21 @@ def test_html_extraction(spark):
         assert by[i, len(want)] == want
     assert by[20, 0] == "" and by[21, 16] == "plain words only" and by[22, 10] == "no article" and by[None, 6] == "m\n\n<n>"
     assert html_template.extract_pages(df.limit(0)).count() == 0
+
+
+def test_html_template_classes_decide(spark):
+    # no article, no side word: only what is constant over the host tells menu and notice from the text
+    whole = ("<html><body id='p{i}'><div class='top'><span>Home</span> <span>Contact us</span></div><div class='text'><h2>Title {i}</h2>"
+             "<p>Body number {i} of the page</p><p>Please log in to write</p></div><div class='end'>All rights of the site</div></body></html>")
+    inside = "<article><p>Story {i} of the day</p><div class='box'>Read more on the site</div></article>"
+    rows = [(i, f"http://a.example/{i}", whole.format(i=i)) for i in range(6)]
+    rows += [(10 + i, f"http://b.example/{i}", inside.format(i=i)) for i in range(6)]
+    rows += [(20 + i, f"http://c.example/{i}", inside.format(i=7)) for i in range(4)]                # copies of one page
+    rows += [(30, "http://d.example/", inside.format(i=8))]                                          # one page: no template
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract_pages(df).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\n\nBody number {i} of the page"
+        assert got[10 + i] == f"Story {i} of the day"
+    assert {got[i] for i in range(20, 24)} == {"Story 7 of the day\n\nRead more on the site"}
+    assert got[30] == "Story 8 of the day\n\nRead more on the site"
