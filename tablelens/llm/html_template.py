@@ -98,7 +98,7 @@ def pieces(page: str) -> list[Piece]:
         side, mark = name in SIDE_TAGS, ""
         if m[4] and not m[2]:
             values = [(a[1] or a[2] or a[3]).lower() for a in _ATTR.findall(m[4])]
-            side = side or any(w in SIDE_WORDS for v in values for w in _NAME.findall(v))
+            side = side or name not in WHOLE and any(w in SIDE_WORDS for v in values for w in _NAME.findall(v))
             mark = " " + " ".join(values) if values else ""
         out.append(Piece(f"<{m[2]}{name}{mark}>", name, bool(m[2]), side))
     if at < len(page):

@@ -356,3 +356,15 @@ def test_html_template_classes_decide(spark):
         assert got[10 + i] == f"Story {i} of the day"
     assert {got[i] for i in range(20, 24)} == {"Story 7 of the day\n\nRead more on the site"}
     assert got[30] == "Story 8 of the day\n\nRead more on the site"
+
+
+def test_html_text_behind_a_side_block(spark):
+    pages = [(i, f"http://h.example/{i}", f"<article><p>A {i}</p><div class='ad'>x</div><p>B {i}</p>" + f"<div>C {i} {{}}</div>" * (i % 3 + 1)
+              + "</article>") for i in range(6)]
+    pages += [(10 + i, f"http://{h}/{i}", f"<html><body class='has-sidebar'>{a}<p>Text {i}</p>{b}<div class='ad'>x</div></body></html>")
+              for i in range(6) for h, a, b in [("m.example", "<main class='no-comments'>", "</main>") if i % 2 else ("b.example", "", "")]]
+    got = {r.page_id: r.text for r in html_template.extract_pages(
+        spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == "\n\n".join([f"A {i}", f"B {i}", *[f"C {i} {{}}"] * (i % 3 + 1)])
+        assert got[10 + i] == f"Text {i}"
