@@ -368,3 +368,13 @@ def test_html_text_behind_a_side_block(spark):
     for i in range(6):
         assert got[i] == "\n\n".join([f"A {i}", f"B {i}", *[f"C {i} {{}}"] * (i % 3 + 1)])
         assert got[10 + i] == f"Text {i}"
+
+
+def test_html_without_article_keeps_short_parts(spark):
+    page = ("<html><body><div class='menu'>go {i}</div><div id='x'><h1>Head {i}</h1><p>{long}</p><h2>Short {i}</h2><figure>Fig {i}</figure>"
+            "<blockquote>Quote {i}</blockquote></div></body></html>")
+    rows = [(i, f"http://{'one' if i == 9 else 'h'}.example/{i}", page.format(i=i, long=f"long {i} " * 50)) for i in (*range(5), 9)]
+    got = {r.page_id: r.text for r in html_template.extract_pages(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in (*range(5), 9):
+        assert got[i] == "\n\n".join([f"Head {i}", (f"long {i} " * 50).strip(), f"Short {i}", f"Fig {i}", f"Quote {i}"])
