@@ -13,9 +13,10 @@ both have in common. The difference ``log p_toxic - log p_ordinary`` of an unsee
 is that of the two backoff weights alone, and 0 in an unseen context.
 
 All counting is distributed: per-task partial counts of distinct strings, summed by key, over
-*every* labelled training row. A scoring task gets two tables of ``1 << BUCKET_BITS`` log-ratios
-(strings, contexts), indexed by hash: a bound that does not depend on the corpus. Strings that
-share a bucket share the mean of their log-ratios, weighted by count.
+*every* labelled training row. A scoring task gets two tables of log-ratios (strings, contexts), one
+entry per distinct string, so they grow with the labelled text: 16 bytes an entry or a little more,
+in every Python worker. An entry is found by its whole 64-bit hash, never by a part of it: an unseen
+string backs off (two strings of one hash: odds of about n^2 / 2^65).
 
 Score: a logistic function of two length-normalised differences, the text's own (mean over its
 characters) and that of its most toxic expression (largest sum over a word, per character of
@@ -41,7 +42,6 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import count_at_most, query, scan, slices, stable, table
 
 ORDER = 5
-BUCKET_BITS = 21
 FOLDS = 5
 CALIBRATION_FOLD = 4
 CALIBRATION_ROWS = 20_000
@@ -125,7 +125,7 @@ def _count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _ratios(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(s, llr, n)`` of every seen string and ``(ctx, llr, n)`` of every seen context."""
+    """``(s, llr)`` of every seen string and of every seen context."""
     n1 = strings.agg(*[F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in ("tox", "ordy") for k in (1, 2)])
     r = n1.first()
     d = {c: max(0.1, (r[f"{c}1"] or 0) / max(1, (r[f"{c}1"] or 0) + 2 * (r[f"{c}2"] or 0))) for c in ("tox", "ordy")}
@@ -166,17 +166,12 @@ def _ratios(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     def weight(c):
         return F.when(F.col(f"N_{c}") > 0, d[c] * F.col(f"T_{c}") / F.col(f"N_{c}")).otherwise(F.lit(1.0))
 
-    seen = full.select("s", (F.log(prob("tox")) - F.log(prob("ordy"))).alias("llr"), (F.col("tox") + F.col("ordy")).alias("n"))
-    backs = ctx.select(F.col("ctx").alias("s"), (F.log(weight("tox")) - F.log(weight("ordy"))).alias("llr"),
-                       (F.col("N_tox") + F.col("N_ordy")).alias("n"))
+    seen = full.select("s", (F.log(prob("tox")) - F.log(prob("ordy"))).alias("llr"))
+    backs = ctx.select(F.col("ctx").alias("s"), (F.log(weight("tox")) - F.log(weight("ordy"))).alias("llr"))
     return seen, backs
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def _to_buckets(kind: int):
+def _to_keys(kind: int):
     """Hash each string (kind 0) or context (kind 1) as the scorer does."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = ORDER - kind
@@ -190,14 +185,40 @@ def _to_buckets(kind: int):
                 c = np.concatenate([c, np.zeros((len(c), 1), np.uint32)], axis=1)
             full, ctx = rolling(c.ravel())
             h = (ctx if kind else full)[::ORDER]
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(h)), b.column("llr"), b.column("n")], ["bucket", "llr", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("llr")], ["key", "llr"])
     return run
 
 
+class Ratios:
+    """Log-ratios by 64-bit hash: sorted hashes, and where those of each leading part start."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        # one greater than any hash but the greatest ends every search
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+        self.values = np.append(values[order].astype(np.float32), np.float32(np.nan))
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        parts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.starts = np.searchsorted(self.keys, parts).astype(np.uint32 if len(keys) < 2**32 else np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The log-ratio of each hash, NaN where there is none."""
+        at = self.starts.take((h >> self.shift).astype(np.int64)).astype(np.int64)
+        found = self.keys.take(at)
+        open_ = np.flatnonzero(found < h)
+        while len(open_):
+            at[open_] += 1
+            found[open_] = self.keys.take(at[open_])
+            open_ = open_[found[open_] < h[open_]]
+        out = self.values.take(at)
+        out[found != h] = np.nan
+        return out
+
+
 class Model:
-    """Log-ratio tables and the calibration; small and of fixed size."""
+    """Log-ratio tables, which grow with the distinct strings of the labelled text, and the calibration."""
 
-    def __init__(self, strings: np.ndarray, contexts: np.ndarray, weights: np.ndarray | None = None):
+    def __init__(self, strings: Ratios, contexts: Ratios, weights: np.ndarray | None = None):
         self.strings, self.contexts, self.weights = strings, contexts, weights
 
     def differences(self, texts: list[str | None]) -> np.ndarray:
@@ -208,10 +229,9 @@ class Model:
             return out
         full, ctx = rolling(flat)
         at = positions(starts, sizes)
-        full, ctx = _bucket(full[at]), _bucket(ctx[at])
-        llr = self.strings.take(full)
+        llr = self.strings.find(full[at])
         unseen = np.isnan(llr)
-        llr[unseen] = self.contexts.take(ctx[unseen])
+        llr[unseen] = np.nan_to_num(self.contexts.find(ctx[at[unseen]]))
         llr = llr.astype(np.float64)
         some = sizes > 0
         first = (np.cumsum(sizes) - sizes)[some]
@@ -252,13 +272,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarra
     return np.r_[w, mean, dev]
 
 
-def _table(df: DataFrame, kind: int) -> np.ndarray:
-    """A table of ``1 << BUCKET_BITS`` log-ratios on the driver: at most that many rows are collected."""
-    got = (df.mapInArrow(_to_buckets(kind), "bucket long, llr double, n long").groupBy("bucket")
-           .agg((F.sum(F.col("llr") * F.col("n")) / F.sum("n")).cast("float").alias("llr")).toArrow())
-    out = np.full(1 << BUCKET_BITS, np.float32(0 if kind else np.nan))
-    out[got.column("bucket").to_numpy()] = got.column("llr").to_numpy()
-    return out
+def _table(df: DataFrame, kind: int) -> Ratios:
+    """The log-ratios of all strings or contexts; the driver takes 12 bytes of each."""
+    got = df.mapInArrow(_to_keys(kind), "key long, llr double").select("key", F.col("llr").cast("float")).toArrow()
+    return Ratios(got.column("key").to_numpy().view(np.uint64), got.column("llr").to_numpy())
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -275,7 +292,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                      .groupBy("s").agg(F.sum("tox").alias("tox"), F.sum("ordy").alias("ordy")))
     totals = strings.agg(F.sum("tox"), F.sum("ordy")).first()
     if not totals[0] or not totals[1]:
-        return Model(np.zeros(0), np.zeros(0))
+        none = Ratios(np.zeros(0, np.uint64), np.zeros(0))
+        return Model(none, none)
     seen, backs = _ratios(strings)
     model = Model(_table(seen, 0), _table(backs, 1))
     shared = spark.sparkContext.broadcast(model)
@@ -297,7 +315,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, mean_difference, word_difference`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)       # two tables of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

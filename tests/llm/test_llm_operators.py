@@ -378,3 +378,22 @@ def test_html_without_article_keeps_short_parts(spark):
         spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in (*range(5), 9):
         assert got[i] == "\n\n".join([f"Head {i}", (f"long {i} " * 50).strip(), f"Short {i}", f"Fig {i}", f"Quote {i}"])
+
+
+def test_toxicity_tables_are_exact(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+
+    def text(n):
+        return " ".join("".join(rng.choice(letters, 7)) for _ in range(n))
+    rows = spark.createDataFrame([(text(400), int(i % 4 == 0)) for i in range(40)], "text string, toxic int")
+    strings = toxicity.stable(rows.mapInArrow(toxicity._count_strings, "s string, tox long, ordy long")
+                              .groupBy("s").sum("tox", "ordy").toDF("s", "tox", "ordy"))
+    seen, backs = (toxicity.stable(x) for x in toxicity._ratios(strings))
+    model = toxicity.Model(toxicity._table(seen, 0), toxicity._table(backs, 1))
+    by, back = ({r.s: r.llr for r in x.collect()} for x in (seen, backs))
+    assert len(by) > 100_000
+    for t in [r.text for r in rows.limit(3).collect()] + [text(400), "\U0001F600 é", ""]:
+        marked = "\n" * 4 + t
+        want = [by.get(marked[i:i + 5], back.get(marked[i:i + 4], 0.0)) for i in range(len(t))]
+        assert abs(model.differences([t])[0, 0] - (np.mean(want) if want else 0)) < 1e-6
