@@ -20,8 +20,9 @@ string backs off (two strings of one hash: odds of about n^2 / 2^65).
 
 Score: a logistic function of two length-normalised differences, the text's own (mean over its
 characters) and that of its most toxic expression (largest sum over a word, per character of
-the word plus `PRIOR_CHARS`). Its few coefficients are fitted on training rows that the counts
-leave out (`CALIBRATION_FOLD`), at most `CALIBRATION_ROWS` of them, chosen by hash.
+the word plus `PRIOR_CHARS`). Its few coefficients are fitted on at most `CALIBRATION_ROWS` training
+rows of `CALIBRATION_FOLD`, chosen by hash, with a first model that counts all training rows but
+these; the model that scores counts them too.
 
 Training rows are those with crc32(id as text) mod 5 <> 0. Labels, language, source and id never
 enter a score. Defined results: null and empty texts score as a text of no characters (both
@@ -286,25 +287,41 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
              .where("toxic IN (0, 1)").withColumn("fold", fold("id")).where("fold <> 0"))
     texts = scan(docs, {"id": (id_col, "long"), "text": (text_col, "string")})
     hint = F.broadcast if count_at_most(marks, BROADCAST_LABELS) else (lambda x: x)
-    rows = texts.join(hint(marks), "id")
-    strings = stable(rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "toxic")
-                     .mapInArrow(_count_strings, "s string, tox long, ordy long")
-                     .groupBy("s").agg(F.sum("tox").alias("tox"), F.sum("ordy").alias("ordy")))
-    totals = strings.agg(F.sum("tox"), F.sum("ordy")).first()
-    if not totals[0] or not totals[1]:
+    rows = texts.join(hint(marks), "id").withColumn("at", F.xxhash64("id"))
+    # the calibration rows: those of the fold with the lowest hashes, about CALIBRATION_ROWS of them
+    n = marks.where(F.col("fold") == CALIBRATION_FOLD).count()
+    top = 2**63 - 1 if n <= CALIBRATION_ROWS else (CALIBRATION_ROWS << 64) // n - 2**63
+    held = (F.col("fold") == CALIBRATION_FOLD) & (F.col("at") <= top)
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.select("text", "toxic").mapInArrow(_count_strings, "s string, tox long, ordy long")
+
+    def summed(parts: DataFrame) -> DataFrame:
+        return stable(parts.groupBy("s").agg(F.sum("tox").alias("tox"), F.sum("ordy").alias("ordy")))
+
+    def modelled(strings: DataFrame) -> Model | None:
+        totals = strings.agg(F.sum("tox"), F.sum("ordy")).first()
+        if not totals[0] or not totals[1]:
+            return None
+        seen, backs = _ratios(strings)
+        return Model(_table(seen, 0), _table(backs, 1))
+
+    others = summed(counted(rows.where(~held)))
+    every = summed(others.unionByName(counted(rows.where(held))))
+    model, first = modelled(every), modelled(others)
+    if model is None:
         none = Ratios(np.zeros(0, np.uint64), np.zeros(0))
         return Model(none, none)
-    seen, backs = _ratios(strings)
-    model = Model(_table(seen, 0), _table(backs, 1))
-    shared = spark.sparkContext.broadcast(model)
+    if first is None:
+        return model
+    shared = spark.sparkContext.broadcast(first)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b, "text")):
             x = shared.value.differences(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column("toxic"),
                                               part.column("at")], ["a", "b", "toxic", "at"])
-    held = rows.where(F.col("fold") == CALIBRATION_FOLD).withColumn("at", F.xxhash64("id"))
-    got = (held.select("text", "toxic", "at").mapInArrow(features, "a double, b double, toxic int, at long")
+    got = (rows.where(held).select("text", "toxic", "at").mapInArrow(features, "a double, b double, toxic int, at long")
            .orderBy("at").limit(CALIBRATION_ROWS).toArrow())
     y = got.column("toxic").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:

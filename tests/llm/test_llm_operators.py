@@ -397,3 +397,14 @@ def test_toxicity_tables_are_exact(spark):
         marked = "\n" * 4 + t
         want = [by.get(marked[i:i + 5], back.get(marked[i:i + 4], 0.0)) for i in range(len(t))]
         assert abs(model.differences([t])[0, 0] - (np.mean(want) if want else 0)) < 1e-6
+
+
+def test_toxicity_counts_every_training_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 60)       # fewer than the fold has
+    plain = "the river runs under a stone bridge every morning"
+    docs = [(i, plain + (" zvark" if i % 6 == 0 else "") + (" qqwxk" if i % 6 == 0 and zlib.crc32(str(i).encode()) % 5 == 4 else ""))
+            for i in range(600)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(docs, "doc_id long, text string"),
+                                  spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    only, unseen = model.differences(["qqwxk", "jjfpd"])[:, 1]
+    assert only > unseen + 0.1 and model.weights is not None
