@@ -190,8 +190,8 @@ def bucket_gains(source: DataFrame, target: DataFrame, n_buckets: int) -> DataFr
             .join(source.select("bucket", F.col("n").alias("s")), "bucket", "left")
             .join(target.select("bucket", F.col("n").alias("t")), "bucket", "left")
             .select("bucket", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "st"]))
-    totals = both.agg((F.sum("s") + n_buckets).alias("S"), (F.sum("t") + n_buckets).alias("T"))       # one row
-    ratio = ((F.col("t") + 1) * F.col("S")) / ((F.col("s") + 1) * F.col("T"))
+    totals = both.agg((F.sum("s") + n_buckets).alias("s_all"), (F.sum("t") + n_buckets).alias("t_all"))     # one row
+    ratio = ((F.col("t") + 1) * F.col("s_all")) / ((F.col("s") + 1) * F.col("t_all"))
     return both.join(F.broadcast(totals)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
 
 
