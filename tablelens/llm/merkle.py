@@ -9,13 +9,13 @@ bytewise, are folded in the same way to the root of the table.
 2. Index. The leaves are range-partitioned by (group, id, leaf) and written with their position; totals by
    (partition, group) give a leaf's index in its group and the group's size. A group of any size is spread
    over partitions, and the join key (partition, group) holds no more rows than a partition.
-3. Builders. A builder owns an aligned block of ``ARITY ** HEIGHT`` leaves. It appends the digests of its
+3. Builders. A builder owns an aligned block of ``arity ** levels`` leaves. It appends the digests of its
    subtree to its log segment in completion order: a leaf when it arrives, a node as soon as its run is
    complete. Block tops are the leaves of the next round, so a round is smaller by the block size and three rounds hold
    10^10 leaves.
 4. Addresses. In a postorder log a complete subtree of height h takes ``(ARITY^(h+1) - 1) / (ARITY - 1)``
    entries. So leaf i stands at ``i + i // ARITY + i // ARITY^2 + ...``, and node (h, j) stands h entries after its last leaf.
-   ``position`` is that closed form; siblings are read from the log at their positions, no node is searched.
+   ``Shape.position`` is that closed form; siblings are read from the log at their positions, no node is searched.
 5. Proofs. From the last round down, a block's segment and the path above it give every leaf its sibling
    runs up to the root. A task holds one block (4,369 digests) and one path.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,12 +36,44 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import col, query, scan, stable, table
 
+#: Children of a node.
 ARITY = 16
 #: Levels above the leaves that one builder completes.
 HEIGHT = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Children of a node, and levels above the leaves that one builder completes."""
+    arity: int = ARITY
+    levels: int = HEIGHT
+
+    @property
+    def block(self) -> int:
+        """Leaves of a builder."""
+        return self.arity ** self.levels
+
+    def height(self, n: int) -> int:
+        """Levels above ``n`` leaves."""
+        h = 0
+        while n > 1:
+            n, h = -(-n // self.arity), h + 1
+        return h
+
+    def inside(self, n: int) -> int:
+        """Levels a builder completes in a group of ``n`` leaves: to the root in a group of one block."""
+        return min(self.height(n), self.levels)
+
+    def position(self, level: int, j: int, n: int) -> int:
+        """Place of node (level, j) in the postorder log of ``n`` leaves."""
+        last = min((j + 1) * self.arity ** level, n) - 1
+        at, step = last + level, last
+        while step := step // self.arity:
+            at += step
+        return at
+
+
 # ---------------------------------------------------------------- leaves and their index
 
 def leaf_digest(fields: list[Column]) -> Column:
@@ -69,33 +102,16 @@ def indexed(rows: DataFrame, order: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- the log
 
-def position(level: int, j: int, n: int) -> int:
-    """Place of node (level, j) in the postorder log of ``n`` leaves."""
-    last = min((j + 1) * ARITY ** level, n) - 1
-    at, step = last + level, last
-    while step := step // ARITY:
-        at += step
-    return at
-
-
-def height(n: int) -> int:
-    """Levels above ``n`` leaves."""
-    h = 0
-    while n > 1:
-        n, h = -(-n // ARITY), h + 1
-    return h
-
-
 class Builder:
     """Appends digests in completion order."""
 
-    def __init__(self, levels: int):
-        self.log, self.open = [], [[] for _ in range(levels + 1)]
+    def __init__(self, levels: int, arity: int = ARITY):
+        self.arity, self.log, self.open = arity, [], [[] for _ in range(levels + 1)]
 
     def add(self, digest: str, level: int = 0) -> None:
         self.log.append(digest)
         self.open[level].append(digest)
-        if level + 1 < len(self.open) and len(self.open[level]) == ARITY:
+        if level + 1 < len(self.open) and len(self.open[level]) == self.arity:
             self._close(level)
 
     def _close(self, level: int) -> None:
@@ -111,15 +127,8 @@ class Builder:
         return self.log
 
 
-def _block_levels(n: int) -> int:
-    """Levels a builder completes in a group of ``n`` leaves: to the root in a group of one block."""
-    return min(height(n), HEIGHT)
-
-
-def build(leaves: DataFrame) -> DataFrame:
+def build(leaves: DataFrame, shape: Shape) -> DataFrame:
     """``grp, block, n, nodes`` from ``leaves`` (grp, idx, n, digest): one log segment (hex digests in a row) per block."""
-    block = ARITY ** HEIGHT
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, builder = None, None
 
@@ -133,30 +142,33 @@ def build(leaves: DataFrame) -> DataFrame:
                 if now != (grp, blk, n):
                     if now:
                         yield segment()
-                    now, builder = (grp, blk, n), Builder(_block_levels(n))
+                    now, builder = (grp, blk, n), Builder(shape.inside(n), shape.arity)
                 builder.add(digest)
         if now:
             yield segment()
-    rows = leaves.select("grp", F.expr(f"idx div {block}").alias("block"), "idx", "n", "digest")
+    rows = leaves.select("grp", F.expr(f"idx div {shape.block}").alias("block"), "idx", "n", "digest")
     return (rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "idx")
             .mapInArrow(run, "grp string, block long, n long, nodes string"))
 
 
-def build_rounds(leaves: DataFrame) -> list[DataFrame]:
+def build_rounds(leaves: DataFrame, shape: Shape) -> list[DataFrame]:
     """The log segments of every round until each group has one node; the last digest of a segment is its top."""
-    rounds = [stable(build(leaves))]
+    rounds = [stable(build(leaves, shape))]
     while rounds[-1].where("block > 0").limit(1).count():
-        block = ARITY ** HEIGHT
-        tops = rounds[-1].where(F.col("n") > block).select(
-            "grp", F.col("block").alias("idx"), F.ceil(F.col("n") / F.lit(block)).cast("long").alias("n"),
-            F.substring("nodes", -64, 64).alias("digest"))
-        rounds.append(stable(build(tops)))
+        rounds.append(stable(build(_tops(rounds[-1], shape), shape)))
     return rounds
 
 
-def group_roots(rounds: list[DataFrame]) -> DataFrame:
+def _tops(segments: DataFrame, shape: Shape) -> DataFrame:
+    """The leaves of the next round: grp, idx, n and digest of the tops of blocks."""
+    return segments.where(F.col("n") > shape.block).select(
+        "grp", F.col("block").alias("idx"), F.expr(f"(n + {shape.block - 1}) div {shape.block}").alias("n"),
+        F.substring("nodes", -64, 64).alias("digest"))
+
+
+def group_roots(rounds: list[DataFrame], shape: Shape) -> DataFrame:
     """``grp, digest``: the root of each group, from the round in which it had one block."""
-    tops = [r.where(F.col("n") <= ARITY ** HEIGHT).select("grp", F.substring("nodes", -64, 64).alias("digest")) for r in rounds]
+    tops = [r.where(F.col("n") <= shape.block).select("grp", F.substring("nodes", -64, 64).alias("digest")) for r in rounds]
     out = tops[0]
     for t in tops[1:]:
         out = out.unionByName(t)
@@ -165,20 +177,18 @@ def group_roots(rounds: list[DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- proofs
 
-def sibling_runs(idx: int, n: int, block: int, nodes: str) -> list[tuple[int, str]]:
+def sibling_runs(idx: int, n: int, block: int, nodes: str, shape: Shape) -> list[tuple[int, str]]:
     """(own place, digests of the whole run) of leaf ``idx`` on each level of its block, read from the log.
 
-    All positions are relative to the block, whose leaves are ``0 .. size - 1`` of the aligned subtree."""
-    first = block * ARITY ** HEIGHT
-    size = min(n - first, ARITY ** HEIGHT)
+    Positions are relative to the block, the aligned subtree of leaves ``0 .. size - 1``."""
+    first = block * shape.block
+    size = width = min(n - first, shape.block)
     out, j = [], idx - first
-    width = size
-    for level in range(_block_levels(n)):
-        run = j // ARITY * ARITY
-        digests = [nodes[64 * p:64 * p + 64] for k in range(run, min(run + ARITY, width))
-                   for p in [position(level, k, size)]]
-        out.append((j - run, "".join(digests)))
-        j, width = j // ARITY, -(-width // ARITY)
+    for level in range(shape.inside(n)):
+        run = j // shape.arity * shape.arity
+        places = [shape.position(level, k, size) for k in range(run, min(run + shape.arity, width))]
+        out.append((j - run, "".join(nodes[64 * p:64 * p + 64] for p in places)))
+        j, width = j // shape.arity, -(-width // shape.arity)
     return out
 
 
@@ -194,7 +204,7 @@ def siblings(path: list[tuple[int, str]]) -> str:
     return "".join(run[:64 * at] + run[64 * at + 64:] for at, run in path)
 
 
-def _walk(batches: Iterator[pa.RecordBatch], columns: list[str]):
+def _walk(batches: Iterator[pa.RecordBatch], columns: list[str], shape: Shape):
     """(row, path up to the root) for the leaf rows that follow the header row of their block."""
     segment = None
     for b in batches:
@@ -203,16 +213,15 @@ def _walk(batches: Iterator[pa.RecordBatch], columns: list[str]):
             if r["kind"] == 0:
                 segment, above = r, list(zip(r["places"] or [], r["runs"] or []))
             else:
-                yield r, sibling_runs(r["idx"], segment["n"], r["block"], segment["nodes"]) + above
+                yield r, sibling_runs(r["idx"], segment["n"], r["block"], segment["nodes"], shape) + above
 
 
-def descend(segments: DataFrame, paths: DataFrame, leaves: DataFrame) -> DataFrame:
+def descend(segments: DataFrame, paths: DataFrame, leaves: DataFrame, shape: Shape) -> DataFrame:
     """Header rows (a block's log segment and the path above it) and its leaf rows, sorted into one stream."""
-    block = ARITY ** HEIGHT
     head = segments.alias("s").join(paths.alias("p"), F.col("s.grp").eqNullSafe(F.col("p.grp"))
                                     & (F.col("s.block") == F.col("p.idx")), "left").select(
         "s.grp", "s.block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("idx"), "s.n", "s.nodes", "p.places", "p.runs")
-    body = leaves.withColumns({"kind": F.lit(1), "block": F.expr(f"idx div {block}")})
+    body = leaves.withColumns({"kind": F.lit(1), "block": F.expr(f"idx div {shape.block}")})
     return (head.unionByName(body, allowMissingColumns=True)
             .repartition("grp", "block").sortWithinPartitions("grp", "block", "kind", "idx"))
 
@@ -220,25 +229,25 @@ def descend(segments: DataFrame, paths: DataFrame, leaves: DataFrame) -> DataFra
 _PATHS = "grp string, idx long, places array<int>, runs array<string>"
 
 
-def paths_of(segments: DataFrame, paths: DataFrame, leaves: DataFrame) -> DataFrame:
+def paths_of(segments: DataFrame, paths: DataFrame, leaves: DataFrame, shape: Shape) -> DataFrame:
     """The path of every leaf (of an upper round, where a leaf is the top of a block below)."""
     schema = pa.schema([("grp", pa.string()), ("idx", pa.int64()), ("places", pa.list_(pa.int32())),
                         ("runs", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for r, path in _walk(batches, ["grp"]):
+        for r, path in _walk(batches, ["grp"], shape):
             out.append({"grp": r["grp"], "idx": r["idx"], "places": [a for a, _ in path], "runs": [s for _, s in path]})
             if len(out) == 1000:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
                 out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
-    return descend(segments, paths, leaves).mapInArrow(run, _PATHS)
+    return descend(segments, paths, leaves, shape).mapInArrow(run, _PATHS)
 
 
 def manifest(df: DataFrame, fields: list[str], id_col: str = "doc_id", group_col: str = "source",
-             tampered: tuple[Column, dict[str, Column]] | None = None) -> DataFrame:
+             tampered: tuple[Column, dict[str, Column]] | None = None, shape: Shape = Shape()) -> DataFrame:
     """``id, grp, leaf, subroot, root, proof_sha256, folded_root, verified`` for every row of ``df``.
 
     ``tampered`` is a rule and, for the rows that meet it, what was found in place of some fields when the
@@ -252,10 +261,10 @@ def manifest(df: DataFrame, fields: list[str], id_col: str = "doc_id", group_col
     # one scan of the texts; only digests go on
     leaves = indexed(stable(rows.select("id", "grp", leaf.alias("digest"), check.alias("found"))), ["id", "digest", "found"])
     leaves = stable(leaves)
-    rounds = build_rounds(leaves)
-    subroots = stable(indexed(group_roots(rounds).select(
+    rounds = build_rounds(leaves, shape)
+    subroots = stable(indexed(group_roots(rounds, shape).select(
         F.lit(None).cast("string").alias("grp"), F.col("grp").alias("name"), "digest"), ["name"]))
-    top = build_rounds(subroots.select("grp", "idx", "n", "digest"))
+    top = build_rounds(subroots.select("grp", "idx", "n", "digest"), shape)
     root = top[-1].select(F.substring("nodes", -64, 64)).first()
     root = root and root[0]                                        # one digest, the last entry of the log
 
@@ -263,11 +272,11 @@ def manifest(df: DataFrame, fields: list[str], id_col: str = "doc_id", group_col
     empty = df.sparkSession.createDataFrame([], _PATHS)
     path = empty
     for k in range(len(top) - 1, -1, -1):
-        path = stable(paths_of(top[k], path, _round_leaves(subroots, top, k)))
+        path = stable(paths_of(top[k], path, _round_leaves(subroots, top, k, shape), shape))
     path = path.join(subroots.select("idx", "name"), "idx").select(
         F.col("name").alias("grp"), F.lit(0).cast("long").alias("idx"), "places", "runs")
     for k in range(len(rounds) - 1, 0, -1):
-        inner = stable(paths_of(rounds[k], path, _round_leaves(leaves, rounds, k)))
+        inner = stable(paths_of(rounds[k], path, _round_leaves(leaves, rounds, k, shape), shape))
         # groups that had one block in an earlier round keep the path of their root
         path = inner.unionByName(path.join(rounds[k].select(F.col("grp").alias("g_")).distinct(),
                                            F.col("grp").eqNullSafe(F.col("g_")), "left_anti"))
@@ -276,8 +285,8 @@ def manifest(df: DataFrame, fields: list[str], id_col: str = "doc_id", group_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, known, sub = [], None, None
-        for r, path in _walk(batches, ["id", "grp", "digest", "found"]):
-            inside = height(r["n"])                                # levels inside the group; the others are above it
+        for r, path in _walk(batches, ["id", "grp", "digest", "found"], shape):
+            inside = shape.height(r["n"])                                # levels inside the group; the others are above it
             if known != (r["grp"], r["block"]):
                 known, sub = (r["grp"], r["block"]), fold(r["digest"], path[:inside])
             out.append({"id": r["id"], "grp": r["grp"], "leaf": r["digest"], "subroot": sub, "root": root,
@@ -288,18 +297,14 @@ def manifest(df: DataFrame, fields: list[str], id_col: str = "doc_id", group_col
                 out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
-    return (descend(rounds[0], path, leaves).mapInArrow(
+    return (descend(rounds[0], path, leaves, shape).mapInArrow(
         run, "id long, grp string, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
         .withColumn("verified", F.col("folded_root") == F.col("root")))
 
 
-def _round_leaves(leaves: DataFrame, rounds: list[DataFrame], k: int) -> DataFrame:
+def _round_leaves(leaves: DataFrame, rounds: list[DataFrame], k: int, shape: Shape) -> DataFrame:
     """grp, idx, n of the leaves of round ``k``: the rows themselves, or the blocks of the round before."""
-    if k == 0:
-        return leaves.select("grp", "idx", "n")
-    block = ARITY ** HEIGHT
-    return rounds[k - 1].where(F.col("n") > block).select(
-        "grp", F.col("block").alias("idx"), F.ceil(F.col("n") / F.lit(block)).cast("long").alias("n"))
+    return (_tops(rounds[k - 1], shape) if k else leaves).select("grp", "idx", "n")
 
 
 def _encoded(c: str) -> str:
