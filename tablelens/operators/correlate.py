@@ -7,7 +7,10 @@
   table.  A column without nulls is ranked once (context -1); a pair touching
   a nullable column is ranked on its own complete rows (context = pair).
   Ranks are attached back to rows by a row id on a checkpointed copy of the
-  numeric columns, so recomputation cannot shift the ids.
+  numeric columns, so recomputation cannot shift the ids.  Values that hold a
+  thousandth of a column or more (at most a thousand of them per column) get their
+  ranks by broadcast, so that no frequent value meets in one task.  Only the
+  C(p, 2) needed pairs of rank columns are correlated.
 """
 
 from __future__ import annotations
@@ -32,32 +35,37 @@ _MOMENT_SCHEMA = T.StructType([T.StructField(n, T.IntegerType() if n in ("i", "j
                                for n in ("i", "j", "n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
-def pairwise_corr(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], tuple[int, float | None]]:
-    """Pairwise-complete Pearson r for all i < j of the (double) columns ``cols``.
+def pairwise_corr(df: DataFrame, cols: list[str],
+                  pairs: list[tuple[int, int]] | None = None) -> dict[tuple[int, int], tuple[int, float | None]]:
+    """Pairwise-complete Pearson r of the (double) columns ``cols`` for all i < j, or for the given pairs.
 
-    Per task, with M the non-null mask and X the mean-shifted values
-    (nulls as 0): counts MᵀM, sums XᵀM, squares (X²)ᵀM and cross-products XᵀX —
-    p(p-1)/2 rows of partial sums per task, summed by (i, j).  One pass, no
-    per-pair aggregate buffers, shuffle independent of the row count.
+    Per task, over the rows where both values of a pair are present and with the mean-shifted values x, y: the
+    count and the sums of x, y, x², y² and xy.  All pairs: with M the non-null mask and X the values (nulls as 0)
+    these are MᵀM, XᵀM, (X²)ᵀM and XᵀX; given pairs: column by column.  One partial row per task and pair,
+    summed by pair.  One pass, no per-pair aggregate buffers, shuffle independent of the row count.
     """
     p = len(cols)
     means = df.agg(*[F.avg(F.col(c)).alias(f"m{k}") for k, c in enumerate(cols)]).first()
     shift = np.array([means[f"m{k}"] or 0.0 for k in range(p)])
-    iu = np.triu_indices(p, 1)
+    first, second = np.triu_indices(p, 1) if pairs is None else np.array(pairs, int).reshape(-1, 2).T
 
     def partial(batches):
-        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+        out = np.zeros((6, len(first)))
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float) - shift
             m = ~np.isnan(x)
             x = np.where(m, x, 0.0)
-            mf = m.astype(float)
-            n += mf.T @ mf
-            sx += x.T @ mf                     # sx[i, j] = Σ x_i over rows where j is present
-            sxx += (x * x).T @ mf
-            sxy += x.T @ x
-        yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "n": n[iu],
-                            "sx": sx[iu], "sy": sx.T[iu], "sxx": sxx[iu], "syy": sxx.T[iu], "sxy": sxy[iu]})
+            m = m.astype(float)
+            if pairs is None:
+                sx, sxx = x.T @ m, (x * x).T @ m                  # sx[i, j] = Σ x_i over rows where j is present
+                at = first, second
+                out += [(m.T @ m)[at], sx[at], sx.T[at], sxx[at], sxx.T[at], (x.T @ x)[at]]
+            else:
+                for k, (i, j) in enumerate(zip(first, second)):
+                    a, b, ma, mb = x[:, i], x[:, j], m[:, i], m[:, j]
+                    out[:, k] += [ma @ mb, a @ mb, b @ ma, (a * a) @ mb, (b * b) @ ma, a @ b]
+        yield pd.DataFrame({"i": first.astype("int32"), "j": second.astype("int32"),
+                            **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), out))})
 
     sums = (df.select(*cols).mapInPandas(partial, _MOMENT_SCHEMA)
             .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).collect())
@@ -111,20 +119,22 @@ def spearman(df: DataFrame, columns: list[tuple[int, str]],
                                                  F.col(f"x{k}").alias("value"))))
     long = (base.select("rid", F.explode(F.array(*structs)).alias("s"))
             .where(F.col("s").isNotNull()).select("rid", "s.*"))
-    rt = with_midrank(rank_table(long, ["col", "ctx"], max_key_groups=len(structs)))
-    ranked = long.join(rt.select("col", "ctx", "value", "midrank"), ["col", "ctx", "value"])
+    rt = stable(with_midrank(rank_table(long, ["col", "ctx"], max_key_groups=len(structs))))
+    often = F.col("cnt") * 1000 >= F.col("n")                     # at most a thousand values per column and context
+    at = ["col", "ctx", "value"]
+    marked = long.join(F.broadcast(rt.where(often).select(*at, F.col("midrank").alias("often"))), at, "left")
+    rare = marked.where(F.col("often").isNull()).drop("often").join(rt.where(~often).select(*at, "midrank"), at)
+    ranked = rare.unionByName(marked.where(F.col("often").isNotNull()).withColumnRenamed("often", "midrank"))
     needed = sorted({(i, ctx_of[(i, j)]) for i, j in pairs} | {(j, ctx_of[(i, j)]) for i, j in pairs})
     rname = lambda k, c: f"r{k}_{c if c >= 0 else 'a'}"
     wide = ranked.groupBy("rid").agg(*[
         F.max(F.when((F.col("col") == k) & (F.col("ctx") == c), F.col("midrank"))).alias(rname(k, c))
         for k, c in needed])
     rcols = [rname(k, c) for k, c in needed]
-    res = pairwise_corr(wide.select(*rcols), rcols)
     pos = {name: k for k, name in enumerate(rcols)}
-    rows = []
-    for i, j in pairs:
-        a, b = pos[rname(i, ctx_of[(i, j)])], pos[rname(j, ctx_of[(i, j)])]
-        rows.append((i, j, res[(min(a, b), max(a, b))][1]))
+    wanted = [(pos[rname(i, ctx_of[(i, j)])], pos[rname(j, ctx_of[(i, j)])]) for i, j in pairs]
+    res = pairwise_corr(wide.select(*rcols), rcols, wanted)
+    rows = [(i, j, res[at][1]) for (i, j), at in zip(pairs, wanted)]
     return df.sparkSession.createDataFrame(rows, "i int, j int, spearman double")
 
 

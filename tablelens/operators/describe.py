@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import sample_kurtosis, sample_skewness
-from tablelens.operators.ranks import box_stats, quantiles, rank_table, unpivot
+from tablelens.operators.ranks import unpivot
+from tablelens.operators.selection import QUARTILES, box_stats, quantiles
+from tablelens.session import stable
 from tablelens.sources.tables import q
 
 
@@ -26,11 +28,11 @@ def moments(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     return df.agg(F.array(*items).alias("cols")).select(F.inline("cols"))
 
 
-def describe(df: DataFrame, columns: list[tuple[int, str]], rt: DataFrame | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[tuple[int, str]], quartiles: DataFrame | None = None) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max, skewness, kurtosis per numeric column."""
     m = moments(df, columns)
-    rt = rt if rt is not None else rank_table(unpivot(df, columns), ["ordinal"], max_key_groups=len(columns))
-    qs = quantiles(rt, ["ordinal"], [0.25, 0.5, 0.75]).select(
+    qs = quartiles if quartiles is not None else quantiles(unpivot(df, columns), ["ordinal"], QUARTILES)
+    qs = qs.select(
         "ordinal", F.col("q_0").alias("q25"), F.col("q_1").alias("q50"), F.col("q_2").alias("q75"))
     return m.join(F.broadcast(qs), "ordinal", "left").select(
         "ordinal", "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis")
@@ -85,19 +87,17 @@ def histogram(df: DataFrame, columns: list[tuple[int, str]], bins: int = 30) ->
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
-def box_table(df: DataFrame, columns: list[tuple[int, str]], rt: DataFrame | None = None) -> DataFrame:
+def box_table(df: DataFrame, columns: list[tuple[int, str]], quartiles: DataFrame | None = None) -> DataFrame:
     """Box-plot statistics per numeric column (AGG17)."""
-    rt = rt if rt is not None else rank_table(unpivot(df, columns), ["ordinal"], max_key_groups=len(columns))
     names = df.sparkSession.createDataFrame(columns, "ordinal int, column string")
-    return box_stats(rt, ["ordinal"]).join(F.broadcast(names), "ordinal")
+    return box_stats(unpivot(df, columns), ["ordinal"], quartiles=quartiles).join(F.broadcast(names), "ordinal")
 
 
-def box_by_level(df: DataFrame, value: str, level: str, max_levels: int | None = None) -> DataFrame:
+def box_by_level(df: DataFrame, value: str, level: str) -> DataFrame:
     """Box-plot statistics of ``value`` per non-null level of ``level`` (AGG17, grouped)."""
     long = df.select(q(level).cast("string").alias("level"), q(value).cast("double").alias("value")) \
              .where(F.col("level").isNotNull())
-    rt = rank_table(long, ["level"], max_key_groups=max_levels)
-    return box_stats(rt, ["level"], broadcast_ok=max_levels is not None)
+    return box_stats(long, ["level"])
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFrame:
@@ -119,8 +119,8 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_chart_data(df: DataFrame, columns: list[tuple[int, str]], bins: int = 30,
-                       rt: DataFrame | None = None) -> dict[str, DataFrame]:
+                       quartiles: DataFrame | None = None) -> dict[str, DataFrame]:
     """Data of the numeric distribution charts (AGG19): histogram + mean/median + box."""
-    rt = rt if rt is not None else rank_table(unpivot(df, columns), ["ordinal"], max_key_groups=len(columns))
-    return {"histogram": histogram(df, columns, bins), "box": box_table(df, columns, rt),
-            "center": describe(df, columns, rt).select("ordinal", "column", "mean", F.col("q50").alias("median"))}
+    quartiles = quartiles if quartiles is not None else stable(quantiles(unpivot(df, columns), ["ordinal"], QUARTILES))
+    return {"histogram": histogram(df, columns, bins), "box": box_table(df, columns, quartiles),
+            "center": describe(df, columns, quartiles).select("ordinal", "column", "mean", F.col("q50").alias("median"))}

@@ -4,7 +4,8 @@ The complete rows are the same for every target, so the stage scans them three t
 many targets there are: levels, means and one **Gram pass**.  That is the cross-products of the
 mean-shifted numerics and dummies, added up per task (``mapInPandas``) and summed by ``(i, j)`` —
 p(p+1)/2 partial sums per task, so the shuffle does not grow with the rows.  Each target's system
-is a block of that p × p matrix and is solved on the driver (p is the number of columns, not rows).
+is a block of that p × p matrix, swept on the driver (p is the number of columns, not rows).
+Features that are combinations of others are named, get no coefficient of their own and no test.
 
 Standardisation (ddof 0) is applied algebraically to the covariances:
 numerics and the target are z-scored, dummies stay 0/1, exactly as in the
@@ -98,36 +99,54 @@ def _gram_batches(df: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.
     return n, shift + s / n, cov
 
 
+def sweep(a: np.ndarray, over: list[int], tolerance: float = 1e-9) -> list[int]:
+    """Sweeps the symmetric matrix ``a`` in place over the given rows, best conditioned first; returns those left out.
+
+    Before each step the remaining diagonal over the first one is the share of a feature that the swept ones do not
+    explain.  A feature with no more than ``tolerance`` of it is redundant: a combination of the swept ones.
+    Swept rows hold the inverse of their block and, against the other rows, the regression coefficients."""
+    start, left = np.diag(a).copy(), list(over)
+    while left:
+        share = np.array([a[i, i] / start[i] if start[i] > 0 else 0.0 for i in left])
+        at = int(share.argmax())                                  # the first of equal ones
+        if share[at] <= tolerance:
+            break
+        k = left.pop(at)
+        pivot, row = a[k, k], a[k].copy()
+        a -= np.outer(row, row) / pivot
+        a[k], a[:, k] = row / pivot, row / pivot
+        a[k, k] = -1.0 / pivot
+    return left
+
+
 def fit_standardised_ols(n: int, cov: np.ndarray, kinds: list[str], names: list[str]) -> dict:
-    """OLS of the z-scored target (last column of ``cov``) on the features."""
+    """OLS of the z-scored target (last column of ``cov``) on the features, by sweeping them out."""
     sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
     scale = np.where((np.array(kinds) == "num") & (sd > 0), sd, 1.0)
     z = cov / np.outer(scale, scale)
-    sxx, sxy, syy = z[:-1, :-1], z[:-1, -1], z[-1, -1]
-    p = len(names)
-    rank = int(np.linalg.matrix_rank(sxx)) if p else 0
-    beta = np.linalg.pinv(sxx) @ sxy
-    ssr = max(n * (syy - 2 * beta @ sxy + beta @ sxx @ beta), 0.0)
-    sst = n * syy
+    p, sst = len(names), n * z[-1, -1]
+    redundant = sweep(z, list(range(p))) if sst > 0 else list(range(p))
+    used = np.array([i not in redundant for i in range(p)])
+    beta = np.where(used, z[:-1, -1], 0.0)
+    ssr = max(n * z[-1, -1], 0.0)
     r2 = 1.0 - ssr / sst if sst > 0 else 0.0
-    dfe = n - p - 1
+    rank = int(used.sum())
+    dfe = n - rank - 1
     adj = 1 - (1 - r2) * (n - 1) / dfe
-    f_stat = (r2 / p) / ((1 - r2) / dfe) if r2 < 1 else 0.0
+    f_stat = (r2 / rank) / ((1 - r2) / dfe) if 0 < r2 < 1 and rank else 0.0
     mse = ssr / dfe
-    collinear = rank < p
-    inv = np.linalg.pinv(n * sxx) if collinear else np.linalg.inv(n * sxx)
-    se = np.sqrt(np.clip(np.diag(mse * inv), 0.0, None))
+    se = np.sqrt(np.clip(-np.diag(z)[:-1] * mse / n, 0.0, None))
     t = beta / np.maximum(se, 1e-10)
     pv = [t_two_sided(float(abs(x)), float(dfe)) for x in t]
     return {"beta": beta, "se": se, "t": t, "p": pv, "r2": r2, "adj_r2": adj, "f": f_stat,
-            "f_p": f_sf(f_stat, p, dfe) if f_stat > 0 else 1.0,   # a perfect fit has no F, as in the reference
-            "collinear": collinear, "rank": rank}
+            "f_p": f_sf(f_stat, rank, dfe) if f_stat > 0 else 1.0,   # a perfect fit has no F, as in the reference
+            "redundant": ~used, "rank": rank}
 
 
 _MODEL_SCHEMA = ("target string, n_samples long, n_features int, r_squared double, adj_r_squared double, "
-                 "f_statistic double, f_pvalue double, model_significant boolean, collinear boolean")
+                 "f_statistic double, f_pvalue double, model_significant boolean, collinear boolean, redundant_features array<string>")
 _DRIVER_SCHEMA = ("target string, feature string, coefficient double, std_error double, t_statistic double, "
-                  "p_value double, significant boolean, abs_importance double, rank int")
+                  "p_value double, significant boolean, abs_importance double, redundant boolean")
 
 
 def driver_analysis(df: DataFrame, numerics: list[str], eligible_cats: list[str],
@@ -157,13 +176,15 @@ def driver_analysis(df: DataFrame, numerics: list[str], eligible_cats: list[str]
             feats = [names[i] for i in block[:-1]]
             fit = fit_standardised_ols(n, cov[np.ix_(block, block)], list(kinds[block]), feats)
             models.append((target, int(n), p, float(fit["r2"]), float(fit["adj_r2"]), float(fit["f"]),
-                           float(fit["f_p"]), bool(fit["f_p"] < opts.alpha), bool(fit["collinear"])))
+                           float(fit["f_p"]), bool(fit["f_p"] < opts.alpha), bool(fit["redundant"].any()),
+                           [feats[i] for i in np.flatnonzero(fit["redundant"])]))
             for i, name in enumerate(feats):
-                pv = fit["p"][i]
-                drivers.append((target, name, float(fit["beta"][i]), float(fit["se"][i]), float(fit["t"][i]),
-                                float(pv), bool(pv < opts.alpha), abs(float(fit["beta"][i])), 0))
+                out, pv = bool(fit["redundant"][i]), fit["p"][i]
+                drivers.append((target, name, float(fit["beta"][i]), None if out else float(fit["se"][i]),
+                                None if out else float(fit["t"][i]), None if out else float(pv), bool(pv < opts.alpha) and not out,
+                                abs(float(fit["beta"][i])), out))
     model_df = spark.createDataFrame(models, _MODEL_SCHEMA)
-    drv = spark.createDataFrame(drivers, _DRIVER_SCHEMA).drop("rank")
+    drv = spark.createDataFrame(drivers, _DRIVER_SCHEMA)
     w = Window.partitionBy("target").orderBy(F.desc("abs_importance"), F.asc("feature"))
     drv = drv.withColumn("rank", F.row_number().over(w))
     return {"models": model_df, "drivers": drv}

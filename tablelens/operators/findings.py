@@ -145,16 +145,16 @@ def recommendations(spark: SparkSession, models: DataFrame | None, drivers: Data
                                F.concat_ws(" vs ", "group1", "group2"), "p_value", F.col("p_value"),
                                F.format_string("post-hoc confirms %s vs %s (p=%.4f, %s)", F.col("group1"),
                                                F.col("group2"), F.col("p_value"), F.col("method"))))
-    if seg_info is not None and profile is not None and seg_info.get("silhouette_sq") is not None \
-            and seg_info["silhouette_sq"] > 0.25:
+    if seg_info is not None and profile is not None and seg_info.get("silhouette") is not None \
+            and seg_info["silhouette"] > 0.25:
         ext = profile.agg(F.max_by("cluster", "size").alias("largest"), F.max("size").alias("lsize"),
                           F.min_by("cluster", "size").alias("smallest"), F.min("size").alias("ssize"),
                           F.count(F.lit(1)).alias("k")).where("k >= 2")
-        parts.append(_rows(ext, "recommendation", "segments", F.lit(5), F.lit("segments"), "silhouette_sq",
-                           F.lit(seg_info["silhouette_sq"]),
+        parts.append(_rows(ext, "recommendation", "segments", F.lit(5), F.lit("segments"), "silhouette",
+                           F.lit(seg_info["silhouette"]),
                            F.format_string("%d segments (silhouette=%.3f): scale reach for cluster %d (%d rows), "
                                            "deepen cluster %d (%d rows)", F.lit(seg_info["k_optimal"]),
-                                           F.lit(seg_info["silhouette_sq"]), F.col("largest"), F.col("lsize"),
+                                           F.lit(seg_info["silhouette"]), F.col("largest"), F.col("lsize"),
                                            F.col("smallest"), F.col("ssize"))))
     if hints is not None:
         top = hints.withColumn("r", F.row_number().over(Window.orderBy(F.desc("difference"), "i", "j"))).where("r = 1")

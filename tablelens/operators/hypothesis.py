@@ -10,8 +10,8 @@ Plan per analysis (not per pair):
   ``normality_rule="shapiro"``: Shapiro-Wilk per (numeric, categorical, level) group of 3 to
   ``shapiro_max_n`` values, larger groups count as normal.
 * **rank tests** — only pairs that need Mann-Whitney / Kruskal-Wallis: values
-  counted per (pair, level, value), ranked with the distributed rank table,
-  rank sums per level joined back.
+  counted per (pair, level, value) and passed once in order; the matrix of wins of
+  level over level gives U, H and every post-hoc U.
 * p-values through Arrow UDFs over the (small) result rows.
 
 Level order is ascending by the level's string value (Spark has no row order);
@@ -20,8 +20,7 @@ it decides the sign of t and which sample U belongs to.
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +29,9 @@ from pyspark.sql import types as T
 from tablelens.functions import pvalues as PV
 from tablelens.functions.columns import effect_label
 from tablelens.functions.distributions import shapiro_wilk
-from tablelens.operators.ranks import rank_table, with_midrank
+from tablelens.operators.records import bonferroni
 from tablelens.options import Options
+from tablelens.session import shuffle_partitions, stable
 from tablelens.sources.tables import q
 
 
@@ -40,7 +40,8 @@ def moment_table(df: DataFrame, numerics: list[str], categoricals: list[str]) ->
     """num, cat, numeric, categorical, level, rows, n, mean, var, skew, kurt (excess).
 
     ``rows`` counts rows of the level (null numerics included: the size filter
-    of the tests), ``n`` the non-null values (the post-hoc filter)."""
+    of the tests), ``n`` the non-null values (the post-hoc filter).  The table (levels × numerics rows) is
+    written once, so the rows are read once however many statistics branch off it."""
     cat_structs = [F.struct(F.lit(j).alias("cat"), q(c).cast("string").alias("level"))
                    for j, c in enumerate(categoricals)]
     xs = [q(c).cast("double").alias(f"x{i}") for i, c in enumerate(numerics)]
@@ -56,9 +57,9 @@ def moment_table(df: DataFrame, numerics: list[str], categoricals: list[str]) ->
                             F.col(f"s{i}").alias("skew"), F.col(f"k{i}").alias("kurt"))
                    for i, c in enumerate(numerics)]
     cat_name = F.element_at(F.array(*[F.lit(c) for c in categoricals]), F.col("cat") + 1)
-    return per.select("cat", cat_name.alias("categorical"), "level", "rows",
-                      F.inline(F.array(*num_structs))).select(
-        "num", "cat", "numeric", "categorical", "level", "rows", "n", "mean", "var", "skew", "kurt")
+    return stable(per.select("cat", cat_name.alias("categorical"), "level", "rows",
+                             F.inline(F.array(*num_structs))).select(
+        "num", "cat", "numeric", "categorical", "level", "rows", "n", "mean", "var", "skew", "kurt"))
 
 
 _MOMENTS_SCHEMA = ("num int, cat int, numeric string, categorical string, level string, rows long, n long, "
@@ -112,33 +113,44 @@ def parametric(moments: DataFrame) -> DataFrame:
                                             d.alias("cohen_d")), keys)
 
 
-def rank_statistics(df: DataFrame, numerics: list[str], categoricals: list[str],
-                    groups: dict[tuple[int, int], list[str]]) -> DataFrame:
-    """Per (num, cat): U of the first level ascending, its tie-corrected z (continuity, larger U), and
-    Kruskal's H in the centred form, which does not cancel at large N."""
+def rank_statistics(wins: DataFrame) -> DataFrame:
+    """Per (num, cat) of a ``win_matrix``: U of the first level ascending, its tie-corrected z (continuity,
+    larger U), and Kruskal's H in the centred form, which does not cancel at large N.
+
+    A level's rank sum is its wins over all other levels plus the ranks n (n + 1) / 2 it would have alone."""
     keys = ["num", "cat"]
-    _, per_level, per_pair = rank_sums(df, numerics, categoricals, groups)
+    per_level = wins.where("a <> b AND n_a > 0").groupBy(*keys, F.col("a").alias("level")).agg(
+        F.max("n_a").alias("n"), F.sum("u").alias("won"))
+    whole = wins.where("a = b AND n_a > 0").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k_ranked"), F.sum("n_a").alias("n_ranked"), F.max("tie_all").alias("tie"))
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy("level"))
-    total = F.col("N").cast("double")
-    gap = F.col("rank_sum") / F.col("n") - (total + 1) / 2
-    one = per_level.withColumn("pos", pos).join(per_pair, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k_ranked"), F.max("N").alias("n_ranked"), F.max("tie").alias("tie"),
-        F.max("max_cnt").alias("max_cnt"),
+    n, n1, n2, tie = F.col("n_ranked").cast("double"), F.col("u_n1"), F.col("u_n2"), F.col("tie")
+    gap = (F.col("won") + F.col("n") * (F.col("n") + 1) / 2) / F.col("n") - (n + 1) / 2
+    one = per_level.withColumn("pos", pos).join(whole, keys).groupBy(*keys).agg(
+        F.max("k_ranked").alias("k_ranked"), F.max("n_ranked").alias("n_ranked"), F.max("tie").alias("tie"),
         F.max(F.when(F.col("pos") == 1, F.col("n"))).cast("double").alias("u_n1"),
-        F.max(F.when(F.col("pos") == 1, F.col("rank_sum"))).alias("r1"),
+        F.max(F.when(F.col("pos") == 1, F.col("won"))).alias("u"),
         F.max(F.when(F.col("pos") == 2, F.col("n"))).cast("double").alias("u_n2"),
         F.sum(F.col("n") * F.pow(gap, 2)).alias("spread"))
-    n, n1, n2, tie = F.col("n_ranked").cast("double"), F.col("u_n1"), F.col("u_n2"), F.col("tie")
-    u = F.col("r1") - n1 * (n1 + 1) / 2
+    u = F.col("u")
     sigma = F.sqrt(n1 * n2 / 12.0 * (n + 1 - F.try_divide(tie, n * (n - 1))))
     untied = 1 - F.try_divide(tie, F.pow(n, 3) - n)
     return one.select(
-        *keys, "k_ranked", "n_ranked", "u_n1", "u_n2", "tie", u.alias("u"),
-        (((n1 <= 8) | (n2 <= 8)) & (F.col("max_cnt") <= 1)).alias("u_exact"),
+        *keys, "k_ranked", "n_ranked", "u_n1", "u_n2", "tie", "u",
+        (((n1 <= 8) | (n2 <= 8)) & (tie == 0)).alias("u_exact"),
         F.when(sigma > 0, (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sigma).alias("z"),
         F.when(untied > 0, F.lit(12.0) / (n * (n + 1)) * F.col("spread") / untied).alias("h"))
 
 
+#: Fixed value: the largest |Z| of a rank effect, the normal quantile of a one-sided p of 1e-10.
+MAX_Z = 6.361340902404056
+
+
+def rank_effect(z: Column, n: Column) -> Column:
+    """r = |Z| / sqrt(N), the effect size of a rank test (TST11)."""
+    return F.when(n > 0, F.least(F.abs(z), F.lit(MAX_Z)) / F.sqrt(n.cast("double")))
+
+
 # ---------------------------------------------------------- normality
 def jarque_bera(moments: DataFrame) -> DataFrame:
     """Adds jb = n/6 · (skew² + kurt²/4) and jb_p = exp(-jb/2), its χ² tail with two degrees of freedom.
@@ -196,25 +208,67 @@ def normality(df: DataFrame, numerics: list[str], categoricals: list[str], surv:
     return long.groupBy("num", "cat", "level").applyInPandas(_shapiro_group, _SHAPIRO_SCHEMA)
 
 
-# ---------------------------------------------------------- rank sums
-def rank_sums(df: DataFrame, numerics: list[str], categoricals: list[str],
-              groups: dict[tuple[int, int], list[str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per (num, cat): rank sums per level over the union of the given levels.
+# ---------------------------------------------------------- wins of level over level
+_SLICE = "part int, num int, cat int, a string, b string, own double, tie double, n_a long, n_b long, tie_all double"
+
 
-    Returns (vc_lvl, per_level(num, cat, level, n, rank_sum), per_pair(num, cat, N, tie, max_cnt))."""
+def win_matrix(df: DataFrame, numerics: list[str], categoricals: list[str],
+               groups: dict[tuple[int, int], list[str]]) -> DataFrame:
+    """num, cat, a, b, u, tie, n_a, n_b, tie_all for every two of the given levels of each pair of columns.
+
+    ``u`` counts the pairs of values in which level ``a`` is above level ``b`` (ties half): the Mann-Whitney U of ``a``.
+    ``tie`` is the sum of t³ - t over the values of both levels, ``tie_all`` that over all given levels.
+
+    Values are counted per (pair, level, value), range-partitioned by (pair, value) and passed once in order:
+    with C the counts of a slice's values by level and B the counts below each value in the slice, the slice adds
+    Cᵀ (B + C / 2); the counts of the slices before it add n_a · before_b.  A slice emits levels² sums, whatever its size,
+    and no count is copied per pair of levels."""
     pred, structs = _level_filter(categoricals, groups, numerics, "value")
     long = (df.where(pred).select(F.explode(F.array(*structs)).alias("s"))
             .where(F.col("s").isNotNull()).select("s.*"))
-    vc_lvl = long.groupBy("num", "cat", "level", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    rt = with_midrank(rank_table(vc_lvl, ["num", "cat"], "value", weight="cnt",
-                                 max_key_groups=len(groups)))
-    per_level = (vc_lvl.join(rt.select("num", "cat", "value", "midrank"), ["num", "cat", "value"])
-                 .groupBy("num", "cat", "level")
-                 .agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.col("midrank")).alias("rank_sum")))
-    per_pair = rt.groupBy("num", "cat").agg(
-        F.sum("cnt").alias("N"), F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("tie"),
-        F.max("cnt").alias("max_cnt"))
-    return vc_lvl, per_level, per_pair
+    counts = long.groupBy("num", "cat", "level", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    order = {k: {lv: at for at, lv in enumerate(sorted(v))} for k, v in groups.items()}
+
+    def run(batches):
+        from pyspark import TaskContext
+        part, sums, held = TaskContext.get().partitionId(), {}, None
+
+        def add(pdf):
+            for (i, j), rows in pdf.groupby(["num", "cat"], sort=False):
+                at = order[(i, j)]
+                values, row = np.unique(rows["value"].to_numpy(), return_inverse=True)
+                c = np.zeros((len(values), len(at)))
+                c[row, [at[x] for x in rows["level"]]] = rows["cnt"].to_numpy()
+                below, own, square, cube, tied = sums.setdefault((i, j), [np.zeros(len(at)), 0.0, 0.0, 0.0, 0.0])
+                b = np.cumsum(c, axis=0) - c + below
+                t = c.sum(axis=1)
+                sums[(i, j)] = [below + c.sum(axis=0), own + c.T @ (b + c / 2), square + (c * c).T @ c,
+                                cube + (c ** 3).sum(axis=0), tied + (t ** 3 - t).sum()]
+
+        for pdf in batches:                                       # rows come sorted by (num, cat, value)
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            key = pdf[["num", "cat", "value"]]
+            last = (key == key.iloc[-1]).all(axis=1).to_numpy() if len(pdf) else np.zeros(0, bool)
+            held = pdf[last]                                      # the last value may go on in the next batch
+            if not last.all():
+                add(pdf[~last])
+        if held is not None and len(held):
+            add(held)
+        out = [(part, i, j, a, b, float(own[x, y]), float(cube[x] + cube[y] + 3 * (square[x, y] + square[y, x]) - n[x] - n[y]),
+                int(n[x]), int(n[y]), float(tied))
+               for (i, j), (n, own, square, cube, tied) in sums.items()
+               for a, x in order[(i, j)].items() for b, y in order[(i, j)].items()]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SLICE.split(", ")])
+
+    parts = shuffle_partitions(df.sparkSession)
+    slices = stable(counts.repartitionByRange(parts, "num", "cat", "value").sortWithinPartitions("num", "cat", "value")
+                    .mapInPandas(run, _SLICE))
+    keys = ["num", "cat", "a", "b"]
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # a row per slice
+    placed = slices.withColumn("before_b", F.coalesce(F.sum("n_b").over(before), F.lit(0)))
+    return stable(placed.groupBy(*keys).agg(
+        F.sum(F.col("own") + F.col("n_a") * F.col("before_b")).alias("u"), F.sum("tie").alias("tie"),
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("tie_all").alias("tie_all")))
 
 
 # ---------------------------------------------------------- the stage
@@ -235,7 +289,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         return {name: spark.createDataFrame([], schema) for name, schema in [
             ("tests", _TESTS_SCHEMA), ("normality", _NORMALITY_SCHEMA), ("group_means", _MEANS_SCHEMA),
             ("posthoc", _POSTHOC_SCHEMA), ("moments", _MOMENTS_SCHEMA)]}
-    mt = moment_table(df, numerics, categoricals).cache()
+    mt = moment_table(df, numerics, categoricals)
     mt_rows = [r.asDict() for r in mt.collect()]            # ≤ 8 × 8 × 15 rows: plan input
     surv = [r for r in mt_rows if r["rows"] >= opts.min_group_size]
     n_surv: dict[tuple[int, int], int] = {}
@@ -263,7 +317,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
     few = F.col("n") < 3
     norm = norm.withColumn("normal", ~few & F.coalesce(p > opts.alpha, F.lit(False))) \
         .withColumn("note", F.when(few, F.lit("n<3")).otherwise(note))
-    norm = norm.cache()
+    norm = stable(norm)
     norm_rows = [r.asDict() for r in norm.select("num", "cat", "normal").collect()]
     all_normal: dict[tuple[int, int], bool] = {}
     for r in norm_rows:
@@ -281,7 +335,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         for r in surv:
             if (r["num"], r["cat"]) in need_rank:
                 groups.setdefault((r["num"], r["cat"]), []).append(r["level"])
-        rank_rows = rank_statistics(df, numerics, categoricals, groups)
+        rank_rows = rank_statistics(win_matrix(df, numerics, categoricals, groups))
 
     # assemble ------------------------------------------------------------------
     an = spark.createDataFrame([(i, j, bool(all_normal.get((i, j), False))) for i, j in sorted(tested)],
@@ -318,17 +372,9 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         method.alias("method"), stat_name.alias("statistic_name"), statistic.alias("statistic"),
         p_raw.alias("p_raw"), effect.alias("effect_size"), effect_name.alias("effect_size_name"),
         effect_interp.alias("effect_size_interpretation"),
-        "t", "f", "u", "h", "cohen_d", "eta_sq", "t_df").cache()
-    n_tests = F.count(F.lit(1)).over(Window.partitionBy())
-    tests = (tests.withColumn("p_value", F.round("p_raw", 4))
-             .withColumn("significant", F.coalesce(F.col("p_raw") < opts.alpha, F.lit(False)))
-             .withColumn("n_tests", n_tests)
-             .withColumn("bonferroni_alpha", F.lit(opts.alpha) / F.col("n_tests"))
-             .withColumn("significant_bonferroni",
-                         F.coalesce(F.col("p_value") < F.col("bonferroni_alpha"), F.lit(False)))
-             .withColumn("significant_bonferroni_raw",
-                         F.coalesce(F.col("p_raw") < F.col("bonferroni_alpha"), F.lit(False))))
-    tests = tests.cache()
+        "t", "f", "u", "h", "cohen_d", "eta_sq", "t_df")
+    tests = bonferroni(stable(tests), opts.alpha)
+    tests = stable(tests)
     posthoc = posthoc_tables(df, numerics, categoricals, mt, tests, opts)
     return {"tests": tests, "normality": norm, "group_means": group_means(mt), "posthoc": posthoc,
             "moments": mt}
@@ -376,46 +422,23 @@ def level_pairs(mt_small: DataFrame) -> DataFrame:
 def tukey_hsd(mt_groups: DataFrame) -> DataFrame:
     """Tukey-Kramer statistics for every pair of the given groups (n ≥ 5 after dropna)."""
     agg = mt_groups.groupBy("num", "cat").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"),
         F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
     pairs = level_pairs(mt_groups).join(agg, ["num", "cat"])
-    mse = F.col("ssw") / (F.col("N") - F.col("k"))
+    mse = F.col("ssw") / (F.col("n_total") - F.col("k"))
     se = F.sqrt(mse / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
     qstat = F.when(se > 0, F.abs(F.col("m1") - F.col("m2")) / se)
     return pairs.select("num", "cat", "group1", "group2", (F.col("m1") - F.col("m2")).alias("mean_diff"),
-                        qstat.alias("statistic"), "k", (F.col("N") - F.col("k")).alias("df"))
+                        qstat.alias("statistic"), "k", (F.col("n_total") - F.col("k")).alias("df"))
 
 
-def pairwise_u(df: DataFrame, numerics: list[str], categoricals: list[str],
-               groups: dict[tuple[int, int], list[str]]) -> DataFrame:
-    """Mann-Whitney U for each pair of levels, ranked within the pair."""
-    pred, structs = _level_filter(categoricals, groups, numerics, "value")
-    long = (df.where(pred).select(F.explode(F.array(*structs)).alias("s"))
-            .where(F.col("s").isNotNull()).select("s.*"))
-    vc = long.groupBy("num", "cat", "level", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    spark = df.sparkSession
-    pair_rows = []
-    for (i, j), lv in groups.items():
-        for a, b in combinations(sorted(lv), 2):
-            pair_rows += [(i, j, a, a, b), (i, j, b, a, b)]
-    membership = spark.createDataFrame(pair_rows, "num int, cat int, level string, group1 string, group2 string")
-    rep = vc.join(F.broadcast(membership), ["num", "cat", "level"])
-    keys = ["num", "cat", "group1", "group2"]
-    rt = with_midrank(rank_table(rep, keys, "value", weight="cnt", max_key_groups=len(pair_rows)))
-    per_level = (rep.join(rt.select(*keys, "value", "midrank"), keys + ["value"])
-                 .groupBy(*keys, "level").agg(F.sum("cnt").alias("n"),
-                                              F.sum(F.col("cnt") * F.col("midrank")).alias("rank_sum")))
-    ties = rt.groupBy(*keys).agg(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("tie"),
-                                 F.max("cnt").alias("max_cnt"))
-    first = per_level.where(F.col("level") == F.col("group1")).select(
-        *keys, F.col("n").cast("double").alias("n1"), "rank_sum")
-    second = per_level.where(F.col("level") == F.col("group2")).select(
-        *keys, F.col("n").cast("double").alias("n2"))
-    u = first.join(second, keys).join(ties, keys)
-    u1 = F.col("rank_sum") - F.col("n1") * (F.col("n1") + 1) / 2
-    exact = ((F.col("n1") <= 8) | (F.col("n2") <= 8)) & (F.col("max_cnt") <= 1)
-    return u.select(*keys, u1.alias("statistic"),
-                    PV.mann_whitney_p(u1, F.col("n1"), F.col("n2"), F.col("tie"), exact).alias("p_raw"))
+def pairwise_u(wins: DataFrame) -> DataFrame:
+    """Mann-Whitney U of the first level, and its p, for each pair of levels a < b of a ``win_matrix``."""
+    n1, n2 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    exact = ((n1 <= 8) | (n2 <= 8)) & (F.col("tie") == 0)
+    return wins.where("a < b").select(
+        "num", "cat", F.col("a").alias("group1"), F.col("b").alias("group2"), F.col("u").alias("statistic"),
+        PV.mann_whitney_p(F.col("u"), n1, n2, F.col("tie"), exact).alias("p_raw"))
 
 
 def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str], mt: DataFrame,
@@ -449,7 +472,7 @@ def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str],
         for r in mt_ok.select("num", "cat", "level").collect():
             if (r["num"], r["cat"]) in kw:
                 groups.setdefault((r["num"], r["cat"]), []).append(r["level"])
-        pu = pairwise_u(df, numerics, categoricals, groups)
+        pu = pairwise_u(win_matrix(df, numerics, categoricals, groups))
         diffs = level_pairs(mt_ok).select("num", "cat", "group1", "group2",
                                           (F.col("m1") - F.col("m2")).alias("mean_diff"))
         npairs = {k: len(v) * (len(v) - 1) // 2 for k, v in groups.items()}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import severity
-from tablelens.operators.ranks import box_stats, rank_table, unpivot
+from tablelens.operators.ranks import unpivot
+from tablelens.operators.selection import box_stats
 from tablelens.sources.tables import q
 
 
@@ -22,21 +23,15 @@ def missing_report(df: DataFrame) -> DataFrame:
                        severity(pct, 20.0, 5.0).alias("severity")).orderBy(F.desc("percentage"), "ordinal")
 
 
-def numeric_rank_table(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
-    """Exact value-rank table of the given numeric columns, keyed by ordinal."""
-    return rank_table(unpivot(df, columns), ["ordinal"], max_key_groups=len(columns))
-
-
-def outlier_report(df: DataFrame, columns: list[tuple[int, str]], rt: DataFrame | None = None) -> DataFrame:
+def outlier_report(df: DataFrame, columns: list[tuple[int, str]], quartiles: DataFrame | None = None) -> DataFrame:
     """IQR rule per numeric column: count, percentage of non-null, bounds, severity.
     Only columns with at least one outlier, highest rate first."""
     if not columns:
         return df.sparkSession.createDataFrame(
             [], "ordinal int, column string, n_outliers long, percentage double, "
                 "lower_bound double, upper_bound double, severity string")
-    rt = rt if rt is not None else numeric_rank_table(df, columns)
     names = df.sparkSession.createDataFrame([(i, c) for i, c in columns], "ordinal int, column string")
-    bs = box_stats(rt, ["ordinal"]).join(F.broadcast(names), "ordinal")
+    bs = box_stats(unpivot(df, columns), ["ordinal"], quartiles=quartiles).join(F.broadcast(names), "ordinal")
     pct = F.col("n_fliers") / F.col("n") * 100.0
     return (bs.where(F.col("n_fliers") > 0)
             .select("ordinal", "column", F.col("n_fliers").alias("n_outliers"), pct.alias("percentage"),

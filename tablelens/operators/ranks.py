@@ -1,6 +1,5 @@
-"""Exact, distributed ranking of values within key groups (WIN1) and what it feeds:
-quantiles (linear interpolation), box statistics, average ranks for Spearman,
-Mann-Whitney U and Kruskal-Wallis H.
+"""Exact, distributed ranking of values within key groups (WIN1): average ranks for Spearman,
+Mann-Whitney U and Kruskal-Wallis H.  (Quantiles need no ranks: see ``selection``.)
 
 Scale design
 ------------
@@ -102,55 +101,3 @@ def rank_table(df: DataFrame, keys: list[str], value: str = "value", weight: str
 def with_midrank(rt: DataFrame) -> DataFrame:
     """Average rank (1-based) of each distinct value: below + (cnt + 1) / 2."""
     return rt.withColumn("midrank", F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0))
-
-
-def quantiles(rt: DataFrame, keys: list[str], probs: list[float], value: str = "value") -> DataFrame:
-    """Linear-interpolation quantiles (pandas / numpy 'linear') per key group.
-
-    Output: ``keys..., n, q_<i>`` (one column per prob, in order).
-    """
-    hits = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        contains = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("cnt"))
-        hits.append(F.when(contains(lo) | contains(hi), F.struct(
-            F.lit(i).alias("i"), (h - lo).alias("frac"),
-            F.when(contains(lo), F.col(value)).alias("vlo"),
-            F.when(contains(hi), F.col(value)).alias("vhi"))))
-    cand = (rt.select(*keys, "n", F.explode(F.array(*hits)).alias("hit"))
-            .where(F.col("hit").isNotNull())
-            .select(*keys, "n", "hit.*"))
-    per = cand.groupBy(*keys, "i").agg(
-        F.first("n").alias("n"), F.max("frac").alias("frac"),
-        F.max("vlo").alias("vlo"), F.max("vhi").alias("vhi"))
-    per = per.withColumn("qv", F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
-    return per.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("i") == i, F.col("qv"))).alias(f"q_{i}") for i in range(len(probs))])
-
-
-def box_stats(rt: DataFrame, keys: list[str], value: str = "value", whisker: float = 1.5,
-              broadcast_ok: bool = True) -> DataFrame:
-    """Box-plot statistics per key group from the rank table.
-
-    q1, median, q3, IQR fences, whiskers = extreme data inside the fences,
-    number of fliers.  Works on distinct values (``cnt``), never on rows.
-    """
-    qs = quantiles(rt, keys, [0.25, 0.5, 0.75], value).select(
-        *keys, "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"), F.col("q_2").alias("q3"))
-    qs = (qs.withColumn("iqr", F.col("q3") - F.col("q1"))
-          .withColumn("lower_fence", F.col("q1") - F.lit(whisker) * F.col("iqr"))
-          .withColumn("upper_fence", F.col("q3") + F.lit(whisker) * F.col("iqr")))
-    fences = F.broadcast(qs) if broadcast_ok else qs
-    v = F.col(value)
-    inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    agg = rt.join(fences, keys).groupBy(*keys).agg(
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("n_fliers"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    # a whisker never lies inside the box: without a point between quartile and fence it ends at the quartile
-    return (qs.join(agg, keys)
-            .withColumn("whisker_low", F.least("whisker_low", "q1"))
-            .withColumn("whisker_high", F.greatest("whisker_high", "q3")))

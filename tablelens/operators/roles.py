@@ -1,14 +1,15 @@
 """Column-role detection and table profile (ROL1–ROL7).
 
-Two Spark jobs profile every column at once:
-
-* job 1 — one ``agg`` over the table: row count, per-column non-null count,
-  mean string length, and for string columns whether every non-null value
-  parses with one of a fixed list of datetime patterns;
-* job 2 — exact distinct counts for all columns plus the number of distinct
-  rows, from 128-bit fingerprints ``(xxhash64(v), xxhash64('~', v))``: the
-  shuffle carries 16 bytes per distinct (column, value) per map task instead
-  of the values (long texts), and map-side combining makes hot values cheap.
+* Profile: one ``agg`` over the table gives row count, per-column non-null count, mean string length, a
+  HyperLogLog distinct count (a mergeable sketch of 2^``SKETCH_BITS`` registers) and, for string columns, how many values have the character
+  shape of each datetime pattern.
+* Dates: only columns whose values all have shapes of one pattern are read again; there each value is
+  parsed once, with the pattern of its shape.
+* Distinct counts: exact where a role rule needs them.  ``detect`` counts exactly only the columns
+  whose sketch is within its error of a threshold (2 values, ``max_categories``, ``id_min_unique``, the unique ratio);
+  ``column_roles`` can count all.  Exact counts use 128-bit fingerprints ``(xxhash64(v), xxhash64('~', v))``: the
+  shuffle carries 16 bytes per distinct (column, value) per map task instead of the values, and map-side combining
+  makes hot values cheap.
 
 The role rules then run as a ``when`` chain over the one-row-per-column profile.
 """
@@ -43,11 +44,21 @@ DATETIME_PATTERNS = [
     "HH:mm",
     "HH:mm:ss",
 ]
-_SNIFF_MAX_LEN = 32
-# every pattern above starts with 1-4 digits and a separator, a day and a month name, or a month
-# name and a day, and none is longer: cheap necessary tests that keep non-date strings away from
-# the (exception-driven) parsers
-_SNIFF_PREFIX = r"^([0-9]{1,4}[-/.:]|[0-9]{1,2} [A-Za-z]{3}|[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4})"
+_SNIFF_MAX_LEN = 32      # no value of a pattern above is longer
+
+#: Character shapes (a run of digits: 0, a run of letters: a) and the patterns that can hold them, as positions in
+#: DATETIME_PATTERNS.  Of the slashed forms, those that start with four digits are year first.
+_SHAPES = {
+    "0-0-0": 0, "0-0-0 0:0": 1, "0-0-0 0:0:0": 2, "0-0-0 0:0:0.0": 2, "0-0-0a0:0:0": 3, "0-0-0a0:0:0.0": 3,
+    "0/0/0": 6, "0/0/0 0:0": 7, "0/0/0 0:0:0": 7, "0 a 0": 8, "a 0, 0": 10, "0.0.0": 12, "0-0": 13, "0:0": 14, "0:0:0": 15,
+}
+_ZONES = ["a", "+0:0", "-0:0"]
+_YEAR_FIRST = {6: 4, 7: 5}
+#: Short and full month names share a shape; May is both.
+_FULL_NAME = {8: 9, 10: 11}
+
+#: log2 of the registers of a distinct-count sketch, its relative standard deviation, and the deviations a gate allows for.
+SKETCH_BITS, SKETCH_ERROR, DEVIATIONS = 14, 0.0083, 5
 
 ROLE_NUMERIC, ROLE_CATEGORICAL, ROLE_DATETIME = "numeric", "categorical", "datetime"
 ROLE_ID, ROLE_TEXT, ROLE_NONE, ROLE_UNSUPPORTED = "id", "text", "none", "unsupported"
@@ -70,8 +81,8 @@ def _hash_value(c: Column, dt: T.DataType) -> Column:
     return c
 
 
-def _fingerprints(df: DataFrame) -> DataFrame:
-    """(ordinal, h1, h2) for every non-null cell, plus ordinal -1 for whole rows."""
+def _fingerprints(df: DataFrame, ordinals: set[int] | None = None) -> DataFrame:
+    """(ordinal, h1, h2) for every non-null cell (of the given columns), plus ordinal -1 for whole rows."""
     structs = []
     hashable = []
     for i, f in enumerate(df.schema.fields):
@@ -79,10 +90,11 @@ def _fingerprints(df: DataFrame) -> DataFrame:
             continue
         v = _hash_value(q(f.name), f.dataType)
         hashable.append((f.name, v))
-        structs.append(F.when(q(f.name).isNotNull(), F.struct(
-            F.lit(i).alias("ordinal"), F.xxhash64(v).alias("h1"),
-            F.xxhash64(F.lit("~"), v).alias("h2"))))
-    if hashable:
+        if ordinals is None or i in ordinals:
+            structs.append(F.when(q(f.name).isNotNull(), F.struct(
+                F.lit(i).alias("ordinal"), F.xxhash64(v).alias("h1"),
+                F.xxhash64(F.lit("~"), v).alias("h2"))))
+    if hashable and (ordinals is None or -1 in ordinals):
         # the null mask keeps (null, x) and (x, null) apart
         mask = F.concat(*[F.when(q(n).isNull(), F.lit("1")).otherwise(F.lit("0")) for n, _ in hashable])
         vals = [v for _, v in hashable]
@@ -92,42 +104,106 @@ def _fingerprints(df: DataFrame) -> DataFrame:
             .where(F.col("fp").isNotNull()).select("fp.*"))
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact distinct count per ordinal (-1: distinct rows)."""
-    return (_fingerprints(df).distinct().groupBy("ordinal")
+def distinct_counts(df: DataFrame, ordinals: set[int] | None = None) -> DataFrame:
+    """Exact distinct count per ordinal (-1: distinct rows), of all columns or the given ones."""
+    if ordinals is not None and not ordinals:
+        return df.sparkSession.createDataFrame([], "ordinal int, n_distinct long")
+    return (_fingerprints(df, ordinals).distinct().groupBy("ordinal")
             .agg(F.count(F.lit(1)).alias("n_distinct")))
 
 
+def shape_class(c: Column) -> Column:
+    """Position of the datetime pattern that a string's character shape belongs to (short month names and
+    year last for shared shapes), or null."""
+    forms = {form + zone: at for form, at in _SHAPES.items() for zone in ([""] + _ZONES if at in (2, 3) else [""])}
+    forms |= {"year" + form: _YEAR_FIRST[at] for form, at in _SHAPES.items() if at in _YEAR_FIRST}
+    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    shape = F.regexp_replace(F.regexp_replace(c, "[0-9]+", "0"), "[A-Za-z]+", "a")
+    year_first = F.when(c.rlike("^[0-9]{4}/"), F.lit("year")).otherwise(F.lit(""))
+    return F.when(F.length(c) <= _SNIFF_MAX_LEN, F.try_element_at(known, F.concat(year_first, shape)))
+
+
+def _candidates(counts: list[int], n: int) -> list[int]:
+    """Patterns whose shapes cover all ``n`` values, from the number of values per class."""
+    full = {v: k for k, v in _FULL_NAME.items()}
+    return [p for p in range(len(DATETIME_PATTERNS)) if n and counts[full.get(p, p)] == n]
+
+
+def _parsed(c: Column, patterns: list[int]) -> dict[int, Column]:
+    """For each candidate pattern whether it holds the value; every value is parsed at most once.
+
+    All values of the column have the shape of the candidates, which are one pattern, or the short and the full
+    month name of one: a name of three letters is tried as the short form, and May counts for both."""
+    if len(patterns) == 1:
+        return {patterns[0]: F.try_to_timestamp(c, F.lit(DATETIME_PATTERNS[patterns[0]])).isNotNull()}
+    short, full = sorted(patterns)
+    name = F.regexp_extract(c, "[A-Za-z]+", 0)
+    holds = F.when(F.length(name) <= 3, F.try_to_timestamp(c, F.lit(DATETIME_PATTERNS[short]))) \
+        .otherwise(F.try_to_timestamp(c, F.lit(DATETIME_PATTERNS[full]))).isNotNull()
+    return {short: holds & (F.length(name) <= 3), full: holds & ((F.length(name) > 3) | (F.lower(name) == "may"))}
+
+
+_PROFILE = ("n_rows long, ordinal int, column string, dtype string, family string, n_non_null long, avg_len double, "
+            "sketched long, parses_as_datetime boolean")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """Job 1: one aggregate → one row per column."""
+    """One row per column: counts, mean length, sketched distinct count and whether all values are dates."""
     items = []
     for i, f in enumerate(df.schema.fields):
         c = q(f.name)
         fam = family(f.dataType)
-        nn = F.count(c)
-        if fam == "string":
-            avg_len = F.avg(F.length(c)).cast("double")
-            short = (F.length(c) <= _SNIFF_MAX_LEN) & c.rlike(_SNIFF_PREFIX)
-            parsed = [F.count(F.when(short, F.try_to_timestamp(c, F.lit(p)))) for p in DATETIME_PATTERNS]
-            dt_ok = (nn > 0) & (F.greatest(*parsed) == nn)
-        else:
-            avg_len = F.lit(None).cast("double")
-            dt_ok = F.lit(False)
+        none = F.lit(None).cast("double")
+        shapes = F.array(*[F.count_if(F.col(f"shape{i}") == p) for p in range(len(DATETIME_PATTERNS))]) if fam == "string" \
+            else F.array().cast("array<bigint>")
+        sketch = F.lit(0).cast("long") if isinstance(f.dataType, T.MapType) \
+            else F.hll_sketch_estimate(F.hll_sketch_agg(
+                F.when(c.isNotNull(), F.xxhash64(_hash_value(c, f.dataType))), F.lit(SKETCH_BITS)))
         items.append(F.struct(
-            F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(fam).alias("family"),
-            nn.alias("n_non_null"), avg_len.alias("avg_len"), dt_ok.alias("parses_as_datetime")))
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*items).alias("cols"))
-    return wide.select("n_rows", F.inline("cols"))
-
-
-def column_roles(df: DataFrame, opts: Options = Options(), dist: DataFrame | None = None) -> DataFrame:
-    """Role table: ordinal, column, dtype, family, role, n_rows, n_non_null,
-    n_missing, n_distinct, unique_ratio, avg_len."""
-    prof = column_profile(df)
-    dist = (dist if dist is not None else distinct_counts(df)).where("ordinal >= 0")
-    t = prof.join(dist, "ordinal", "left")
-    t = t.withColumn("n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long"))
+            F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
+            F.lit(fam).alias("family"), F.count(c).alias("n_non_null"),
+            (F.avg(F.length(c)).cast("double") if fam == "string" else none).alias("avg_len"),
+            sketch.alias("sketched"), shapes.alias("shapes")))
+    classed = df.select("*", *[shape_class(q(f.name)).alias(f"shape{i}") for i, f in enumerate(df.schema.fields)
+                               if family(f.dataType) == "string"])
+    rows = [r.asDict() for r in classed.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*items).alias("cols"))
+            .select("n_rows", F.inline("cols")).collect()]        # one row per column
+    tried = {r["ordinal"]: _candidates(r["shapes"], r["n_non_null"]) for r in rows if r["family"] == "string"}
+    probes = [F.count_if(holds).alias(f"d{i}_{p}") for i, ps in tried.items() if ps
+              for p, holds in _parsed(q(df.columns[i]), ps).items()]
+    dates = df.agg(*probes).first().asDict() if probes else {}
+    out = [(r["n_rows"], r["ordinal"], r["column"], r["dtype"], r["family"], r["n_non_null"], r["avg_len"], r["sketched"],
+            any(dates[f"d{r['ordinal']}_{p}"] == r["n_non_null"] for p in tried.get(r["ordinal"], []))) for r in rows]
+    return df.sparkSession.createDataFrame(out, _PROFILE)
+
+
+def gated(profile: list[dict], opts: Options = Options()) -> set[int]:
+    """Columns whose sketched distinct count is within its error of a threshold that decides something."""
+    margin = DEVIATIONS * SKETCH_ERROR
+    near = lambda d, t: d * (1 - margin) <= t + 1 and d * (1 + margin) >= t - 1
+    out = set()
+    for r in profile:
+        d, n = r["sketched"], r["n_non_null"]
+        few = d * (1 - margin) <= opts.max_categories + 1         # number of levels: always exact
+        ratio = r["family"] == "string" and d * (1 + margin) > opts.id_min_unique and near(d, opts.id_unique_ratio * n)
+        least = r["family"] == "string" and near(d, opts.id_min_unique) and d * (1 + margin) > opts.id_unique_ratio * n
+        if r["family"] in ("numeric", "string") and n and (few or ratio or least):
+            out.add(r["ordinal"])
+    return out
+
+
+def column_roles(df: DataFrame, opts: Options = Options(), exact: bool = True) -> DataFrame:
+    """Role table: ordinal, column, dtype, family, role, n_rows, n_non_null, n_missing, n_distinct, distinct_exact,
+    unique_ratio, avg_len.  Without ``exact`` only the gated columns are counted exactly, the others sketched;
+    the roles are the same."""
+    profile = column_profile(df)
+    wanted = None
+    if not exact:
+        wanted = gated([r.asDict() for r in profile.collect()], opts)
+    dist = distinct_counts(df, wanted).where("ordinal >= 0")
+    t = profile.join(F.broadcast(dist), "ordinal", "left")        # one row per column
+    t = t.withColumn("distinct_exact", F.col("n_distinct").isNotNull() | (F.col("n_non_null") == 0))
+    t = t.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0) if exact else F.least("sketched", "n_non_null")).cast("long"))
     ratio = F.when(F.col("n_non_null") > 0, F.col("n_distinct") / F.col("n_non_null"))
     role = (F.when(F.col("n_non_null") == 0, F.lit(ROLE_NONE))
             .when(F.col("family") == "nested", F.lit(ROLE_UNSUPPORTED))
@@ -139,7 +215,7 @@ def column_roles(df: DataFrame, opts: Options = Options(), dist: DataFrame | Non
             .when(F.col("avg_len") > opts.text_avg_len_threshold, F.lit(ROLE_TEXT))
             .otherwise(F.lit(ROLE_CATEGORICAL)))
     return (t.select("ordinal", "column", "dtype", "family", role.alias("role"), "n_rows", "n_non_null",
-                     (F.col("n_rows") - F.col("n_non_null")).alias("n_missing"), "n_distinct",
+                     (F.col("n_rows") - F.col("n_non_null")).alias("n_missing"), "n_distinct", "distinct_exact",
                      ratio.alias("unique_ratio"), "avg_len")
             .orderBy("ordinal"))
 
@@ -149,7 +225,6 @@ class RoleInfo:
     """The small role table on the driver, used only to *plan* later stages."""
     n_rows: int
     n_cols: int
-    n_duplicate_rows: int
     columns: list[dict] = field(default_factory=list)
 
     def of(self, role: str) -> list[str]:
@@ -178,13 +253,11 @@ class RoleInfo:
 
 def detect(df: DataFrame, opts: Options = Options()) -> tuple[DataFrame, RoleInfo]:
     """Role table as a DataFrame plus its driver-side copy (one row per column)."""
-    dist = distinct_counts(df).cache()          # one row per column: small
-    roles = column_roles(df, opts, dist).cache()
+    roles = column_roles(df, opts, exact=False)
     rows = [r.asDict() for r in roles.collect()]
     n_rows = rows[0]["n_rows"] if rows else df.count()
-    dup = next((r["n_distinct"] for r in dist.where("ordinal = -1").collect()), 0)
-    info = RoleInfo(n_rows=n_rows, n_cols=len(df.columns), n_duplicate_rows=n_rows - dup, columns=rows)
-    return roles, info
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], roles.schema), RoleInfo(
+        n_rows=n_rows, n_cols=len(df.columns), columns=rows)
 
 
 def table_summary(df: DataFrame) -> DataFrame:

@@ -42,7 +42,6 @@ class Options:
     seed: int = 42
     k_min: int = 2
     k_max: int = 6
-    sweep_parallelism: int = 8        # concurrent k-means fits in the K sweep
 
 
 # How many columns, targets and lines the reference looks at, and its normality rule.

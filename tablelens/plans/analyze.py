@@ -3,7 +3,7 @@
 ``analyze(df)`` returns a dict name → DataFrame.  Only the role table (one row
 per column), a few level lists and the ≤ 10-row K table reach the driver to
 plan later stages; all data work stays in Spark.  Shared intermediates are
-built once: the numeric rank table feeds describe, outliers and box plots;
+built once: the quartiles of all numerics feed describe, outliers and box plots;
 the moment table feeds every parametric test and the group means.
 """
 
@@ -22,7 +22,10 @@ from tablelens.operators import hypothesis as H
 from tablelens.operators import quality as QY
 from tablelens.operators import roles as RL
 from tablelens.operators import segment as SG
+from tablelens.operators.ranks import unpivot
+from tablelens.operators.selection import QUARTILES, quantiles
 from tablelens.options import Options
+from tablelens.session import stable
 
 
 def analyze(df: DataFrame, opts: Options = Options(), targets: list[str] | None = None,
@@ -34,24 +37,23 @@ def analyze(df: DataFrame, opts: Options = Options(), targets: list[str] | None
     out: dict[str, DataFrame] = {}
     roles, info = RL.detect(df, opts)
     out["roles"] = roles
-    out["table_summary"] = spark.createDataFrame(
-        [(info.n_rows, info.n_cols, info.n_duplicate_rows)], "n_rows long, n_cols long, n_duplicate_rows long")
+    out["table_summary"] = RL.table_summary(df)
     out["column_overview"] = RL.column_overview(roles)
     num = [(info.ordinal(c), c) for c in info.numeric]
     cats = [(info.ordinal(c), c) for c in info.categorical]
     out["category_counts"] = RL.category_counts(df, cats, opts.top_n) if cats else None
-    rt = QY.numeric_rank_table(df, num).cache() if num else None
+    quartiles = stable(quantiles(unpivot(df, num), ["ordinal"], QUARTILES)) if num else None
 
     if want("quality"):
         out["missing"] = QY.missing_report(df)
-        out["outliers"] = QY.outlier_report(df, num, rt)
+        out["outliers"] = QY.outlier_report(df, num, quartiles)
     if want("describe") and num:
-        out["describe"] = D.describe(df, num, rt)
+        out["describe"] = D.describe(df, num, quartiles)
     if want("charts"):
         hist_cols = num[:opts.max_hist_numeric]
         if hist_cols:
             out["histogram"] = D.histogram(df, hist_cols, opts.hist_bins)
-            out["box"] = D.box_table(df, num, rt).where(F.col("ordinal").isin([i for i, _ in hist_cols]))
+            out["box"] = D.box_table(df, num, quartiles).where(F.col("ordinal").isin([i for i, _ in hist_cols]))
         bar_cols = [i for i, _ in cats[:opts.max_bar_categorical]]
         if out.get("category_counts") is not None:
             out["category_chart"] = out["category_counts"].where(F.col("ordinal").isin(bar_cols))

@@ -39,7 +39,7 @@ _ROLE_TABLES = {
 # DuckDB spellings of the datetime patterns in roles.DATETIME_PATTERNS.
 _DUCK_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S",
                  "%Y-%m-%d %H:%M:%S.%f", "%Y/%m/%d", "%Y/%m/%d %H:%M:%S", "%m/%d/%Y",
-                 "%m/%d/%Y %H:%M:%S", "%d.%m.%Y", "%Y-%m", "%H:%M", "%H:%M:%S"]
+                 "%m/%d/%Y %H:%M:%S", "%d.%m.%Y", "%Y-%m", "%H:%M", "%H:%M:%S", "%d %b %Y"]
 
 
 def _role_sql(tbl: str, ordinal: int, col: str, kind: str, o: Options = Options()) -> str:
@@ -74,6 +74,49 @@ def q_column_roles(spark, sf):
     return out
 
 
+# ------------------------------------------------------------------ roles from sketches and gated exact counts
+_DATE_COLUMNS = {"d_iso": "%Y-%m-%d", "d_stamp": "%Y-%m-%d %H:%M:%S", "d_slash": "%m/%d/%Y", "d_name": "%d %b %Y", "d_dot": "%d.%m.%Y"}
+
+
+def _gated_sql(tbl: str, ordinal: int, col: str, kind: str, src: str = "", o: Options = Options()) -> str:
+    role = _role_sql(tbl, ordinal, col, kind).split("AS column_name, ")[1].split(" AS role")[0]
+    return (f"SELECT '{tbl}' AS table_name, {ordinal} AS ordinal, '{col}' AS column_name, {role} AS role, "
+            f"CASE WHEN count(DISTINCT {col}) BETWEEN 1 AND {o.max_categories} THEN count(DISTINCT {col}) END::BIGINT AS n_levels "
+            f"FROM {src or tbl}")
+
+
+def dated_events(spark, sf):
+    """Events with their time written out in several forms (strings), and one mixed column that is no date."""
+    e = table(spark, sf, "events")
+    day = F.to_date("ts")
+    return e.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("d_iso"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("d_stamp"),
+        F.date_format("ts", "MM/dd/yyyy").alias("d_slash"), F.date_format("ts", "dd MMM yyyy").alias("d_name"),
+        F.date_format("ts", "dd.MM.yyyy").alias("d_dot"),
+        F.when(F.col("event_id") % 1000 == 7, F.lit("2024-13-45")).otherwise(day.cast("string")).alias("d_broken"))
+
+
+_DATED = ("(SELECT event_id, " + ", ".join(f"strftime(ts, '{f}') AS {c}" for c, f in _DATE_COLUMNS.items())
+          + ", CASE WHEN event_id % 1000 = 7 THEN '2024-13-45' ELSE strftime(ts, '%Y-%m-%d') END AS d_broken FROM events)")
+
+
+@query("gated_roles", "\nUNION ALL\n".join(
+    [_gated_sql(t, i, c, k) for t, cs in _ROLE_TABLES.items() for i, (c, k) in enumerate(cs)]
+    + [_gated_sql("dated_events", i, c, k, _DATED) for i, (c, k) in enumerate(
+        [("event_id", "num"), *[(c, "str") for c in [*_DATE_COLUMNS, "d_broken"]]])]))
+def q_gated_roles(spark, sf):
+    """Roles and level counts as the stages use them: sketches, exact counts near a threshold, dates by shape."""
+    out = None
+    for t in [*_ROLE_TABLES, "dated_events"]:
+        df = dated_events(spark, sf) if t == "dated_events" else table(spark, sf, t)
+        r = RL.column_roles(df, exact=False).select(
+            F.lit(t).alias("table_name"), "ordinal", F.col("column").alias("column_name"), "role",
+            F.when(F.col("n_distinct").between(1, Options().max_categories) & F.col("distinct_exact"),
+                   F.col("n_distinct")).alias("n_levels"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 # ------------------------------------------------------------------ category_top_n
 def _topn_sql(tbl: str, col: str, n: int = 10) -> str:
     return (f"SELECT '{tbl}' AS table_name, '{col}' AS column_name, value, count, rank, "
@@ -239,6 +282,6 @@ def q_box_stats(spark, sf):
     "WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL)", True))
 def q_box_stats_by_level(spark, sf):
     li = table(spark, sf, "lineitem")
-    b = D.box_by_level(li, "l_extendedprice", "l_returnflag", max_levels=Options().max_categories)
+    b = D.box_by_level(li, "l_extendedprice", "l_returnflag")
     return b.select("level", "n", *[rnd(c).alias(c) for c in [
         "q1", "median", "q3", "whisker_low", "whisker_high"]], "n_fliers")

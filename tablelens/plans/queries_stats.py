@@ -266,7 +266,7 @@ def _rank_spark(spark, sf, tname, num, cat):
     t = table(spark, sf, tname)
     mt = H.moment_table(t, [num], [cat]).where(F.col("rows") >= Options().min_group_size)
     levels = [r["level"] for r in mt.select("level").collect()]
-    st = H.rank_statistics(t, [num], [cat], {(0, 0): levels})
+    st = H.rank_statistics(H.win_matrix(t, [num], [cat], {(0, 0): levels}))
     return st.select(F.lit(num).alias("numeric"), F.lit(cat).alias("categorical"), F.col("k_ranked").cast("long").alias("k"),
                      F.col("n_ranked").cast("long").alias("n_total"), "u", rnd("z").alias("z"), rnd("h").alias("h"))
 
@@ -313,7 +313,7 @@ def q_posthoc_pairs_stat(spark, sf):
     mt = H.moment_table(cv, ["turn"], ["role"]).where(F.col("n") >= o.min_group_size)
     tk = H.tukey_hsd(mt).select("group1", "group2", rnd("mean_diff").alias("mean_diff"), rnd("statistic").alias("q"))
     levels = [r["level"] for r in mt.select("level").collect()]
-    pu = H.pairwise_u(cv, ["turn"], ["role"], {(0, 0): levels}).select("group1", "group2", F.col("statistic").alias("u"))
+    pu = H.pairwise_u(H.win_matrix(cv, ["turn"], ["role"], {(0, 0): levels})).select("group1", "group2", F.col("statistic").alias("u"))
     return tk.join(pu, ["group1", "group2"])
 
 

@@ -62,5 +62,10 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scratch(spark: SparkSession, name: str = "files") -> str:
+    """A fresh path in the checkpoint dir, for files that a later step reads again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-{name}-{uuid.uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Descriptive-stats style CSV with a header (one file: result tables are small)."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """CSV with a header."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nested rows (structs / arrays / maps) as JSON lines."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """Nested rows (structs / arrays / maps) as splittable JSON lines; null fields are written."""
+    df.write.option("ignoreNullFields", False).mode(mode).json(path)
 
 
 def write_key_values(df: DataFrame, key: str, value: str, path: str, mode: str = "overwrite") -> None:
     """``key: value`` text lines (EDA summary file)."""
     df.select(F.concat_ws(": ", F.col(key), F.col(value).cast("string")).alias("value")) \
-        .coalesce(1).write.mode(mode).text(path)
+        .write.mode(mode).text(path)
 
 
 def write_tables(results: dict[str, DataFrame], root: str, fmt: str = "parquet",

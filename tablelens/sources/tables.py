@@ -35,6 +35,9 @@ def normalise_names(df: DataFrame) -> DataFrame:
         if n in seen:
             raise ValueError(f"column name collision after normalisation: {n!r}")
         seen.add(n)
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true" and len({n.lower() for n in names}) < len(names):
+        twice = sorted(n for n in names if [m.lower() for m in names].count(n.lower()) > 1)
+        raise ValueError(f"columns {twice} differ by case only: set spark.sql.caseSensitive=true to analyse them")
     return df.toDF(*names)
 
 

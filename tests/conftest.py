@@ -13,3 +13,10 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def case_sensitive(spark):
+    """Switches spark.sql.caseSensitive for one test; the session itself has Spark's defaults."""
+    yield lambda on: spark.conf.set("spark.sql.caseSensitive", str(on).lower())
+    spark.conf.unset("spark.sql.caseSensitive")

@@ -9,7 +9,8 @@ import pytest
 
 from tablelens.operators import quality as QY
 from tablelens.operators import roles as RL
-from tablelens.operators.ranks import quantiles, rank_table, unpivot
+from tablelens.operators import selection
+from tablelens.operators.ranks import rank_table, unpivot
 from tablelens.options import Options
 from tablelens.sources import normalise, read_csv
 
@@ -64,7 +65,7 @@ def test_duplicates_and_summary(spark):
     assert RL.table_summary(df2).first()["n_duplicate_rows"] == 0
 
 
-def test_dirty_csv(spark):
+def test_dirty_csv(spark, case_sensitive):
     d = tempfile.mkdtemp(prefix="tablelens-test-")
     path = os.path.join(d, "dirty.csv")
     with open(path, "w") as fh:
@@ -72,6 +73,9 @@ def test_dirty_csv(spark):
         fh.write('20,1,10.5,x,"said ""hi"""\n')
         fh.write('NA,2,N/A,y,plain\n')
         fh.write('35,3,12.0,,"multi\nline"\n')
+    with pytest.raises(ValueError, match="differ by case only"):    # Spark's own reader would call them Age0, age1
+        normalise(spark.createDataFrame([(1, 2)], "Age int, b int").toDF("Age", "age"))
+    case_sensitive(True)
     df = read_csv(spark, path, multi_line=True)
     assert df.columns == ["Age", "age", "Purchase_Amount_(USD)", "a.b", "note"]
     types = dict(df.dtypes)
@@ -81,20 +85,38 @@ def test_dirty_csv(spark):
     assert rows[0]["note"] == 'said "hi"' and rows[2]["a.b"] is None
 
 
-def test_quantiles_match_numpy_with_ties_and_nulls(spark):
+def test_quantiles_match_numpy_with_ties_and_nulls(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=997) * 3).astype(float)
     y = rng.exponential(size=997)
     y[::7] = np.nan
-    df = normalise(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})))
-    rt = rank_table(unpivot(df, [(0, "x"), (1, "y")]), ["ordinal"], num_partitions=5, max_key_groups=2)
-    qs = {r["ordinal"]: (r["q_0"], r["q_1"], r["q_2"]) for r in quantiles(rt, ["ordinal"], [0.25, 0.5, 0.75]).collect()}
-    for i, v in enumerate([x, y[~np.isnan(y)]]):
-        assert qs[i] == pytest.approx(tuple(np.quantile(v, [0.25, 0.5, 0.75])), rel=1e-12)
-    # midranks equal pandas average ranks
-    ranks = {r["value"]: r["below"] + (r["cnt"] + 1) / 2 for r in rt.where("ordinal = 0").collect()}
-    expected = pd.Series(x).rank()
-    assert all(ranks[v] == pytest.approx(e) for v, e in zip(x, expected))
+    hot = np.where(rng.random(997) < 0.5, 0.0, rng.normal(size=997))            # one value holds half of the rows
+    half = np.repeat([0.0, 1.0], 499)[:997]                                     # the median's bracket cannot shrink
+    df = normalise(spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "hot": hot, "half": half})))
+    long = unpivot(df, list(enumerate(["x", "y", "hot", "half"])))
+    probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for grid, limit in [(selection.GRID, selection.LIMIT), (10, 5)]:            # whole groups, then two or three narrowings
+        monkeypatch.setattr(selection, "GRID", grid)
+        monkeypatch.setattr(selection, "ACCURACY", 10 * grid)
+        got = {r["ordinal"]: r for r in selection.quantiles(long, ["ordinal"], probs, limit=limit).collect()}
+        for i, v in enumerate([x, y[~np.isnan(y)], hot, half]):
+            assert got[i]["n"] == len(v)
+            assert [got[i][f"q_{k}"] for k in range(len(probs))] == pytest.approx(list(np.quantile(v, probs)), rel=1e-12, abs=1e-15)
+        box = {r["ordinal"]: r for r in selection.box_stats(long, ["ordinal"]).collect()}
+        q1, q3 = np.quantile(hot, [0.25, 0.75])
+        inside = hot[(hot >= q1 - 1.5 * (q3 - q1)) & (hot <= q3 + 1.5 * (q3 - q1))]
+        assert (box[2]["n_fliers"], box[2]["whisker_low"], box[2]["whisker_high"]) == (len(hot) - len(inside), min(inside.min(), q1),
+                                                                                     max(inside.max(), q3))
+    assert "rangepartitioning" not in selection.quantiles(long, ["ordinal"], probs)._jdf.queryExecution().toString()
+    assert selection.quantiles(long.limit(0), ["ordinal"], probs).count() == 0
+
+
+def test_midranks_equal_pandas(spark):
+    x = np.round(np.random.default_rng(3).normal(size=997) * 3).astype(float)
+    df = normalise(spark.createDataFrame(pd.DataFrame({"x": x})))
+    rt = rank_table(unpivot(df, [(0, "x")]), ["ordinal"], num_partitions=5, max_key_groups=2)
+    ranks = {r["value"]: r["below"] + (r["cnt"] + 1) / 2 for r in rt.collect()}
+    assert all(ranks[v] == pytest.approx(e) for v, e in zip(x, pd.Series(x).rank()))
 
 
 def test_outliers(spark):

@@ -150,7 +150,11 @@ def test_collinear_and_short_model(spark):
     x = rng.normal(size=100)
     df = frame(spark, {"y": x + rng.normal(size=100), "x": x, "x2": 2 * x})
     m = RG.driver_analysis(df, ["y", "x", "x2"], [], ["y"])["models"].first()
-    assert m["collinear"]
+    assert m["collinear"] and m["redundant_features"] == ["x2"] and m["r_squared"] < 1
+    d = {r["feature"]: r for r in RG.driver_analysis(df, ["y", "x", "x2"], [], ["y"])["drivers"].collect()}
+    only = RG.driver_analysis(df, ["y", "x"], [], ["y"])["drivers"].first()
+    assert (d["x2"]["coefficient"], d["x2"]["std_error"], d["x2"]["redundant"]) == (0.0, None, True)
+    assert (d["x"]["coefficient"], d["x"]["std_error"]) == pytest.approx((only["coefficient"], only["std_error"]))
     short = frame(spark, {"y": rng.normal(size=29), "x": rng.normal(size=29)})
     assert RG.driver_analysis(short, ["y", "x"], [], ["y"])["models"].count() == 0
 
@@ -181,7 +185,7 @@ def test_blobs_choose_three(spark):
 def test_elbow_rule(spark):
     def chosen(inertia, silhouette=()):
         rows = [(i + 1, float(v), silhouette[i - 1] if 0 < i <= len(silhouette) else None) for i, v in enumerate(inertia)]
-        return tuple(SG.choose_k(spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double")).first())
+        return tuple(SG.choose_k(spark.createDataFrame(rows, "k int, inertia double, silhouette double")).first())
 
     assert chosen([100, 50, 40, 35]) == (2, 2, 2)
     assert chosen([100, 90]) == (3, 3, 3)
