@@ -23,6 +23,7 @@ ordered by scan position; an empty table gives an empty file.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -218,25 +219,33 @@ class WordEncoder:
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _word(self, word: str) -> list[int]:
-        if self.parts is None or not word.isascii() and max(word) >= "\u0300":
-            return self.whole.encode(word, add_special_tokens=False).ids
-        low, tokenize = word.lower(), self.model.tokenize
-        out: list[int] = []
-        for part in (low,) if low.isalpha() else self.parts.findall(low):
-            ids = self.pieces.get(part)
-            if ids is None:
-                letters = part if part.isascii() and part.isprintable() else "".join(
-                    map(self.letters.__getitem__, part.encode()))
-                ids = self.pieces[part] = [t.id for t in tokenize(letters)]
-            out += ids
-        return out
+    def _parts(self, word: str) -> list[str]:
+        """A lower-cased word cut by the file's pattern; runs of letters, alone or before one mark, need no search."""
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and not word[-1].isalnum() and word[-1].isascii():
+            return [word[:-1], word[-1]]
+        return self.parts.findall(word)
 
     def _learn(self, words: list[str]) -> None:
-        got = list(map(self._word, words))
+        gc.disable()                                              # some 10^5 small lists and no cycle among them
+        try:
+            self._take(words)
+        finally:
+            gc.enable()
+
+    def _take(self, words: list[str]) -> None:
+        own = [self.parts is not None and (w.isascii() or max(w) < "\u0300") for w in words]
+        cut = [self._parts(w.lower()) if o else [] for w, o in zip(words, own)]
+        known, tokenize, letter = self.pieces, self.model.tokenize, self.letters.__getitem__
+        for part in set(chain.from_iterable(cut)).difference(known):
+            letters = part if part.isascii() and part.isprintable() else "".join(map(letter, part.encode()))
+            known[part] = [t.id for t in tokenize(letters)]
+        got = [known[c[0]] if len(c) == 1 else [i for p in c for i in known[p]] if o
+               else self.whole.encode(w, add_special_tokens=False).ids for w, c, o in zip(words, cut, own)]
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(list(map(len, got)), dtype=np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not any(c in t for c in self.WHOLE) for t in texts]
