@@ -39,22 +39,25 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import col, count_at_most, query, stable, table
+from tablelens.llm.common import col, query, stable, table
 from tablelens.llm.urlfilter import host_path
 
 MIN_SHARE = 0.5
 MIN_PAGES = 3
-#: Hosts whose templates are broadcast; beyond, pages are joined to them by shuffle.
-BROADCAST_HOSTS = 20_000
+#: Template tables of at most so many bytes are broadcast; beyond, pages are joined to them by shuffle.
+BROADCAST_BYTES = 32_000_000
 MAIN = {"article", "main"}
 #: Containers of everything: their attributes name the page's kind or parts, and never make them a side part.
 WHOLE = MAIN | {"html", "body"}
-#: Element names, and words of class, id or role attributes, that mark a part beside the main text.
+#: Element names, and names in class, id or role attributes, that mark a part beside the main text. A compound name
+#: marks one if all its words are side words or say nothing but place and shape (`PLAIN_WORDS`): "cookie-banner" and
+#: "site-header" do, "share-price" and "section-header" do not.
 SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title",
              "button", "select", "textarea", "iframe", "svg", "object", "menu", "dialog"}
 SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "nav", "navbar", "menu",
@@ -62,16 +65,23 @@ SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "p
               "cookies", "consent", "comment", "comments", "reply", "replies", "respond", "share", "sharing", "social",
               "related", "newsletter", "subscribe", "popup", "modal", "login", "search", "navigation", "complementary",
               "contentinfo", "widget"}
+PLAIN_WORDS = {"site", "page", "top", "bottom", "left", "right", "box", "bar", "wrap", "wrapper", "container", "list", "area",
+               "block", "unit", "slot", "inner", "outer", "global", "main", "primary", "secondary", "item", "links", "form", "holder"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset",
          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend",
          "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
          "tr", "ul", "caption", "option"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "p", "li",
-        "b", "i", "td", "tr", "th", "dt", "dd", "option"}
+EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements whose end is often left out. They do not nest, unless they are side parts themselves: then they last to their
+#: end tag, that of an element around them, or an opening tag that ends them.
+LOOSE = {"p", "li", "b", "i", "td", "tr", "th", "dt", "dd", "option"}
+ENDS = {"p": BLOCK, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"},
+        "dd": {"dt", "dd"}, "option": {"option"}, "b": set(), "i": set()}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)                # a quote without its end: up to the next >
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -85,6 +95,11 @@ class Piece:
         self.key, self.name, self.closing, self.side, self.text = key, name, closing, side, text
 
 
+def _side_name(name: str) -> bool:
+    words = _NAME.findall(name)
+    return any(w in SIDE_WORDS for w in words) and all(w in SIDE_WORDS or w in PLAIN_WORDS for w in words)
+
+
 def pieces(page: str) -> list[Piece]:
     """Tags and text runs in order; comments, scripts and styles are left out."""
     out, at = [], 0
@@ -92,20 +107,27 @@ def pieces(page: str) -> list[Piece]:
         if m.start() > at:
             out.append(Piece("", text=page[at:m.start()]))
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[3] or m[6] or "").lower()
         if not name:
             continue
+        end, inside = (m[2], m[4]) if m[3] else (m[5], m[7])
         side, mark = name in SIDE_TAGS, ""
-        if m[4] and not m[2]:
-            values = [(a[1] or a[2] or a[3]).lower() for a in _ATTR.findall(m[4])]
-            side = side or name not in WHOLE and any(w in SIDE_WORDS for v in values for w in _NAME.findall(v))
+        if inside and not end:
+            values = [(a[1] or a[2] or a[3]).lower() for a in _ATTR.findall(inside)]
+            side = side or name not in WHOLE and any(_side_name(n) for v in values for n in v.split())
             mark = " " + " ".join(values) if values else ""
-        out.append(Piece(f"<{m[2]}{name}{mark}>", name, bool(m[2]), side))
+        out.append(Piece(f"<{end}{name}{mark}>", name, bool(end), side))
     if at < len(page):
         out.append(Piece("", text=page[at:]))
     return out
 
 
+@lru_cache(50_000)
+def _step(path: str, own: str) -> str:
+    """The path inside an element: a hash of the path around it and its tag without digits."""
+    return f"{zlib.crc32(_DIGITS.sub('', own).encode('utf-8', 'replace'), int(path, 16)):x}"
+
+
 def walk(parts: list[Piece]) -> tuple[list[tuple[bool, bool]], list[str]]:
     """For each piece: (inside a main part, inside a side part), and the path of elements it stands in, as a hash
     (an opening tag stands outside its element, its closing tag inside). Unclosed inline marks do not nest."""
@@ -113,12 +135,14 @@ def walk(parts: list[Piece]) -> tuple[list[tuple[bool, bool]], list[str]]:
     main = side = 0
     path = "0"
     for p in parts:
+        if p.name and not p.closing and stack and stack[-1][0] in LOOSE and p.name in ENDS[stack[-1][0]]:
+            _, m, s, path = stack.pop()                           # a side part without its end tag
+            main, side = main - m, side - s
         paths.append(path)
-        if p.name and not p.closing and p.name not in VOID:
+        if p.name and not p.closing and p.name not in EMPTY and (p.side or p.name not in LOOSE):
             stack.append((p.name, p.name in MAIN, p.side, path))
             main, side = main + (p.name in MAIN), side + p.side
-            own = p.name if p.name in WHOLE else _DIGITS.sub("", p.key)
-            path = f"{zlib.crc32(own.encode('utf-8', 'replace'), int(path, 16)):x}"
+            path = _step(path, p.name if p.name in WHOLE else p.key)
         elif p.closing and any(s[0] == p.name for s in stack):
             while True:
                 name, m, s, path = stack.pop()
@@ -137,7 +161,7 @@ def token_keys(parts: list[Piece], paths: list[str]) -> list[list[str]]:
             keys.append([path + p.key])
         else:
             path += " "
-            keys.append([path + w for w in html.unescape(p.text).split()])
+            keys.append([path + w for w in (html.unescape(p.text) if "&" in p.text else p.text).split()])
     return keys
 
 
@@ -146,13 +170,22 @@ def page_tokens(page: str) -> list[str]:
     return [k for keys in token_keys(parts, walk(parts)[1]) for k in keys]
 
 
-def token_stats(page: str) -> dict[str, tuple[int, float]]:
-    """Count and first relative position of every token of a page."""
+#: Steps of a token's first place in a page (a whole number, so that sums do not depend on their order).
+PLACES = 1_000_000
+
+
+def token_stats(page: str, wanted: set[str]) -> dict[str, tuple[int, int]]:
+    """Count and first place (0 to PLACES) of the wanted tokens of a page."""
     keys = page_tokens(page)
+    counts: dict[str, int] = {}
     first: dict[str, int] = {}
     for i, k in enumerate(keys):
-        first.setdefault(k, i)
-    return {k: (n, first[k] / max(1, len(keys))) for k, n in Counter(keys).items()}
+        if k in wanted:
+            if k in counts:
+                counts[k] += 1
+            else:
+                counts[k], first[k] = 1, i
+    return {k: (n, first[k] * PLACES // len(keys)) for k, n in counts.items()}
 
 
 def _hash(page: int, count: int) -> int:
@@ -163,9 +196,9 @@ def _hash(page: int, count: int) -> int:
     return (x ^ (x >> 31)) >> 24
 
 
-STATS = "host string, token string, pages long, vector decimal(38,0), place double"
+STATS = "host string, token string, pages long, vector decimal(38,0), place long"
 STATS_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("pages", pa.int64()),
-                         ("vector", pa.decimal128(38, 0)), ("place", pa.float64())])
+                         ("vector", pa.decimal128(38, 0)), ("place", pa.int64())])
 #: A task hands over what it holds beyond this many (host, token) pairs.
 HELD = 2_000_000
 
@@ -191,38 +224,61 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield named()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_host(batch: pa.RecordBatch, column: str, table, made: dict, make) -> list:
+    """``make`` of each row's host entry, from the broadcast table or, without one, from the row itself; kept per host."""
+    hosts = batch.column("host").to_pylist()
+    for i, h in enumerate(hosts):
+        if h not in made:
+            if len(made) > 1000:
+                made.clear()
+            made[h] = make(table.value.get(h) if table else batch.column(column)[i].as_py())
+        hosts[i] = made[h]
+    return hosts
+
+
+def _count(table):
     """Second pass, per task: pages, vector fingerprint and summed place of the named tokens, whatever their
     frequency; the token '' stands for the host's pages themselves (once on each)."""
-    held: dict[tuple[str, str], list] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list] = {}
+        made: dict = {}
 
-    def counted():
-        rows = [(h, t, n, Decimal(v), place) for (h, t), (n, v, place) in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
-            zip(*rows) if rows else [[]] * 5, STATS_ARROW)], schema=STATS_ARROW)
+        def counted():
+            rows = [(h, t, n, Decimal(v), place) for (h, t), (n, v, place) in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+                zip(*rows) if rows else [[]] * 5, STATS_ARROW)], schema=STATS_ARROW)
 
-    for batch in batches:
-        for i, (host, page, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")))):
-            stats = token_stats(text)
-            named = {t: stats[t] for t in batch.column("candidates")[i].as_py() if t in stats}
-            for t, (n, place) in [*named.items(), ("", (1, 0.0))]:
-                x = held.setdefault((host, t), [0, 0, 0.0])
-                x[0] += 1
-                x[1] += _hash(page, n)
-                x[2] += place
-        if len(held) > HELD:
-            yield counted()
-            held = {}
-    yield counted()
+        for batch in batches:
+            wanted = _by_host(batch, "candidates", table, made, lambda c: set(c or ()))
+            for names, host, page, text in zip(wanted, *(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
+                for t, (n, place) in [*token_stats(text, names).items(), ("", (1, 0))]:
+                    x = held.setdefault((host, t), [0, 0, 0])
+                    x[0] += 1
+                    x[1] += _hash(page, n)
+                    x[2] += place
+            if len(held) > HELD:
+                yield counted()
+                held = {}
+        yield counted()
+    return run
+
+
+def _small(df: DataFrame, size) -> bool:
+    """Whether ``df``, of so many bytes a row, may be held by the driver and every Python worker."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """``host, n_pages, tokens`` from ``pages(host, page, html)``: the frequent tokens with their vectors and places."""
     named = stable(pages.select("host", "html").mapInArrow(_frequent, "host string, token string")
                    .groupBy("host").agg(F.collect_set("token").alias("candidates")))
-    hint = F.broadcast if count_at_most(named, BROADCAST_HOSTS) else (lambda x: x)
-    rows = pages.join(hint(named), "host").select("host", "page", "html", "candidates")
-    exact = (rows.mapInArrow(_count, STATS).groupBy("host", "token")
+    size = F.octet_length("host") + F.aggregate("candidates", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t) + 60)
+    if _small(named, size):
+        table = pages.sparkSession.sparkContext.broadcast({r.host: r.candidates for r in named.collect()})
+        rows = pages.select("host", "page", "html")
+    else:
+        table, rows = None, pages.join(named, "host").select("host", "page", "html", "candidates")
+    exact = (rows.mapInArrow(_count(table), STATS).groupBy("host", "token")
              .agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("place").alias("place")))
     return stable(exact.groupBy("host").agg(
         F.max(F.when(F.col("token") == "", F.col("pages"))).alias("n_pages"),
@@ -337,24 +393,30 @@ def extract_pages(df: DataFrame, page_col: str = "page_id", url_col: str = "url"
                       F.coalesce(col(html_col).cast("string"), F.lit("")).alias("html"))
     keyed = pages.select("host", F.xxhash64("page_id", "html").bitwiseAND(F.lit((1 << 48) - 1)).alias("page"), "html")
     templates = deduce_templates(keyed)
-    hint = F.broadcast if count_at_most(templates, BROADCAST_HOSTS) else (lambda x: x)
+    size = F.octet_length("host") + F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t["token"]) + 200)
+    if _small(templates, size):
+        entries = {r.host: (r.n_pages, r.spine, [t.asDict() for t in r.tokens]) for r in templates.collect()}
+        table, joined = df.sparkSession.sparkContext.broadcast(entries), pages
+    else:
+        entry = F.struct("n_pages", "spine", "tokens").alias("entry")
+        table, joined = None, pages.join(templates.select("host", entry), "host", "left").select(
+            "page_id", "url", "host", "html", "entry")
+
+    def template(entry) -> Template | None:
+        if not entry:
+            return None
+        n_pages, spine, tokens = entry.values() if isinstance(entry, dict) else entry
+        return Template(n_pages or 0, spine, tokens or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Template] = {}
+        made: dict = {}
         for batch in batches:
-            host, spine, n = (batch.column(c).to_pylist() for c in ("host", "spine", "n_pages"))
-            texts = []
-            for i, page in enumerate(batch.column("html").to_pylist()):
-                if host[i] not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host[i]] = Template(n[i] or 0, spine[i], batch.column("tokens")[i].as_py() or [])
-                texts.append(extract(page, known[host[i]]))
+            known = _by_host(batch, "entry", table, made, template)
+            texts = [extract(page, t) for page, t in zip(batch.column("html").to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in texts], pa.string()),
                 pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([k for _, k in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars", "n_slots"])
-    joined = pages.join(hint(templates), "host", "left").select("page_id", "url", "host", "html", "n_pages", "spine", "tokens")
     return joined.mapInArrow(run, OUT)
 
 
