@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -103,8 +103,7 @@ class Vocabulary:
         A worker keeps those of the first units it meets, up to ``MEMORY`` edges (frequent units come early);
         other new ones are added for this call alone.
         """
-        get = self.number.get
-        at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        at = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
         unseen = np.flatnonzero(at < 0).tolist()
         if not unseen and self.known is not None:
             return self.known, at
@@ -343,7 +342,8 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int):
         go = np.flatnonzero(np.isfinite(best))
         if not len(go):
             break
-        new_d, new_un, new_e, first_open, walk_row, walk_doc, walk_unit, walk_order = [], [], [], [], [], [], [], []
+        new_un, new_e, first_open, walk_row, walk_unit = [], [], [], [], []
+        first_u, rest_u = (uniform(keys, (1 << 62) + sample, j).tolist() for j in (0, 1))
         for x in go.tolist():
             st, t = state[which[x]], int(where[x])
             j = int(np.searchsorted(st["docs"], x))
@@ -352,51 +352,61 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int):
             a, b = int(lat.lo[r]), int(lat.lo[r + 1])
             free = [i for i in range(a, b) if i not in shut]
             mass = lat.cond[free]
-            u = float(uniform(keys[x:x + 1], (1 << 62) + sample, 0)[0]) * mass.sum()
-            pick = free[min(int(np.searchsorted(np.cumsum(mass), u)), len(free) - 1)]
+            total_mass = float(mass.sum())
+            pick = free[min(int(np.searchsorted(mass.cumsum(), first_u[x] * total_mass)), len(free) - 1)]
             shut.add(pick)
             # what is left beside both stays a candidate, cut at the new value
-            rest = float(mass.sum() - lat.cond[pick]) if len(free) > 1 else 0.0
+            rest = total_mass - float(lat.cond[pick]) if len(free) > 1 else 0.0
             if rest > 1e-15:
-                u = float(uniform(keys[x:x + 1], (1 << 62) + sample, 1)[0])
                 with np.errstate(over="ignore", divide="ignore"):
-                    st["g"][t] = -np.log(np.exp(-best[x]) - np.log(u) / (rest * np.exp(st["before"][t])))
+                    st["g"][t] = -np.log(np.exp(-best[x]) - np.log(rest_u[x]) / (rest * np.exp(st["before"][t])))
             else:
                 st["g"][t] = -np.inf
             # decisions in front, the new one, then fresh walks: the rest of this unit and all later units
-            keep = slice(lo, t)
-            new_d.append(np.full(t - lo + 1, x))
-            new_un.append(np.r_[st["un"][keep], st["un"][t]])
-            new_e.append(np.r_[st["e"][keep], pick])
+            new_un.append(st["un"][lo:t + 1])
+            line = st["e"][lo:t + 1].copy()
+            line[-1] = pick
+            new_e.append(line)
             first_open.append(t - lo + 1)
             here = int(st["un"][t])
-            later = np.arange(unit_lo[x] + here + 1, unit_lo[x] + count[x])
-            walk_row.append(np.r_[lat.src[pick], row[later]])
-            walk_doc.append(np.full(len(later) + 1, x))
-            walk_unit.append(np.r_[here, unit_no[later]])
-        w_row, w_doc, w_unit = (np.concatenate(v) for v in (walk_row, walk_doc, walk_unit))
+            later = slice(unit_lo[x] + here + 1, unit_lo[x] + count[x])
+            walk_row += [lat.src[pick:pick + 1], row[later]]
+            walk_unit += [st["un"][t:t + 1], unit_no[later]]
+        w_row, w_unit = np.concatenate(walk_row), np.concatenate(walk_unit)
+        w_doc = np.repeat(go, [len(a) + 1 for a in walk_row[1::2]])
         d2, un2, e2 = ordered(_walk(lat, w_row, keys[w_doc], sample, w_unit), w_unit, w_doc)
-        d1, un1, e1 = (np.concatenate(v) for v in (new_d, new_un, new_e))
-        o = np.argsort(np.r_[d1, d2], kind="stable")              # prefix first, then the walk, by document
-        register(sample, go, np.r_[d1, d2][o], np.r_[un1, un2][o], np.r_[e1, e2][o], best[go], np.array(first_open))
+        d1, un1, e1 = np.repeat(go, [len(x) for x in new_un]), np.concatenate(new_un), np.concatenate(new_e)
+        d1, un1, e1 = (np.concatenate(v) for v in ((d1, d2), (un1, un2), (e1, e2)))
+        o = np.argsort(d1, kind="stable")                         # prefix first, then the walk, by document
+        register(sample, go, d1[o], un1[o], e1[o], best[go], np.array(first_open))
     return lat, results, kappa
 
 
-def pieces_in_order(lat: Lattices, edges: np.ndarray, units: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """Piece ids from left to right (a unit's decisions run from its end), byte pieces written out."""
-    if not len(edges):
-        return np.zeros(0, np.int32)
-    first = np.flatnonzero(np.r_[True, units[1:] != units[:-1]])
-    size = np.diff(np.r_[first, len(units)])
+def pieces_in_order(lat: Lattices, samples: list[tuple[np.ndarray, np.ndarray]], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all samples ``(edges, units)`` end to end, from left to right (a unit's decisions run from its
+    end), byte pieces written out; and the place where each sample ends."""
+    stop = np.cumsum([len(e) for e, _ in samples])
+    if not len(stop) or not stop[-1]:
+        return np.zeros(0, np.int32), stop
+    edges, units = (np.concatenate(x) for x in zip(*samples))
+    new = np.empty(len(units), bool)
+    new[0], new[1:] = True, units[1:] != units[:-1]
+    new[stop[:-1][stop[:-1] < len(new)]] = True                   # a sample begins
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(units)))
     ids = lat.piece[edges][np.repeat(2 * first + size - 1, size) - np.arange(len(units))]
     odd = np.flatnonzero(ids < 0)
     if len(odd):
-        parts, at = [], 0
-        for i in odd.tolist():
-            parts += [ids[at:i], [vocab.byte[b] for b in _bytes(-int(ids[i]) - 1)]]
-            at = i + 1
-        ids = np.concatenate([*parts, ids[at:]])
-    return ids.astype(np.int32)
+        codes = -ids[odd].astype(np.int64) - 1
+        spelled = {c: [vocab.byte[b] for b in _bytes(c)] for c in set(codes.tolist())}
+        wide = np.ones(len(ids), np.int64)
+        wide[odd] = [len(spelled[c]) for c in codes.tolist()]
+        begin = np.cumsum(wide) - wide
+        ids = np.repeat(ids, wide)
+        for c, at in zip(codes.tolist(), begin[odd].tolist()):
+            ids[at:at + len(spelled[c])] = spelled[c]
+        stop = np.append(begin, len(ids))[stop]
+    return ids.astype(np.int32), stop
 
 
 def decode_pieces(ids, vocab: Vocabulary) -> str:
@@ -421,7 +431,8 @@ def row_keys(ids: list, seed: int) -> np.ndarray:
     return mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64) + np.uint64(seed + 1 << 40))
 
 
-SAMPLES = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
+SCORES = "log_prob double, perturbed double, inclusion double, log_inclusion double, kappa double"
+SAMPLES = "doc_id long, sample int, ids array<int>, " + SCORES
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 42,
@@ -429,36 +440,46 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     """Up to ``k`` distinct segmentations of every row, best perturbed value first.
 
     With ``digest`` the ids are returned as their number, their crc32 (little-endian 32-bit) and whether
-    they decode to the text, in place of the arrays.
+    they decode to the text, in place of the arrays.  ``kappa`` is the value of the best segmentation left out (null:
+    none), ``inclusion`` the odds of a segmentation to beat it; those of long texts only fit its logarithm.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
         for part in (p for b in batches for p in slices(b, "text", 500_000)):
             docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
             lat, results, kappa = sample_slice(texts, row_keys(docs_, seed), vocab, k)
-            rows = []
-            for i, found in enumerate(results):
-                for s, (edges, units, logp, value) in enumerate(found):
-                    ids = pieces_in_order(lat, edges, units, vocab)
-                    inclusion = float(-np.expm1(-np.exp(min(logp - kappa[i], 700)))) if np.isfinite(kappa[i]) else 1.0
-                    rows.append((docs_[i], s, ids, logp, value, inclusion, texts[i]))
-            if not rows:
+            found = [(i, j, *f) for i, fs in enumerate(results) for j, f in enumerate(fs)]
+            if not found:
                 continue
-            c = list(zip(*rows))
-            head = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32())]
-            tail = [pa.array(v, pa.float64()) for v in c[3:6]]
+            who, no, edges, units, logp, value = map(list, zip(*found))
+            flat, stop = pieces_in_order(lat, list(zip(edges, units)), vocab)
+            edge, logp, cut = np.concatenate([[0], stop]), np.array(logp), kappa[who]
+            with np.errstate(over="ignore"):
+                # log(1 - exp(-exp(x))) is x itself where exp(x) is small; no sample left: included for certain
+                odds = logp - cut
+                chance = np.where(np.isfinite(cut), -np.expm1(-np.exp(np.minimum(odds, 700.0))), 1.0)
+                log_chance = np.where(np.isfinite(cut), np.where(odds < -30, odds, np.log(np.maximum(chance, 1e-300))), 0.0)
+            head = [pa.array([docs_[i] for i in who], pa.int64()), pa.array(no, pa.int32())]
+            tail = [pa.array(v, pa.float64()) for v in (logp, np.array(value), chance, log_chance)]
+            tail.append(pa.array(cut, pa.float64(), mask=~np.isfinite(cut)))
+            names = [c.split()[0] for c in SCORES.split(", ")]
             if digest:
-                mid = [pa.array([len(x) for x in c[2]], pa.int64()),
-                       pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in c[2]], pa.int64()),
-                       pa.array([decode_pieces(x, vocab) == t for x, t in zip(c[2], c[6])])]
-                names = ["doc_id", "sample", "n_pieces", "ids_crc32", "decodes", "log_prob", "perturbed", "inclusion"]
+                raw, sizes = memoryview(flat.astype("<u4").tobytes()), vocab.text_size[flat]
+                text_stop = np.cumsum(sizes)
+                spelled = vocab.text[np.repeat(vocab.text_at[flat] - (text_stop - sizes), sizes)
+                                     + np.arange(int(sizes.sum()))].tobytes()
+                at = np.concatenate([[0], text_stop])[edge].tolist()
+                same = [spelled[a:b] == (" " + texts[i]).encode() if b > a else not texts[i]
+                        for a, b, i in zip(at[:-1], at[1:], who)]
+                mid = [pa.array(np.diff(edge), pa.int64()),
+                       pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.int64()),
+                       pa.array(same)]
+                names = ["doc_id", "sample", "n_pieces", "ids_crc32", "decodes", *names]
             else:
-                mid = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in c[2]]), pa.int32()),
-                                                pa.array(np.concatenate(c[2]), pa.int32()))]
-                names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"]
+                mid = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32()))]
+                names = ["doc_id", "sample", "ids", *names]
             yield pa.RecordBatch.from_arrays(head + mid + tail, names)
-    schema = SAMPLES if not digest else ("doc_id long, sample int, n_pieces long, ids_crc32 long, decodes boolean, "
-                                         "log_prob double, perturbed double, inclusion double")
+    schema = SAMPLES if not digest else "doc_id long, sample int, n_pieces long, ids_crc32 long, decodes boolean, " + SCORES
     return scan(docs, {"doc_id": (id_col, "long"), "text": (text_col, "string")}).mapInArrow(run, schema)
 
 

@@ -300,7 +300,7 @@ def test_sampled_segmentations(spark, odd, empty):
     prob = {a: w / total for a, w in every}
     n = 20_000
     lat, found, kappa = sps.sample_slice([text] * n, sps.row_keys(list(range(n)), 7), vocab, 2)
-    seqs = [[tuple(sps.pieces_in_order(lat, e, u, vocab).tolist()) for e, u, _, _ in f] for f in found]
+    seqs = [[tuple(sps.pieces_in_order(lat, [(e, u)], vocab)[0].tolist()) for e, u, _, _ in f] for f in found]
     assert all(len(set(s)) == 2 and set(s) <= set(prob) for s in seqs)
     pairs = Counter(map(tuple, seqs))
     for (a, b), m in pairs.most_common(3):
