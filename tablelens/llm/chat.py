@@ -155,9 +155,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          schema=DIGEST_ARROW)
 
 
-def read_back(stream: DataFrame) -> DataFrame:
-    """Digest of each conversation, from the formatted strings and the examples' ranges alone."""
-    return (stream.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_digest, DIGEST))
+def read_back(stream: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Digest of each conversation, from the formatted strings and the rows of its examples alone: what is trainable
+    is the part of an example's target turn between the example's own offsets."""
+    mask = expanded.select(F.col("conv_id").alias("of"), "target_seq", "context_end", "loss_start", "loss_end")
+    turns = stream.select("conv_id", "seq", "formatted").join(
+        mask, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("seq") == F.col("target_seq")), "left").select(
+        "conv_id", "seq", "formatted", F.col("context_end").alias("start"), "loss_start", "loss_end")
+    return (turns.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_digest, DIGEST))
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -187,5 +192,5 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)],
                                   "conv_id long, turn long, role string, text string")
     written = stable(format_turns(convs.unionByName(probe)))
-    return read_back(written).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+    return read_back(written, stable(examples(written))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
                                      "formatted_chars", "n_examples")

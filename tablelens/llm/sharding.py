@@ -45,10 +45,9 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 40, id_col: str = "doc_id", te
     placed = (rows.join(F.broadcast(offsets), "part")      # bounded: one row per partition
               .withColumn("upto", F.col("bytes_before") + F.sum("size").over(inside))
               .withColumn("row", F.col("rows_before") + F.count(F.lit(1)).over(inside) - 1)
-              # twice the mid-point, in exact integer arithmetic
-              .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(
-                  ((2 * F.col("upto") - F.col("size")).cast("decimal(38,0)") * n_shards)
-                  / (2 * F.col("total")))).cast("int")))
+              # twice the mid-point over twice the target, by integer division
+              .withColumn("shard", F.least(F.lit(n_shards - 1).cast("long"), F.expr(
+                  f"cast(2 * upto - size as decimal(22, 0)) * {int(n_shards)} div cast(2 * total as decimal(22, 0))")).cast("int")))
     # The slots of a shard start after all rows of the partitions and shards before it.
     counts = placed.groupBy("shard").agg(F.min("row").alias("first_row"))        # at most n_shards rows
     return placed.join(F.broadcast(counts), "shard").select(

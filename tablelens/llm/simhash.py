@@ -32,11 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import hex64, query, scan, slices, stable, table
+from tablelens.llm.common import col, hex64, query, scan, slices, stable, table
 
 #: A routing group of more fingerprints is split on further blocks (bounds a task, drops nothing).
 GROUP_LIMIT = 1_000
@@ -269,24 +270,34 @@ def local_links(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 # ---------------------------------------------------------------- components
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)``: the smallest node reachable over undirected ``edges(u, v)``, for nodes with an edge."""
+def _stars(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over distinct edges ``u > v``."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = (both.join(low, "u").where(F.col("v") > F.col("u"))
+             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = (large.join(low, "u")
+             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
+             .select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct())
+    return stable(small)
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(node, root)``: the smallest node reachable over undirected ``edges(u, v)``, for nodes with an edge. After so many
+    ``rounds``, if given, a smaller node that is reachable, though maybe not the smallest."""
     e = stable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(x: DataFrame):
         return x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    if rounds is not None:
+        for _ in range(rounds):
+            e = _stars(e)
+        return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     now = state(e)
     while now[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u")
-                 .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-                 .select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct())
-        e = stable(small)
+        e = _stars(e)
         before, now = now, state(e)
         if tuple(before) == tuple(now):
             break
@@ -295,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; see the module text."""
+    """``doc_id, fp, component_id, root`` (the component's smallest fingerprint) for every row; see the module text."""
     rows = stable(fingerprints(docs, shingle, id_col, text_col))
     nodes = stable(rows.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
     roots = components(local_links(nodes, max_bits))
@@ -304,21 +315,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     classes = joined.groupBy("root").agg(F.min("smallest").alias("component_id"))
     # The row side of this join may hold a third of all rows under one fingerprint; the other side has one
     # row per fingerprint, so the skewed partition can be split (adaptive skew join).
-    return rows.join(joined.join(classes, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id")
+    return rows.join(joined.join(classes, "root").select("fp", "component_id", "root"), "fp").select(
+        "doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one with the smallest id. Rows that share
-    that id (repeated rows, null ids) are kept once per text."""
-    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    keep = (found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("doc_id").alias("keep_id__"), F.col("n").alias("keep_n__")))
-    kept = docs.join(keep, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("keep_id__")))
-    single = kept.where("keep_n__ = 1").drop("keep_id__", "keep_n__")
-    several = kept.where("keep_n__ > 1").drop("keep_id__", "keep_n__").dropDuplicates([id_col, text_col])
-    return single.unionByName(several)
+    """``docs`` with one row of each group of near copies: the one with the smallest id. Rows that share an id
+    (repeated rows, null ids) are told apart by their fingerprints: of those in one group, one stays."""
+    found = stable(near_duplicates(docs, shingle, max_bits, id_col, text_col))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keep = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(first).alias("first")).where("first").select(
+        F.col("doc_id").alias("keep"), "rows")
+    row = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).cast("long").alias("id"),
+                      col(text_col).cast("string").alias("text"))
+    kept = row.join(keep, F.col("id").eqNullSafe(F.col("keep")))
+    single = kept.where("rows = 1").select("row")
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
+
+    roots = found.where(first).select(F.col("doc_id").alias("at"), F.col("fp").alias("own"), "root").distinct()
+    several = (kept.where("rows > 1").withColumn("fp", print_of("text"))
+               .join(roots, F.col("id").eqNullSafe(F.col("at")) & (F.col("fp") == F.col("own")))
+               .dropDuplicates(["root"]).select("row"))
+    return single.unionByName(several).select("row.*")
 
 
 @query("op3_simhash")

@@ -10,7 +10,7 @@ Order of decision: host/path rules (longest first, a tie by text), then pattern
 (block before allow, then the longest), else ``default``.
 
 Defined results: a null URL or one without ``://`` has empty host and path and fits no
-host rule; pattern rules still see the text after lower-casing A-Z (null: none); repeated
+host rule; input columns named like a result are replaced; pattern rules still see the text after lower-casing A-Z (null: none); repeated
 rows each keep their verdict; an empty table gives no rows.
 """
 
@@ -30,16 +30,20 @@ BROADCAST_RULES = 20_000
 #: ``(action, host and path prefix)`` as the contract gives them.
 HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
               ("allow", "com/fr/"), ("block", "com/de/")]
-#: ``(action, pattern, literal tokens any match must hold)`` over the lower-cased URL: one word of a
-#: host name that unwanted sites carry, next to a second one.
-PATTERN_RULES = [
-    ("block", r"^[a-z]+://([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|$)", ("casino",)),
-    ("block", r"^[a-z]+://([^/?#]*[.-])?pills([.-][^/?#]*)?([/?#]|$)", ("pills",)),
-    ("block", r"^[a-z]+://([^/?#]*[.-])?adult-x([.-][^/?#]*)?([/?#]|$)", ("adult", "x")),
-    ("block", r"^[a-z]+://([^/?#]*[.-])?free-bets([.-][^/?#]*)?([/?#]|$)", ("free", "bets")),
-    ("block", r"^[a-z]+://([^/?#]*[.-])?ads-track([.-][^/?#]*)?([/?#]|$)", ("ads", "track")),
-    ("block", r"^[a-z]+://([^/?#]*[.-])?spam-farm([.-][^/?#]*)?([/?#]|$)", ("spam", "farm")),
-]
+
+
+def host_words(action: str, *words: str) -> tuple[str, str, tuple[str, ...]]:
+    """``(action, pattern, literal tokens)`` of a rule over the lower-cased URL: the host holds ``words``, joined by
+    hyphens, as whole labels or parts of labels. Pattern and tokens come from the same words, so that no
+    match lacks a token that the rule may be filed under."""
+    if not words or not all(re.fullmatch("[a-z0-9]+", w) for w in words):
+        raise ValueError(f"words of a-z and 0-9 wanted: {words}")
+    return action, r"^[a-z]+://([^/?#]*[.-])?" + "-".join(words) + r"([.-][^/?#]*)?([/?#]|$)", tuple(dict.fromkeys(words))
+
+
+#: Words of a host name that unwanted sites carry.
+PATTERN_RULES = [host_words("block", *w) for w in (("casino",), ("pills",), ("adult", "x"), ("free", "bets"), ("ads", "track"),
+                                                   ("spam", "farm"))]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -71,11 +75,9 @@ def rule_table(spark: SparkSession, host_rules, pattern_rules) -> DataFrame:
 
 def judge_urls(df: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, url_col: str = "url",
                default: str = "allow") -> DataFrame:
-    """``df`` with ``url_host, url_path, url_rule, url_verdict`` added; see the module text."""
+    """``df`` with ``url_host, url_path, url_rule, url_verdict`` added (in place of input columns of these names,
+    whatever their case); see the module text."""
     spark = df.sparkSession
-    for c in ("url_host", "url_path", "url_rule", "url_verdict"):
-        if c in df.columns:
-            raise ValueError(f"the input already has a column {c!r}")
     urls = df.select(col(url_col).cast("string").alias("u")).where("u IS NOT NULL").distinct()
     host, path = host_path(F.col("u"))
     low = F.translate("u", UPPER, LOWER)
@@ -106,11 +108,14 @@ def judge_urls(df: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES
         (-F.col("kind")).alias("k"),
         F.when(F.col("kind") == 0, F.length("rule")).otherwise((F.col("action") == "block").cast("int")).alias("w"),
         F.length("rule").alias("n"), "rule", "action")).alias("best"))
-    h, p = host_path(col(url_col).cast("string"))
-    return (df.join(best, col(url_col).cast("string") == F.col("u"), "left")
-            .select(*[col(c) for c in df.columns], h.alias("url_host"), p.alias("url_path"),
+    added = ("url_host", "url_path", "url_rule", "url_verdict")
+    keep = [col(c) for c in df.columns if c.lower() not in added]
+    rows = df.select(F.struct(*keep, F.lit(0).alias("rows__")).alias("row"), col(url_col).cast("string").alias("key"))
+    h, p = host_path(F.col("key"))
+    return (rows.join(best, F.col("key") == F.col("u"), "left")
+            .select("row.*", h.alias("url_host"), p.alias("url_path"),
                     F.when(F.col("best.k") == 0, F.col("best.rule")).alias("url_rule"),
-                    F.coalesce("best.action", F.lit(default)).alias("url_verdict")))
+                    F.coalesce("best.action", F.lit(default)).alias("url_verdict")).drop("rows__"))
 
 
 def _sql(host_rules, pattern_rules) -> str:

@@ -105,7 +105,7 @@ def test_chat(spark):
             (2, 0, None, "x"), (None, 0, "assistant", "null id"), (3, 1, "assistant", "first"), (3, 1, "assistant", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     stream = chat.format_turns(df)
-    got = {r.conv_id: r for r in chat.read_back(stream).collect()}
+    got = {r.conv_id: r for r in chat.read_back(stream, chat.examples(stream)).collect()}
     for conv in {r[0] for r in rows}:
         turns = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
         said = "".join(r[3] or "" for r in turns if r[2] == "assistant")
@@ -120,7 +120,8 @@ def test_chat(spark):
     assert len(shown) == chat.examples(stream).count() == 5
     for t in ("", "\\", "<|", "<\\|", "\\<|\\n", probe):
         assert chat.parse_turn(chat.format_turn("ro\nle", t)[0]) == ("ro\nle", t)
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    none = chat.format_turns(df.limit(0))
+    assert chat.read_back(none, chat.examples(none)).count() == 0
 
 
 def test_simhash(spark, odd, empty):
@@ -408,3 +409,77 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
                                   spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in docs], "doc_id long, toxic int"))
     only, unseen = model.differences(["qqwxk", "jjfpd"])[:, 1]
     assert only > unseen + 0.1 and model.weights is not None
+
+
+def test_shards_of_huge_rows(spark):
+    """Sizes beyond what a rounded quotient could tell apart."""
+    docs = spark.createDataFrame([(i, "x" * (i % 5)) for i in range(23)], "doc_id long, text string")
+    rows = sharding.shard_by_bytes(docs, 7, overhead=10 ** 13).orderBy("id").collect()
+    total, before = sum(r["size"] for r in rows), 0
+    for r in rows:
+        assert r.shard == (2 * before + r["size"]) * 7 // (2 * total)
+        before += r["size"]
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    q, w = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(3, q), (5, w), (5, q), (7, w), (7, w), (None, "alone here")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, q), (5, w), (None, "alone here")])
+    clash = spark.createDataFrame([(1, q, 9, "a"), (2, q, 8, "b")], "doc_id long, text string, fp int, keep string")
+    assert [tuple(r) for r in simhash.keep_one(clash).collect()] == [(1, q, 9, "a")]
+
+
+def test_url_columns_that_clash(spark):
+    df = spark.createDataFrame([("http://casino.example.net/" + "a/" * 50_000, "h", 1, 2)], "url string, URL_HOST string, u int, best int")
+    r = urlfilter.judge_urls(df).first()
+    assert (r.url_host, r.url_verdict, r.u, r.best) == ("casino.example.net", "block", 1, 2)
+    for action, pattern, tokens in urlfilter.PATTERN_RULES:
+        assert re.search(pattern, "http://" + "-".join(tokens) + ".net/") and all(t in pattern for t in tokens)
+    with pytest.raises(ValueError):
+        urlfilter.host_words("block", "no.dot")
+
+
+def test_html_side_marks_and_broken_quotes():
+    read = lambda body: html_template.extract(body, None)[0]
+    assert read('<article><p class="advert">Buy now</p><p>Keep</p><ul><li class="comment">First!</li><li>two</li></ul>'
+                'x <i class="ad">buy</i> y</article>') == "Keep\n\ntwo\n\nx y"
+    assert read('<article><p class="ad">Buy<p>Keep<h2 class="section-header">Head</h2><div class="share-price">12</div></article>') \
+        == "Keep\n\nHead\n\n12"
+    assert read('<div class="cookie-banner">c</div><div class="site-header">h</div>t') == "t"
+    assert read('<article>a <a title="x>1 < 2</a> b</article>') == "a 1 < 2 b"
+    assert read('<table><tr><td class="ad">x<td>y</table>') == "y"
+
+
+def test_html_vectors_and_classes_against_brute_force(spark):
+    """Occurrence vectors from sums of hashes group tokens as the vectors themselves do."""
+    rng = np.random.default_rng(4)
+    pages = [(i, "h", "<html><body><div>same words</div>" + "".join(f"<p>w{k}</p>" for k in rng.permutation(8)[:rng.integers(3, 8)])
+              + "<b>twice</b><b>twice</b>" * int(i % 2) + "</body></html>") for i in range(20)]
+    df = spark.createDataFrame(pages + pages[:1], "page long, host string, html string").distinct()
+    row = html_template.deduce_templates(df.select("host", "page", "html")).first()
+    vectors = {}
+    for i, _, text in pages:
+        for t, n in Counter(html_template.page_tokens(text)).items():
+            vectors.setdefault(t, {})[i] = n
+    frequent = {t: v for t, v in vectors.items() if len(v) >= max(html_template.MIN_PAGES, html_template.MIN_SHARE * len(pages))}
+    got = {t.token: t for t in row.tokens if t.pages >= max(html_template.MIN_PAGES, html_template.MIN_SHARE * row.n_pages)}
+    assert row.n_pages == 20 and set(got) == set(frequent) and all(got[t].pages == len(v) for t, v in frequent.items())
+    classes = lambda of: {frozenset(t for t in of if of[t] == of[u]) for u in of}
+    assert classes({t: str(sorted(v.items())) for t, v in frequent.items()}) == classes({t: got[t].vector for t in got})
+    once = str(sorted({i: 1 for i in range(20)}.items()))
+    assert {t for t in got if got[t].vector == row.spine} == {t for t, v in frequent.items() if str(sorted(v.items())) == once}
+
+
+def test_html_templates_by_shuffle_equal_broadcast(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 2}.example/{i}", PAGE.format(i=i, nav="<li>n</li>" * (i % 3 + 1))) for i in range(12)]
+    df = spark.createDataFrame(pages * 2, "page_id long, url string, html string")
+    whole = Counter(map(tuple, html_template.extract_pages(df).collect()))
+    monkeypatch.setattr(html_template, "BROADCAST_BYTES", 0)
+    assert Counter(map(tuple, html_template.extract_pages(df).collect())) == whole
+
+
+def test_inclusion_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, "segmentation of several words " * 800)], "doc_id long, text string")
+    for r in sps.sample_segmentations(df, P.path("piece_bpe_32k.model"), k=2).collect():
+        assert r.log_prob < -700 and r.inclusion == 0 and r.log_inclusion == pytest.approx(r.log_prob - r.kappa)
