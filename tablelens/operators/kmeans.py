@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 3
 #: Total squared movement of a model's centroids at which it stops, in the sweep and for the model kept.
-TOLERANCE, FINAL_TOLERANCE = 1e-4, 1e-8
+TOLERANCE, FINAL_TOLERANCE = 1e-4, 1e-6
 
 
 @dataclass
