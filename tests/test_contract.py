@@ -18,7 +18,10 @@ FAST = ["table_summary", "column_roles", "category_top_n", "missing_report", "ou
         "group_means", "crosstab", "ordered_levels", "value_share", "mode_values", "eda_key_figures",
         "pearson_matrix", "spearman_matrix", "strong_pairs", "nonlinear_hints", "ttest", "anova",
         "mannwhitney_u", "kruskal_h", "posthoc_pairs_stat", "ab_test", "anova_factor", "zscore",
-        "ols_two_feature"]
+        "ols_two_feature", "gated_roles", "corrected_tests", "significance_scores", "test_count_summary", "test_record",
+        "csv_round_trip", "text_key_values", "tables_round_trip", "report_stamp", "named_aggregate", "level_extremes",
+        "chart_centers", "rank_effects", "correlations_with_nulls", "top_correlations", "pca_explained", "binning_elbow",
+        "driver_estimates", "redundant_features"]
 
 
 @pytest.fixture(scope="module")
