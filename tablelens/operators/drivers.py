@@ -15,7 +15,6 @@ reference; the intercept absorbs the means, so the slope block of
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

@@ -75,7 +75,8 @@ def _partial_sums(z: DataFrame, cols: list[str], centers: list[np.ndarray], silh
                 np.put_along_axis(d, own, np.inf, 1)
                 other = np.sqrt(np.column_stack([d[:, a:b].min(1) for a, b in zip(starts, ends)]))
                 a, wide = np.sqrt(least), np.isfinite(other)
-                score = np.where(wide, (other - a) / np.maximum(np.maximum(a, other), 1e-300), 0.0)
+                with np.errstate(invalid="ignore"):               # a model of one cluster has no other centroid
+                    score = np.where(wide, (other - a) / np.maximum(np.maximum(a, other), 1e-300), 0.0)
             flat = own.ravel()
             sums[:, 0] += np.bincount(flat, minlength=len(stack))
             for j in range(len(cols)):
