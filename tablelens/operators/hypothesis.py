@@ -10,8 +10,8 @@ Plan per analysis (not per pair):
   ``normality_rule="shapiro"``: Shapiro-Wilk per (numeric, categorical, level) group of 3 to
   ``shapiro_max_n`` values, larger groups count as normal.
 * **rank tests** — only pairs that need Mann-Whitney / Kruskal-Wallis: values
-  counted per (pair, level, value) and passed once in order; the matrix of wins of
-  level over level gives U, H and every post-hoc U.
+  counted per (numeric, value, levels) and passed once in order, for all categoricals together; the
+  matrix of wins of level over level gives U, H and every post-hoc U.
 * p-values through Arrow UDFs over the (small) result rows.
 
 Level order is ascending by the level's string value (Spark has no row order);
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,22 +45,18 @@ def moment_table(df: DataFrame, numerics: list[str], categoricals: list[str]) ->
     written once, so the rows are read once however many statistics branch off it."""
     cat_structs = [F.struct(F.lit(j).alias("cat"), q(c).cast("string").alias("level"))
                    for j, c in enumerate(categoricals)]
-    xs = [q(c).cast("double").alias(f"x{i}") for i, c in enumerate(numerics)]
-    long = df.select(F.inline(F.array(*cat_structs)), *xs).where(F.col("level").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(numerics)):
-        x = F.col(f"x{i}")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}"),
-                 F.skewness(x).alias(f"s{i}"), F.kurtosis(x).alias(f"k{i}")]
-    per = long.groupBy("cat", "level").agg(*aggs)
-    num_structs = [F.struct(F.lit(i).alias("num"), F.lit(c).alias("numeric"), F.col(f"n{i}").alias("n"),
-                            F.col(f"m{i}").alias("mean"), F.col(f"v{i}").alias("var"),
-                            F.col(f"s{i}").alias("skew"), F.col(f"k{i}").alias("kurt"))
+    num_structs = [F.struct(F.lit(i).alias("num"), q(c).cast("double").alias("x"))
                    for i, c in enumerate(numerics)]
-    cat_name = F.element_at(F.array(*[F.lit(c) for c in categoricals]), F.col("cat") + 1)
-    return stable(per.select("cat", cat_name.alias("categorical"), "level", "rows",
-                             F.inline(F.array(*num_structs))).select(
-        "num", "cat", "numeric", "categorical", "level", "rows", "n", "mean", "var", "skew", "kurt"))
+    # one set of aggregates for all numerics: a set per numeric is too wide for compiled code
+    long = (df.select(F.array(*num_structs).alias("xs"), F.inline(F.array(*cat_structs))).where(F.col("level").isNotNull())
+            .select("cat", "level", F.inline("xs")))
+    x = F.col("x")
+    per = long.groupBy("num", "cat", "level").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"),
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
+    name = lambda columns, at: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(at) + 1)
+    return stable(per.select("num", "cat", name(numerics, "num").alias("numeric"), name(categoricals, "cat").alias("categorical"),
+                             "level", "rows", "n", "mean", "var", "skew", "kurt"))
 
 
 _MOMENTS_SCHEMA = ("num int, cat int, numeric string, categorical string, level string, rows long, n long, "
@@ -210,6 +207,9 @@ def normality(df: DataFrame, numerics: list[str], categoricals: list[str], surv:
 
 # ---------------------------------------------------------- wins of level over level
 _SLICE = "part int, num int, cat int, a string, b string, own double, tie double, n_a long, n_b long, tie_all double"
+_SLICE_NAMES = [c.split()[0] for c in _SLICE.split(", ")]
+_SLICE_ARROW = pa.schema([(n, {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "long": pa.int64()}[t])
+                          for n, t in (c.split() for c in _SLICE.split(", "))])
 
 
 def win_matrix(df: DataFrame, numerics: list[str], categoricals: list[str],
@@ -219,50 +219,80 @@ def win_matrix(df: DataFrame, numerics: list[str], categoricals: list[str],
     ``u`` counts the pairs of values in which level ``a`` is above level ``b`` (ties half): the Mann-Whitney U of ``a``.
     ``tie`` is the sum of t³ - t over the values of both levels, ``tie_all`` that over all given levels.
 
-    Values are counted per (pair, level, value), range-partitioned by (pair, value) and passed once in order:
-    with C the counts of a slice's values by level and B the counts below each value in the slice, the slice adds
-    Cᵀ (B + C / 2); the counts of the slices before it add n_a · before_b.  A slice emits levels² sums, whatever its size,
-    and no count is copied per pair of levels."""
-    pred, structs = _level_filter(categoricals, groups, numerics, "value")
-    long = (df.where(pred).select(F.explode(F.array(*structs)).alias("s"))
-            .where(F.col("s").isNotNull()).select("s.*"))
-    counts = long.groupBy("num", "cat", "level", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    Rows are counted per (numeric, value, levels of all its categoricals), range-partitioned by (numeric, value) and
+    passed once in order, for all categoricals together: with C the counts of a slice's values by level of one of
+    them and B the counts below each value in the slice, the slice adds Cᵀ (B + C / 2); the counts of the slices before
+    it add n_a · before_b.  A slice emits levels² sums per pair, whatever its size, and no count is copied per pair of
+    levels or per categorical.  Levels travel as numbers."""
     order = {k: {lv: at for at, lv in enumerate(sorted(v))} for k, v in groups.items()}
+    cats = sorted({j for _, j in groups})
+    levels = {j: sorted({lv for (_, c), v in groups.items() if c == j for lv in v}) for j in cats}
+    names = [f"c{j}" for j in cats]
+
+    def code(j: int) -> Column:
+        known = F.create_map(*[x for at, lv in enumerate(levels[j]) for x in (F.lit(lv), F.lit(at))])
+        return F.coalesce(F.try_element_at(known, q(categoricals[j]).cast("string")), F.lit(-1)).alias(f"c{j}")
+
+    nums = sorted({i for i, _ in groups})
+    wide = df.select(*[q(numerics[i]).cast("double").alias(f"x{i}") for i in nums], *[code(j) for j in cats])
+    counts = (wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("num"), F.col(f"x{i}").alias("value"),
+                 *[(F.col(c) if (i, j) in groups else F.lit(-1)).alias(c) for j, c in zip(cats, names)]) for i in nums])))
+        .where(F.col("value").isNotNull() & (F.greatest(F.lit(-1), *names) >= 0))
+        .groupBy("num", "value", *names).agg(F.count(F.lit(1)).cast("long").alias("cnt")))
+    place = {(i, j): np.array([at.get(lv, -1) for lv in levels[j]] + [-1]) for (i, j), at in order.items()}
 
     def run(batches):
         from pyspark import TaskContext
         part, sums, held = TaskContext.get().partitionId(), {}, None
 
-        def add(pdf):
-            for (i, j), rows in pdf.groupby(["num", "cat"], sort=False):
-                at = order[(i, j)]
-                values, row = np.unique(rows["value"].to_numpy(), return_inverse=True)
-                c = np.zeros((len(values), len(at)))
-                c[row, [at[x] for x in rows["level"]]] = rows["cnt"].to_numpy()
-                below, own, square, cube, tied = sums.setdefault((i, j), [np.zeros(len(at)), 0.0, 0.0, 0.0, 0.0])
-                b = np.cumsum(c, axis=0) - c + below
-                t = c.sum(axis=1)
-                sums[(i, j)] = [below + c.sum(axis=0), own + c.T @ (b + c / 2), square + (c * c).T @ c,
-                                cube + (c ** 3).sum(axis=0), tied + (t ** 3 - t).sum()]
-
-        for pdf in batches:                                       # rows come sorted by (num, cat, value)
-            pdf = pdf if held is None else pd.concat([held, pdf])
-            key = pdf[["num", "cat", "value"]]
-            last = (key == key.iloc[-1]).all(axis=1).to_numpy() if len(pdf) else np.zeros(0, bool)
-            held = pdf[last]                                      # the last value may go on in the next batch
-            if not last.all():
-                add(pdf[~last])
-        if held is not None and len(held):
-            add(held)
+        def add(num, value, codes, cnt):
+            bounds = np.flatnonzero(np.r_[True, num[1:] != num[:-1], True])
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                i = int(num[lo])
+                for col, j in zip(codes, cats):
+                    if (i, j) not in order:
+                        continue
+                    level = place[(i, j)][col[lo:hi]]
+                    seen = np.flatnonzero(level >= 0)
+                    if not len(seen):
+                        continue
+                    v = value[lo:hi][seen]
+                    row = np.cumsum(np.r_[False, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+                    at = order[(i, j)]
+                    c = np.bincount(row * len(at) + level[seen], cnt[lo:hi][seen], (row[-1] + 1) * len(at)).reshape(-1, len(at))
+                    below, own, square, cube, tied = sums.setdefault((i, j), [np.zeros(len(at)), 0.0, 0.0, 0.0, 0.0])
+                    b = np.cumsum(c, axis=0) - c + below
+                    t = c.sum(axis=1)
+                    sums[(i, j)] = [below + c.sum(axis=0), own + c.T @ (b + c / 2), square + (c * c).T @ c,
+                                    cube + (c ** 3).sum(axis=0), tied + (t ** 3 - t).sum()]
+
+        def columns(batch):
+            num, value, cnt, *codes = (batch.column(n).to_numpy() for n in ("num", "value", "cnt", *names))
+            return num, value, codes, cnt.astype(float)
+
+        for batch in batches:                                     # rows come sorted by (num, value)
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            num, value = batch.column("num").to_numpy(), batch.column("value").to_numpy()
+            other = (num != num[-1]) | ~((value == value[-1]) | (np.isnan(value) & np.isnan(value[-1])))
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            held = batch.slice(cut)                               # the last value may go on in the next batch
+            if cut:
+                add(*columns(batch.slice(0, cut)))
+        if held is not None:
+            add(*columns(held))
         out = [(part, i, j, a, b, float(own[x, y]), float(cube[x] + cube[y] + 3 * (square[x, y] + square[y, x]) - n[x] - n[y]),
                 int(n[x]), int(n[y]), float(tied))
                for (i, j), (n, own, square, cube, tied) in sums.items()
                for a, x in order[(i, j)].items() for b, y in order[(i, j)].items()]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SLICE.split(", ")])
+        yield pa.RecordBatch.from_pylist([dict(zip(_SLICE_NAMES, r)) for r in out], _SLICE_ARROW)
 
     parts = shuffle_partitions(df.sparkSession)
-    slices = stable(counts.repartitionByRange(parts, "num", "cat", "value").sortWithinPartitions("num", "cat", "value")
-                    .mapInPandas(run, _SLICE))
+    slices = stable(counts.repartitionByRange(parts, "num", "value").sortWithinPartitions("num", "value")
+                    .mapInArrow(run, _SLICE))
     keys = ["num", "cat", "a", "b"]
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # a row per slice
     placed = slices.withColumn("before_b", F.coalesce(F.sum("n_b").over(before), F.lit(0)))
@@ -329,13 +359,14 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
 
     # rank statistics only where needed ---------------------------------------
     need_rank = sorted(p for p in tested if not all_normal.get(p, False))
-    rank_rows = None
+    rank_rows = wins = None
     if need_rank:
         groups = {}
         for r in surv:
             if (r["num"], r["cat"]) in need_rank:
                 groups.setdefault((r["num"], r["cat"]), []).append(r["level"])
-        rank_rows = rank_statistics(win_matrix(df, numerics, categoricals, groups))
+        wins = win_matrix(df, numerics, categoricals, groups)
+        rank_rows = rank_statistics(wins)
 
     # assemble ------------------------------------------------------------------
     an = spark.createDataFrame([(i, j, bool(all_normal.get((i, j), False))) for i, j in sorted(tested)],
@@ -375,7 +406,7 @@ def group_comparison(df: DataFrame, numerics: list[str], categoricals: list[str]
         "t", "f", "u", "h", "cohen_d", "eta_sq", "t_df")
     tests = bonferroni(stable(tests), opts.alpha)
     tests = stable(tests)
-    posthoc = posthoc_tables(df, numerics, categoricals, mt, tests, opts)
+    posthoc = posthoc_tables(df, numerics, categoricals, mt, tests, opts, wins)
     return {"tests": tests, "normality": norm, "group_means": group_means(mt), "posthoc": posthoc,
             "moments": mt}
 
@@ -442,9 +473,11 @@ def pairwise_u(wins: DataFrame) -> DataFrame:
 
 
 def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str], mt: DataFrame,
-                   tests: DataFrame, opts: Options) -> DataFrame:
+                   tests: DataFrame, opts: Options, wins: DataFrame | None = None) -> DataFrame:
     """Tukey HSD after significant ANOVA, pairwise U + Bonferroni after significant
-    Kruskal-Wallis; both need >= 3 groups with n >= min_group_size non-null values."""
+    Kruskal-Wallis; both need >= 3 groups with n >= min_group_size non-null values.
+
+    ``wins``: a ``win_matrix`` with all these pairs and levels; U and ties of two levels do not depend on the others."""
     spark = df.sparkSession
     sig = tests.where("significant AND method IN ('ANOVA', 'Kruskal-Wallis')").select(
         "num", "cat", "method").collect()
@@ -472,7 +505,9 @@ def posthoc_tables(df: DataFrame, numerics: list[str], categoricals: list[str],
         for r in mt_ok.select("num", "cat", "level").collect():
             if (r["num"], r["cat"]) in kw:
                 groups.setdefault((r["num"], r["cat"]), []).append(r["level"])
-        pu = pairwise_u(win_matrix(df, numerics, categoricals, groups))
+        if wins is None:
+            wins = win_matrix(df, numerics, categoricals, groups)
+        pu = pairwise_u(wins)                                     # the join with diffs keeps the levels of mt_ok
         diffs = level_pairs(mt_ok).select("num", "cat", "group1", "group2",
                                           (F.col("m1") - F.col("m2")).alias("mean_diff"))
         npairs = {k: len(v) * (len(v) - 1) // 2 for k, v in groups.items()}

@@ -44,7 +44,7 @@ DATETIME_PATTERNS = [
     "HH:mm",
     "HH:mm:ss",
 ]
-_SNIFF_MAX_LEN = 32      # no value of a pattern above is longer
+_SNIFF_MIN_LEN, _SNIFF_MAX_LEN = 3, 32      # no value of a pattern above is shorter or longer
 
 #: Character shapes (a run of digits: 0, a run of letters: a) and the patterns that can hold them, as positions in
 #: DATETIME_PATTERNS.  Of the slashed forms, those that start with four digits are year first.
@@ -120,13 +120,13 @@ def shape_class(c: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
     shape = F.regexp_replace(F.regexp_replace(c, "[0-9]+", "0"), "[A-Za-z]+", "a")
     year_first = F.when(c.rlike("^[0-9]{4}/"), F.lit("year")).otherwise(F.lit(""))
-    return F.when(F.length(c) <= _SNIFF_MAX_LEN, F.try_element_at(known, F.concat(year_first, shape)))
+    return F.when(F.length(c).between(_SNIFF_MIN_LEN, _SNIFF_MAX_LEN), F.try_element_at(known, F.concat(year_first, shape)))
 
 
-def _candidates(counts: list[int], n: int) -> list[int]:
-    """Patterns whose shapes cover all ``n`` values, from the number of values per class."""
+def _candidates(classed: int, least: int | None, most: int | None, n: int) -> list[int]:
+    """Patterns whose shapes cover all ``n`` values, from the number of classed values and their least and greatest class."""
     full = {v: k for k, v in _FULL_NAME.items()}
-    return [p for p in range(len(DATETIME_PATTERNS)) if n and counts[full.get(p, p)] == n]
+    return [p for p in range(len(DATETIME_PATTERNS)) if n and classed == n and least == most == full.get(p, p)]
 
 
 def _parsed(c: Column, patterns: list[int]) -> dict[int, Column]:
@@ -154,8 +154,8 @@ def column_profile(df: DataFrame) -> DataFrame:
         c = q(f.name)
         fam = family(f.dataType)
         none = F.lit(None).cast("double")
-        shapes = F.array(*[F.count_if(F.col(f"shape{i}") == p) for p in range(len(DATETIME_PATTERNS))]) if fam == "string" \
-            else F.array().cast("array<bigint>")
+        shape = F.col(f"shape{i}")
+        shapes = F.array(F.count(shape), F.min(shape).cast("long"), F.max(shape).cast("long")) if fam == "string" else F.array().cast("array<bigint>")
         sketch = F.lit(0).cast("long") if isinstance(f.dataType, T.MapType) \
             else F.hll_sketch_estimate(F.hll_sketch_agg(
                 F.when(c.isNotNull(), F.xxhash64(_hash_value(c, f.dataType))), F.lit(SKETCH_BITS)))
@@ -168,7 +168,7 @@ def column_profile(df: DataFrame) -> DataFrame:
                                if family(f.dataType) == "string"])
     rows = [r.asDict() for r in classed.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*items).alias("cols"))
             .select("n_rows", F.inline("cols")).collect()]        # one row per column
-    tried = {r["ordinal"]: _candidates(r["shapes"], r["n_non_null"]) for r in rows if r["family"] == "string"}
+    tried = {r["ordinal"]: _candidates(*r["shapes"], r["n_non_null"]) for r in rows if r["family"] == "string"}
     probes = [F.count_if(holds).alias(f"d{i}_{p}") for i, ps in tried.items() if ps
               for p, holds in _parsed(q(df.columns[i]), ps).items()]
     dates = df.agg(*probes).first().asDict() if probes else {}
