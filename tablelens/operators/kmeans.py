@@ -58,32 +58,42 @@ def _uniform(row: np.ndarray, seed: int, turn: int) -> np.ndarray:
 
 
 def _partial_sums(z: DataFrame, cols: list[str], centers: list[np.ndarray], silhouette: bool) -> dict[int, np.ndarray]:
-    """For every model's every cluster (numbered through): rows, sums of the columns, squared distances, silhouettes."""
+    """For every model's every cluster (numbered through): rows, sums of the columns and, with ``silhouette``, of
+    squared distances and silhouettes (else 0)."""
     stack = np.vstack(centers)
     ends = np.cumsum([len(c) for c in centers])
     starts = ends - [len(c) for c in centers]
     width = len(cols) + 3
     fields = [f"s{i}" for i in range(width)]
 
+    model = np.repeat(np.arange(len(centers)), ends - starts)
+    size = (stack * stack).sum(1)[:, None]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(stack), width))
-        for x in (_matrix(b, cols)[at:at + 4096] for b in batches for at in range(0, b.num_rows, 4096)):
-            d = _squared(x, stack)
-            own = np.column_stack([d[:, a:b].argmin(1) + a for a, b in zip(starts, ends)])
-            least = np.take_along_axis(d, own, 1)
+        for x in (_matrix(b, cols)[at:at + 1024] for b in batches for at in range(0, b.num_rows, 1024)):
+            d = size - 2 * stack @ x.T                            # a row per centroid; squared distance less |x|²
+            least = np.minimum.reduceat(d, starts, axis=0)
+            hot = d == least[model]
+            tied = np.flatnonzero(np.count_nonzero(hot, axis=0) > len(centers))
+            if len(tied):                                         # the first centroid
+                some = hot[:, tied]
+                for a, b in zip(starts, ends):
+                    some[a:b] &= np.cumsum(some[a:b], axis=0) == 1
+                hot[:, tied] = some
             if silhouette:
-                np.put_along_axis(d, own, np.inf, 1)
-                other = np.sqrt(np.column_stack([d[:, a:b].min(1) for a, b in zip(starts, ends)]))
-                a, wide = np.sqrt(least), np.isfinite(other)
-                with np.errstate(invalid="ignore"):               # a model of one cluster has no other centroid
-                    score = np.where(wide, (other - a) / np.maximum(np.maximum(a, other), 1e-300), 0.0)
-            flat = own.ravel()
-            sums[:, 0] += np.bincount(flat, minlength=len(stack))
-            for j in range(len(cols)):
-                sums[:, 1 + j] += np.bincount(flat, np.repeat(x[:, j], own.shape[1]), len(stack))
-            sums[:, -2] += np.bincount(flat, least.ravel(), len(stack))
+                second = np.minimum.reduceat(np.where(hot, np.inf, d), starts, axis=0)
+            hot = hot.astype(float)
+            sums[:, 0] += hot.sum(1)
+            sums[:, 1:-2] += hot @ x
             if silhouette:
-                sums[:, -1] += np.bincount(flat, score.ravel(), len(stack))
+                norm = (x * x).sum(1)
+                least, wide = np.maximum(least + norm, 0.0), np.isfinite(second)
+                near, other = np.sqrt(least), np.sqrt(np.maximum(second + norm, 0.0))
+                with np.errstate(invalid="ignore"):               # a model of one cluster has no other centroid
+                    score = np.where(wide, (other - near) / np.maximum(np.maximum(near, other), 1e-300), 0.0)
+                sums[:, -2] += (hot * least[model]).sum(1)
+                sums[:, -1] += (hot * score[model]).sum(1)
         seen = np.flatnonzero(sums[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *[pa.array(c) for c in sums[seen].T]], ["cluster", *fields])
 

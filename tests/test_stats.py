@@ -221,3 +221,60 @@ def test_crosstab_with_awkward_levels(spark):
     df = spark.createDataFrame([("a", "row_level"), ("b", "x`y"), ("a", "row_level")], "r string, c string")
     got = {(r.row_level, r.col_level): r["count"] for r in crosstab(df, "r", "c").collect()}
     assert got == {("a", "row_level"): 2, ("a", "x`y"): 0, ("b", "row_level"): 0, ("b", "x`y"): 1}
+
+
+def test_one_ordered_pass_for_tests_and_posthoc(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.exponential(size=300), "g": rng.choice(list("abc"), 300), "h": rng.choice(list("uvw"), 300)})
+    pdf["x"] += (pdf["g"] == "a") * 2.0 + (pdf["h"] == "u") * 2.0
+    passes, inner = [], H.win_matrix
+    monkeypatch.setattr(H, "win_matrix", lambda *a: passes.append(a) or inner(*a))
+    res = H.group_comparison(spark.createDataFrame(pdf), ["x"], ["g", "h"], {"g": 3, "h": 3}, Options())
+    got = {(r["categorical"], r["group1"], r["group2"]): r["statistic"] for r in res["posthoc"].collect()}
+    assert len(passes) == 1 and len(got) == 6
+    for (c, a, b), u in got.items():
+        x, y = (pdf["x"][pdf[c] == lv].to_numpy() for lv in (a, b))
+        assert u == (x[:, None] > y).sum()
+
+
+def test_moments_are_one_set_of_aggregates(spark, monkeypatch):
+    """As many aggregates for twelve numerics as for one: wider ones are not compiled."""
+    plans = []
+    monkeypatch.setattr(H, "stable", lambda df: plans.append(df) or df)
+    df = spark.createDataFrame([(g, *[float(g * i) for i in range(12)]) for g in range(9)], ["g", *[f"x{i}" for i in range(12)]])
+    got = H.moment_table(df, [f"x{i}" for i in range(12)], ["g"])
+    assert got.count() == 108
+    assert plans[0]._jdf.queryExecution().optimizedPlan().toString().count("kurtosis(") == 1
+
+
+def test_ranks_are_joined_once(spark, monkeypatch):
+    """The means of ranks are known, and a column with more values than a broadcast holds is joined with its frequent ones spread."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.integers(0, 400, 900).astype(float), "b": rng.integers(0, 5, 900).astype(float),
+                        "c": np.where(rng.random(900) < .2, np.nan, rng.random(900))})
+    df = spark.createDataFrame(pdf).select("a", "b", F.when(~F.isnan("c"), F.col("c")).alias("c"))
+    given, inner = [], C.pairwise_corr
+    monkeypatch.setattr(C, "pairwise_corr", lambda *a, **k: given.append(k.get("means")) or inner(*a, **k))
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 10)
+    got = {(r["i"], r["j"]): r["spearman"] for r in C.spearman(df, [(0, "a"), (1, "b"), (2, "c")]).collect()}
+    assert given and all(m is not None for m in given)
+    want = pdf.corr("spearman").to_numpy()
+    for (i, j), s in got.items():
+        assert s == pytest.approx(want[i, j], abs=1e-12)
+
+
+def test_cluster_rows_are_dealt_out(spark, monkeypatch):
+    """k-means passes run in many tasks although the input is one partition."""
+    from tablelens.operators import kmeans
+    files, inner = [], kmeans.sweep
+    monkeypatch.setattr(kmeans, "sweep", lambda z, *a: files.append(len(z.inputFiles())) or inner(z, *a))
+    df = spark.range(500).selectExpr("cast(id % 7 as double) x", "cast(id % 11 as double) y").coalesce(1)
+    assert SG.segment(df, ["x", "y"], Options(), k=2) is not None
+    assert files[0] > 1
+
+
+def test_tied_centroids_take_the_first(spark):
+    from tablelens.operators import kmeans
+    z = spark.createDataFrame([(0.0,), (1.0,), (-1.0,)], "z0 double")
+    got = kmeans._partial_sums(z, ["z0"], [np.array([[1.0], [-1.0]]), np.array([[0.0], [0.0]])], True)
+    assert [got[i][0] for i in sorted(got)] == [2, 1, 3] and sorted(got) == [0, 1, 2]
