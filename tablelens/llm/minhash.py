@@ -16,9 +16,11 @@ Set of a text: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, distinct ``shing
 5. Rounds. ``FIRST`` bands are checked first. Buckets whose nodes all hang together then hold no open question; the
    others are checked with the remaining bands. A bucket beyond ``NODES`` nodes or ``SHINGLES`` shingles is dealt out at
    random in these two rounds. If it still holds several components afterwards, the nodes outside its largest component are
-   compared, in blocks, with all others. (A bucket beyond ``AGAIN`` nodes first splits by a second common band:
-   unlike texts that share a frequent passage part there, near copies stay together.) So a task holds a bounded
-   number of shingles, or one text, and nothing is cut off.
+   compared, in blocks, with all others. (A bucket beyond ``AGAIN`` nodes first splits by prefix shingles: with the shingles
+   of every set in one order, the rarest in the bucket's nodes first, two linked sets share one of their first
+   ``size - ceil(percent * size / 100) + 1``. Unlike texts that share a frequent passage part there, no linked ones do.) So
+   a task holds a bounded number of shingles, or one text, nothing is cut off, and every two sets of a bucket that are
+   linked end in one component, whatever the bucket's size: the splits only save comparisons.
 6. Components by large-star and small-star steps, as in the SimHash operator.
 
 Defined results: null and empty texts and texts of blanks have size 0 and are components of their own; the component id is
@@ -44,8 +46,9 @@ BANDS, ROWS = 20, 5
 FIRST = 3
 #: Nodes and shingles of a block; at most two blocks meet in one task.
 NODES, SHINGLES = 500, 500_000
-#: Nodes of a bucket that splits by a second common band.
+#: Nodes of a bucket that splits by prefix shingles, and counters of the sketch that orders the shingles.
 AGAIN = 20_000
+COUNTERS = 1 << 18
 #: Columns of an incidence matrix.
 COLUMNS = 4_096
 
@@ -231,6 +234,44 @@ def _settled(routed: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return _checked(meet, texts, shingle, percent)
 
 
+def _hashed(words: bytes, shingle: int) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+    found = shingles(words, shingle)
+    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+def prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``node, gram`` (hashed) of the prefix of every set of ``texts(node, words)``.
+
+    Any one order of all shingles is right; that by a sketch of their frequencies (``COUNTERS`` sums) keeps prefixes rare."""
+    from zstandard import ZstdDecompressor
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, counts = ZstdDecompressor().decompress, np.zeros(COUNTERS, np.int64)
+        for part in (p for b in batches for p in slices(b, "words")):
+            for words in part.column("words").to_pylist():
+                np.add.at(counts, (_hashed(unpack(words), shingle) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["slot", "n"])
+
+    order = np.zeros(COUNTERS, np.int64)
+    for slot, n in texts.select("words").mapInArrow(sketch, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        order[slot] = n                                           # at most COUNTERS rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = ZstdDecompressor().decompress
+        for part in (p for b in batches for p in slices(b, "words")):
+            nodes, grams = [], []
+            for node, words in zip(part.column("node").to_pylist(), part.column("words").to_pylist()):
+                hashes = _hashed(unpack(words), shingle)
+                first = np.lexsort((hashes, order[(hashes % np.uint64(COUNTERS)).astype(np.int64)]))
+                keep = len(hashes) + percent * len(hashes) // -100 + 1        # size - ceil(...) + 1
+                nodes.append(np.full(min(keep, len(hashes)), node, np.int64))
+                grams.append(hashes[first[:keep]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(grams))], ["node", "gram"])
+    return texts.select("node", "words").mapInArrow(run, "node long, gram long")
+
+
 def labelled(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, label`` (smallest node of the component) for every node. Equal labels always mean one component; with few
     ``rounds`` a component may still have several, which only leaves more buckets open."""
@@ -266,9 +307,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col
         label = stable(labelled(nodes, links))
         left = routed(F.lit(True), label).join(hot.select("key", "all"), "key")
         left = stable(left.join(_open_buckets(left).select("key"), "key", "left_semi"))
-        again = (left.where(F.col("all") > AGAIN).join(met.select(F.col("key").alias("other"), "node"), "node").where("key <> other")
-                 .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "weight", "label")
-                 .distinct())
+        large = left.where(F.col("all") > AGAIN).select("key", "node", "weight", "label")
+        again = large.limit(0)
+        if large.limit(1).count():
+            held = stable(texts.join(large.select("node").distinct(), "node", "left_semi"))
+            again = large.join(prefixes(held, shingle, percent), "node").select(
+                F.xxhash64("key", "gram").alias("key"), "node", "weight", "label")
         direct = left.where(F.col("all") <= AGAIN).select("key", "node", "weight", "label")
         links = links.unionByName(stable(_settled(stable(direct.unionByName(again)), texts, shingle, percent)))
     named = sets.join(labelled(nodes, links), "node")

@@ -214,6 +214,23 @@ def test_minhash_equals_all_pairs(spark, monkeypatch, nodes, again):
     assert Counter(map(tuple, got)) == brute_components(rows, 3, 85)
 
 
+def test_minhash_links_of_a_large_bucket(spark, monkeypatch):
+    """Copies that meet in one band only, in a bucket beyond every limit, stay linked."""
+    for name, value in (("BANDS", 1), ("ROWS", 1), ("FIRST", 1), ("NODES", 3), ("AGAIN", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    from xxhash import xxh3_64_intdigest
+    first = lambda t: minhash.signature(np.array([xxh3_64_intdigest(g) for g in minhash.shingles(t.encode(), 3)], np.uint64), 1)[0]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for base in range(30):
+        own = [f"b{base}x{i}" for i in range(20)]
+        rows += [" ".join([passage, *own[:-1], last]) for last in ("one", "two", "three")]
+    rows = list(enumerate(t for t in rows if first(t) == first(passage)))
+    assert len(rows) > 30
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows, 3, 85)
+
+
 def test_minhash_odd_rows(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert Counter(map(tuple, got)) == brute_components([(r[0], r[1]) for r in ODD], 3, 85)
