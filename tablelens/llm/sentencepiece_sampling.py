@@ -28,10 +28,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tablelens.llm.common import query, scan, slices, table
@@ -41,7 +42,9 @@ SPACE = "▁"
 #: Cells of (unit, place, length) looked up at once.
 CELLS = 3_000_000
 #: Edges of known units that a worker keeps (28 bytes each).
-MEMORY = 2_000_000
+MEMORY = 3_000_000
+#: exp() is 0 below this: a decision so unlikely has no finite candidate value.
+LEAST_LOG = -746.0
 
 _GOLD, _M1, _M2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -55,14 +58,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def uniform(key: np.ndarray, a, b) -> np.ndarray:
     """Numbers in (0, 1) from a row key and two counters."""
+    return _drawn(_seeded(key, a), b)
+
+
+def _seeded(key: np.ndarray, a) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(key + _GOLD * (np.asarray(a, np.uint64) + np.uint64(1)))
+
+
+def _drawn(seeded: np.ndarray, b) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = mix(key + _GOLD * (np.asarray(a, np.uint64) + np.uint64(1)))
-        h = mix(h + _M1 * (np.asarray(b, np.uint64) + np.uint64(1)))
+        h = mix(seeded + _M1 * (np.asarray(b, np.uint64) + np.uint64(1)))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
 class Vocabulary:
-    """Pieces, weights and a hash table from strings (as rolling hashes) to piece ids."""
+    """Pieces, weights and a hash table from the beginnings of pieces (as rolling hashes) to piece ids."""
 
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
@@ -74,7 +85,8 @@ class Vocabulary:
         self.byte_of = {i: b for b, i in self.byte.items()}
         rank = np.array([max(0.0, -sp.get_score(i)) for i in range(n)])
         self.weight = np.where(rank < n, rank + RANK_OFFSET, n + RANK_OFFSET) ** -alpha
-        self.known, self.number = None, {}
+        self.log_weight = np.log(self.weight)
+        self.known, self.kept, self.number = None, Kept(), {}
         self.longest = max(len(self.pieces[i]) for i in normal)
         self.id = {self.pieces[i]: i for i in normal}
         raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode()
@@ -82,26 +94,42 @@ class Vocabulary:
         self.text = np.frombuffer(b"".join(raw), np.uint8)
         self.text_size = np.array([len(r) for r in raw], np.int64)
         self.text_at = np.cumsum(self.text_size) - self.text_size
-        size = 1 << 20
-        self.table, self.keys = np.full(2 * size, -1, np.int32), np.zeros(2 * size, np.uint64)
-        for i in normal:
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in self.pieces[i]:
-                    h = (h ^ np.uint64(ord(c))) * _GOLD
-                    h ^= h >> np.uint64(32)
-            for slot in (int(h) & (size - 1), size + (int(h) >> 20 & (size - 1))):
-                if self.table[slot] < 0:
-                    self.table[slot], self.keys[slot] = i, h
-                    break
-            else:
-                raise ValueError("no slot left for a piece")
+        self._index(normal)
+
+    def _index(self, normal: list[int]) -> None:
+        """Open addressing with linear steps; a code is 2 (id + 1), 0 instead if only longer pieces begin so, and 1 more
+        if longer ones do."""
+        sizes = np.array([len(self.pieces[i]) for i in normal], np.int64)
+        flat = np.frombuffer("".join(self.pieces[i] for i in normal).encode("utf-32-le"), np.uint32)
+        base, ids, h = np.cumsum(sizes) - sizes, np.array(normal, np.int64), np.zeros(len(normal), np.uint64)
+        keys, ends, longer = [], [], []
+        for n in range(1, self.longest + 1):
+            on = sizes >= n
+            base, sizes, ids, h = base[on], sizes[on], ids[on], _roll(h[on], flat[base[on] + n - 1])
+            keys.append(h)
+            ends.append(np.where(sizes == n, ids, -1))
+            longer.append(sizes > n)
+        keys, which = np.unique(np.concatenate(keys), return_inverse=True)
+        ends, longer = np.concatenate(ends), np.concatenate(longer)
+        code = np.zeros(len(keys), np.int32)
+        own = np.flatnonzero(ends >= 0)[::-1]                     # of equal pieces the first counts
+        code[which[own]] = 2 * (ends[own] + 1)
+        code[np.unique(which[longer])] += 1
+        size = 1 << max(10, (4 * len(keys)).bit_length())
+        self.table, self.keys, self.mask = np.zeros(size, np.int32), np.zeros(size, np.uint64), np.uint64(size - 1)
+        left, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.table[slot] == 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.table[slot[free]], self.keys[slot[free]] = code[left[free]], keys[left[free]]
+            left, slot = np.delete(left, free), np.delete(slot, free)
+            slot = (slot + 1) & (size - 1)
 
     def lattices(self, units: list[str]) -> tuple[Lattices, np.ndarray]:
         """Lattices that hold all of ``units``, and the number of each unit in them.
 
         A worker keeps those of the first units it meets, up to ``MEMORY`` edges (frequent units come early);
-        other new ones are added for this call alone.
+        other new ones are added for this call alone: the next call writes over them.
         """
         at = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
         unseen = np.flatnonzero(at < 0).tolist()
@@ -111,21 +139,32 @@ class Vocabulary:
         new = dict(zip(new, range(len(self.number), len(self.number) + len(new))))
         at[unseen] = [new[units[i]] for i in unseen]
         more = Lattices(list(new), self)
-        whole = more if self.known is None else self.known.plus(more)
+        whole = self.kept.plus(more)
         if len(whole.src) <= MEMORY or self.known is None:
             self.known = whole
+            self.kept.keep(whole)
             self.number.update(new)
         return whole, at
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        size = np.uint64((1 << 20) - 1)
-        slot = (h & size).astype(np.int64)
-        got = np.where(self.keys[slot] == h, self.table[slot], -1)
-        miss = np.flatnonzero((got < 0) & (self.table[slot] >= 0))
-        if len(miss):
-            second = ((h[miss] >> np.uint64(20)) & size).astype(np.int64) + (1 << 20)
-            got[miss] = np.where((self.keys[second] == h[miss]) & (self.table[second] >= 0), self.table[second], -1)
-        return got
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each string (-1: no piece) and whether a longer piece begins with it."""
+        slot = (h & self.mask).astype(np.int64)
+        code = self.table[slot]
+        open_ = np.flatnonzero((code > 0) & (self.keys[slot] != h))
+        while len(open_):
+            slot[open_] += 1
+            slot[open_] &= len(self.table) - 1
+            at = slot[open_]
+            code[open_] = self.table[at]
+            open_ = open_[(self.table[at] > 0) & (self.keys[at] != h[open_])]
+        return (code >> 1) - 1, (code & 1).astype(bool)
+
+
+def _roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one more character."""
+    with np.errstate(over="ignore"):
+        h = (h ^ codes.astype(np.uint64)) * _GOLD
+    return h ^ (h >> np.uint64(32))
 
 
 def units_of(text: str) -> list[str]:
@@ -143,6 +182,39 @@ def units_of(text: str) -> list[str]:
     return out + [run] if run else out
 
 
+def numbered_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``(distinct units, the number of every unit, units of each text)``: `units_of` all texts (empty: none) at once."""
+    parts = pc.split_pattern(pc.replace_substring(texts, SPACE, " "), " ")
+    count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = parts.flatten()
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if filled.all():
+        words = words.dictionary_encode()
+        return _marked(words.dictionary), words.indices.to_numpy().astype(np.int64), count
+    # a unit ends at every filled part and at a text's last one; the parts since the unit before are its blanks
+    end = filled.copy()
+    end[np.cumsum(count) - 1] = True
+    end = np.flatnonzero(end)
+    run = np.diff(end, prepend=-1)
+    doc = np.repeat(np.arange(len(texts)), count)[end]
+    real = pc.binary_length(texts).to_numpy(zero_copy_only=False)[doc] > 0
+    end, run, doc = end[real], run[real], doc[real]
+    one = run == 1
+    plain = words.take(pa.array(end[one])).dictionary_encode()
+    units = _marked(plain.dictionary)
+    numbers = np.empty(len(end), np.int64)
+    numbers[one] = plain.indices.to_numpy()
+    more: dict[str, int] = {}
+    numbers[~one] = [more.setdefault(SPACE * n + w, len(units) + len(more)) for n, w in zip(
+        run[~one].tolist(), words.take(pa.array(end[~one])).to_pylist())]
+    return units + list(more), numbers, np.bincount(doc, minlength=len(texts))
+
+
+def _marked(words: pa.Array) -> list[str]:
+    words = pc.binary_join_element_wise(pa.scalar(SPACE), words, pa.scalar(""))
+    return words.to_numpy(zero_copy_only=False).tolist()          # to_pylist makes a scalar of each first
+
+
 class Lattices:
     """Edges of distinct units. Row r is a place (unit, end); its edges are ``lo[r]:lo[r + 1]``, each with the
     row it comes from (-1: the unit's start), its piece (below 0: minus a character code, its bytes) and the
@@ -153,13 +225,14 @@ class Lattices:
         base = np.cumsum(sizes) - sizes                           # first row of a unit
         self.last = base + sizes - 1                              # the row of its end
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        rows, froms, pieces = [], [], []
+        n_rows = len(flat)
+        count = np.zeros(n_rows, np.int64)                        # edges of a row so far
+        rows, froms, pieces, ranks = [], [], [], []
         order = np.argsort(sizes, kind="stable")
         at = 0
         while at < len(order):                                    # chunks of units of about one length
-            stop = at + 1
-            while stop < len(order) and (stop + 1 - at) * sizes[order[stop]] <= CELLS // vocab.longest:
-                stop += 1
+            cells = np.arange(1, len(order) - at + 1) * sizes[order[at:]]      # ascending
+            stop = at + max(1, int(np.searchsorted(cells, CELLS // vocab.longest, side="right")))
             chunk = order[at:stop]
             begin = np.repeat(base[chunk], sizes[chunk])
             size = sizes[chunk]
@@ -168,69 +241,100 @@ class Lattices:
             left = np.repeat(size, size) - offset
             h = np.zeros(len(start), np.uint64)
             for n in range(1, vocab.longest + 1):
-                on = left >= n
-                if not on.all():
-                    start, begin, left, h = start[on], begin[on], left[on], h[on]
                 if not len(start):
                     break
-                h = (h ^ flat[start + n - 1].astype(np.uint64)) * _GOLD
-                h ^= h >> np.uint64(32)
-                got = vocab.find(h)
+                code = flat[start + n - 1]
+                h = _roll(h, code)
+                got, longer = vocab.find(h)
                 if n == 1:
-                    got = np.where(got < 0, -flat[start].astype(np.int64) - 1, got)
+                    got = np.where(got < 0, -code.astype(np.int64) - 1, got)
                     hit = np.arange(len(start))
                 else:
                     hit = np.flatnonzero(got >= 0)
-                rows.append(start[hit] + n - 1)
+                end = start[hit] + n - 1                          # no row twice
+                rows.append(end)
+                ranks.append(count[end])
+                count[end] += 1
                 froms.append(np.where(start[hit] == begin[hit], -1, start[hit] - 1))
                 pieces.append(got[hit])
+                on = np.flatnonzero(longer & (left > n))          # only where a longer piece may follow
+                start, begin, left, h = start[on], begin[on], left[on], h[on]
             at = stop
-        row, src, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, froms, pieces))
-        order = np.argsort(row, kind="stable")
-        self.row, self.src, self.piece = row, src, piece = [x[order].astype(np.int32) for x in (row, src, piece)]
-        n_rows = len(flat)
-        self.lo = np.r_[0, np.cumsum(np.bincount(row, minlength=n_rows))]
-        weight = vocab.weight[np.maximum(self.piece, 0)]
-        for e in np.flatnonzero(self.piece < 0).tolist():
-            weight[e] = np.prod([vocab.weight[vocab.byte[b]] for b in _bytes(-int(self.piece[e]) - 1)])
-        # sums of paths, place by place for all units at once, scaled by the largest of the longest.. rows
-        self.cond = np.zeros(len(row))
-        total = np.zeros(n_rows + 1)                              # log of the sum of paths; [-1]: a unit's start
-        logw = np.log(weight)
-        live = np.flatnonzero(sizes > 0)
-        by = live[np.argsort(-sizes[live], kind="stable")]
-        deep = -np.sort(-sizes[live])
-        for p in range(int(deep[0]) if len(deep) else 0):
-            here = base[by[:np.searchsorted(-deep, -p, side="left")]] + p
-            count = self.lo[here + 1] - self.lo[here]
-            edge = np.repeat(self.lo[here] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            first = np.cumsum(count) - count
-            term = total[self.src[edge]] + logw[edge]
+        row, src, piece, rank = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, froms, pieces, ranks))
+        self.lo = np.r_[0, np.cumsum(count)]
+        to = self.lo[row] + rank                                  # shorter pieces first
+        self.row = np.repeat(np.arange(n_rows, dtype=np.int32), count)
+        self.src, self.piece = np.empty(len(row), np.int32), np.empty(len(row), np.int32)
+        self.src[to], self.piece[to] = src, piece
+        logw = vocab.log_weight[np.maximum(piece, 0)]
+        odd = np.flatnonzero(piece < 0)
+        codes, which = np.unique(-piece[odd].astype(np.int64) - 1, return_inverse=True)
+        logw[odd] = np.log(np.array([np.prod([vocab.weight[vocab.byte[b]] for b in _bytes(c)]) for c in codes.tolist()]))[which]
+        # sums of paths, place by place for all units at once, scaled by the largest of a row: rows are numbered anew by
+        # (place, unit), units from long to short, so that a place's rows and edges lie end to end
+        turn = np.empty(len(sizes), np.int64)
+        turn[np.argsort(-sizes, kind="stable")] = np.arange(len(sizes))
+        place = np.arange(n_rows) - np.repeat(base, sizes)
+        at = np.r_[0, np.cumsum(np.bincount(place))]              # first row of a place
+        new = at[place] + np.repeat(turn, sizes)
+        count_new = np.empty(n_rows, np.int64)
+        count_new[new] = count
+        lo = np.r_[0, np.cumsum(count_new)]
+        to_new = lo[new[row]] + rank
+        src_new, logw_new, cond = np.empty(len(row), np.int64), np.empty(len(row)), np.empty(len(row))
+        src_new[to_new] = np.where(src < 0, n_rows, new[src])
+        logw_new[to_new] = logw
+        total = np.zeros(n_rows + 1)                              # log of the sum of paths; the last: a unit's start
+        for r, stop in zip(at[:-1].tolist(), at[1:].tolist()):
+            a, b = int(lo[r]), int(lo[stop])
+            first, many = lo[r:stop] - a, count_new[r:stop]
+            term = total[src_new[a:b]] + logw_new[a:b]
             top = np.maximum.reduceat(term, first)
-            term = np.exp(term - np.repeat(top, count))
+            term = np.exp(term - np.repeat(top, many))
             add = np.add.reduceat(term, first)
-            total[here] = top + np.log(add)
-            self.cond[edge] = term / np.repeat(add, count)
+            total[r:stop] = top + np.log(add)
+            cond[a:b] = term / np.repeat(add, many)
+        self.cond = np.empty(len(row))
+        self.cond[to] = cond[to_new]
         # added up row by row, so that a row's numbers do not depend on its neighbours
         self.upto = self.cond.copy()
-        place = np.arange(len(row)) - self.lo[row]
-        for j in range(1, int(place.max(initial=0)) + 1):
-            e = np.flatnonzero(place == j)
+        j, more = 1, np.flatnonzero(count > 1)
+        while len(more):
+            e = self.lo[more] + j
             self.upto[e] += self.upto[e - 1]
+            j += 1
+            more = more[count[more] > j]
         self.upto = self.upto.astype(np.float32)
 
+
+class Kept:
+    """Lattices laid end to end in arrays with room behind them, so that adding some copies no others."""
+
+    def __init__(self):
+        self.units = self.rows = self.edges = 0
+        self.arrays: dict[str, np.ndarray] = {}
+
     def plus(self, other: Lattices) -> Lattices:
-        """Both, with ``other``'s units, rows and edges numbered on."""
-        out = Lattices.__new__(Lattices)
-        rows, edges = len(self.lo) - 1, len(self.src)
-        out.last = np.concatenate([self.last, other.last + rows])
-        out.lo = np.concatenate([self.lo[:-1], other.lo + edges])
-        out.row = np.concatenate([self.row, other.row + np.int32(rows)])
-        out.src = np.concatenate([self.src, np.where(other.src < 0, other.src, other.src + np.int32(rows))])
-        for name in ("piece", "cond", "upto"):
-            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        """The kept ones and ``other``'s units, rows and edges, numbered on; the next call writes over these unless kept."""
+        out, rows, edges = Lattices.__new__(Lattices), self.rows, self.edges
+        for name, at, values in (
+                ("last", self.units, other.last + rows), ("lo", rows, other.lo + edges),
+                ("row", edges, other.row + np.int32(rows)),
+                ("src", edges, np.where(other.src < 0, other.src, other.src + np.int32(rows))),
+                *((name, edges, getattr(other, name)) for name in ("piece", "cond", "upto"))):
+            stop, array = at + len(values), self.arrays.get(name)
+            if array is None or len(array) < stop:
+                old, array = array, np.empty(stop + stop // 4, values.dtype)
+                if old is not None:
+                    array[:at] = old[:at]
+                self.arrays[name] = array
+            array[at:stop] = values
+            setattr(out, name, array[:stop])
         return out
 
+    def keep(self, all_: Lattices) -> None:
+        self.units, self.rows, self.edges = len(all_.last), len(all_.lo) - 1, len(all_.src)
+
 
 def _bytes(code: int) -> bytes:
     return chr(code).encode("utf-8", "replace")
@@ -253,21 +357,21 @@ def _walk(lat: Lattices, row: np.ndarray, key: np.ndarray, sample: int, unit_no:
     out = []
     keep = row >= 0
     who, row = who[keep], row[keep]
+    seeded = _seeded(key[who], np.uint64(sample) << np.uint64(40) | unit_no[who].astype(np.uint64))
     while len(who):
-        u = uniform(key[who], np.uint64(sample) << np.uint64(40) | unit_no[who].astype(np.uint64), step)
-        edge = _pick(lat, row, u)
+        edge = _pick(lat, row, _drawn(seeded, step))
         out.append((who, edge))
         row = lat.src[edge]
-        keep = row >= 0
-        who, row, step = who[keep], row[keep], step + 1
+        keep = np.flatnonzero(row >= 0)
+        who, row, seeded, step = who[keep], row[keep], seeded[keep], step + 1
     return out
 
 
-def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int):
+def sample_slice(texts: list[str] | pa.Array, keys: np.ndarray, vocab: Vocabulary, k: int):
     """Per text a list of ``(edges, unit numbers, log-probability, perturbed value)`` and its kappa (-inf: none left)."""
-    split = [units_of(t) if t else [] for t in texts]
-    count = np.array([len(s) for s in split], np.int64)
-    lat, flat = vocab.lattices(list(chain.from_iterable(split)))
+    units, flat, count = numbered_units(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    lat, at = vocab.lattices(units)
+    flat = at[flat]
     unit_lo = np.cumsum(count) - count
     doc = np.repeat(np.arange(len(texts)), count)
     unit_no = np.arange(len(flat)) - unit_lo[doc] if len(flat) else np.zeros(0, np.int64)
@@ -301,16 +405,18 @@ def sample_slice(texts: list[str], keys: np.ndarray, vocab: Vocabulary, k: int):
         for a, b in zip(lo.tolist(), hi.tolist()):                # by document: the same in any batch
             np.cumsum(logp[a:b], out=cum[a:b])
         before = cum - logp                                       # log-probability in front of a decision
-        spare = np.maximum(1.0 - p, 0.0)
-        r = lat.row[e]
-        spare[lat.lo[r + 1] - lat.lo[r] == 1] = 0.0
-        at = np.arange(len(d)) - np.repeat(lo, hi - lo)
-        open_ = (at >= np.repeat(first_open, hi - lo)) & (spare > 1e-15)
         g = np.full(len(d), -np.inf)
-        u = uniform(keys[d], (1 << 61) + sample, at)
-        cap = np.repeat(value, hi - lo)
+        open_ = np.flatnonzero((np.arange(len(d)) >= np.repeat(lo + first_open, hi - lo)) & (before > LEAST_LOG))
+        spare = np.maximum(1.0 - p[open_], 0.0)
+        r = lat.row[e[open_]]
+        some = (lat.lo[r + 1] - lat.lo[r] > 1) & (spare > 1e-15)
+        open_, spare = open_[some], spare[some]
+        number = np.empty(n, np.int64)
+        number[docs_in] = np.arange(len(docs_in))
+        j = number[d[open_]]
+        u = uniform(keys[d[open_]], (1 << 61) + sample, open_ - lo[j])
         with np.errstate(over="ignore", divide="ignore"):
-            g[open_] = -np.log(np.exp(-cap[open_]) - np.log(u[open_]) / (spare * np.exp(before))[open_])
+            g[open_] = -np.log(np.exp(-value[j]) - np.log(u) / (spare * np.exp(before[open_])))
         total = np.where(hi > lo, np.r_[cum, 0.0][np.maximum(hi - 1, 0)], 0.0)
         state.append({"docs": docs_in, "lo": lo, "hi": hi, "d": d, "un": un, "e": e, "before": before, "g": g,
                       "closed": {}})
@@ -446,8 +552,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
         for part in (p for b in batches for p in slices(b, "text", 500_000)):
-            docs_, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
-            lat, results, kappa = sample_slice(texts, row_keys(docs_, seed), vocab, k)
+            docs_, text = part.column("doc_id").to_pylist(), part.column("text").fill_null("")
+            lat, results, kappa = sample_slice(text, row_keys(docs_, seed), vocab, k)
             found = [(i, j, *f) for i, fs in enumerate(results) for j, f in enumerate(fs)]
             if not found:
                 continue
@@ -469,6 +575,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
                 spelled = vocab.text[np.repeat(vocab.text_at[flat] - (text_stop - sizes), sizes)
                                      + np.arange(int(sizes.sum()))].tobytes()
                 at = np.concatenate([[0], text_stop])[edge].tolist()
+                texts = text.to_pylist()
                 same = [spelled[a:b] == (" " + texts[i]).encode() if b > a else not texts[i]
                         for a, b, i in zip(at[:-1], at[1:], who)]
                 mid = [pa.array(np.diff(edge), pa.int64()),

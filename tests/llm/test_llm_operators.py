@@ -483,3 +483,43 @@ def test_inclusion_of_a_long_text(spark):
     df = spark.createDataFrame([(1, "segmentation of several words " * 800)], "doc_id long, text string")
     for r in sps.sample_segmentations(df, P.path("piece_bpe_32k.model"), k=2).collect():
         assert r.log_prob < -700 and r.inclusion == 0 and r.log_inclusion == pytest.approx(r.log_prob - r.kappa)
+
+
+def test_units_and_lattices_by_whole_slices():
+    vocab = sps.Vocabulary(P.path("piece_bpe_32k.model"))
+    texts = ["", " ", "two words", "  a  b ", "▁x ▁", "a\tb\nc d", "x", "漢字 ééé 😀", "two words"]
+    units, numbers, count = sps.numbered_units(sps.pa.array(texts))
+    assert [units[i] for i in numbers.tolist()] == [u for t in texts if t for u in sps.units_of(t)]
+    assert count.tolist() == [len(sps.units_of(t)) if t else 0 for t in texts] and len(units) == len(set(units))
+    lat = sps.Lattices(units, vocab)
+    for unit, last in zip(units, lat.last.tolist()):
+        begin = last + 1 - len(unit)
+        for stop in range(1, len(unit) + 1):
+            edges = slice(*lat.lo[begin + stop - 1:begin + stop + 1].tolist())
+            want = [(a, vocab.id[unit[a:stop]] if unit[a:stop] in vocab.id else -ord(unit[a]) - 1)
+                    for a in range(stop - 1, -1, -1) if unit[a:stop] in vocab.id or a == stop - 1]
+            assert [(s - begin + 1 if s >= 0 else 0, p) for s, p in zip(lat.src[edges].tolist(), lat.piece[edges].tolist())] == want
+
+
+def test_lattice_looks_up_no_more_than_beginnings_of_pieces(monkeypatch):
+    vocab, cells = sps.Vocabulary(P.path("piece_bpe_32k.model")), []
+    find = vocab.find
+    monkeypatch.setattr(vocab, "find", lambda h: cells.append(len(h)) or find(h))
+    units = ["▁" + "\x01" * 200, "▁" + "q" * 200]
+    sps.Lattices(units, vocab)
+    begins = {p[:n] for p in vocab.id for n in range(1, len(p))}
+    assert sum(cells) == sum(1 for u in units for a in range(len(u)) for n in range(1, len(u) - a + 1)
+                             if n == 1 or n <= vocab.longest and u[a:a + n - 1] in begins)
+
+
+def test_lattices_kept_up_to_memory(monkeypatch):
+    monkeypatch.setattr(sps, "MEMORY", 60)
+    few, whole = sps.Vocabulary(P.path("piece_bpe_32k.model")), sps.Vocabulary(P.path("piece_bpe_32k.model"))
+    slices_ = [["one two", "three"], ["four five two", ""], ["six seven one"], ["four one"]]
+    once = iter(sps.sample_slice([t for s in slices_ for t in s], sps.row_keys(list(range(6)), 1), whole, 2)[1])
+    at = 0
+    for texts in slices_:
+        _, found, _ = sps.sample_slice(texts, sps.row_keys(list(range(at, at + len(texts))), 1), few, 2)
+        assert [[f[2:] for f in fs] for fs in found] == [[f[2:] for f in next(once)] for _ in texts]
+        at += len(texts)
+    assert len(few.known.src) <= 60 < len(whole.known.src) or len(few.number) < len(whole.number)
