@@ -30,6 +30,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -183,14 +184,14 @@ class WordEncoder:
     """Ids of whole texts with a tokenizers file, with a bounded memory of words seen before.
 
     The tokenizer splits at white space before anything else, so a text's ids are its blank-separated
-    words' ids laid end to end. Words are looked up; of new ones, those of characters below U+0300 (which
+    words' ids laid end to end. A slice's distinct words are looked up; of new ones, those of characters below U+0300 (which
     composition leaves alone) are lower-cased and split by the file's own pattern, and their parts go to
     the library's model; any other goes through the whole tokenizer. Texts that hold an ASCII separator
     control or the opening of a special token are encoded as a whole.
     """
 
-    #: Python's split takes these for blanks, the tokenizer does not; ``<|`` may open a special token.
-    WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+    #: The split takes the first four for blanks, the tokenizer does not; ``<|`` may open a special token.
+    WHOLE = r"[\x1c-\x1f]|<\|"
 
     def __init__(self, path: str, memory: int = 1_000_000):
         import json
@@ -213,12 +214,17 @@ class WordEncoder:
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.memory = memory
         self.clear()
+        self.clear_parts()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def clear_parts(self) -> None:
+        #: Numbers of parts, and of words for the whole tokenizer as tuples of one.
+        self.pieces: dict[str | tuple[str], int] = {}
+        self.part_flat, self.part_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
     def _parts(self, word: str) -> list[str]:
         """A lower-cased word cut by the file's pattern; runs of letters, alone or before one mark, need no search."""
         if word.isalpha():
@@ -236,34 +242,70 @@ class WordEncoder:
 
     def _take(self, words: list[str]) -> None:
         own = [self.parts is not None and (w.isascii() or max(w) < "\u0300") for w in words]
-        cut = [self._parts(w.lower()) if o else [] for w, o in zip(words, own)]
+        cut = [self._parts(w.lower()) if o else [(w,)] for w, o in zip(words, own)]
         known, tokenize, letter = self.pieces, self.model.tokenize, self.letters.__getitem__
-        for part in set(chain.from_iterable(cut)).difference(known):
-            letters = part if part.isascii() and part.isprintable() else "".join(map(letter, part.encode()))
-            known[part] = [t.id for t in tokenize(letters)]
-        got = [known[c[0]] if len(c) == 1 else [i for p in c for i in known[p]] if o
-               else self.whole.encode(w, add_special_tokens=False).ids for w, c, o in zip(words, cut, own)]
+        parts = list(chain.from_iterable(cut))
+        new = list(set(parts).difference(known))
+        ids, sizes = [], []
+        for part in new:
+            if type(part) is tuple:
+                got = self.whole.encode(part[0], add_special_tokens=False).ids
+            else:
+                got = [t.id for t in tokenize(
+                    part if part.isascii() and part.isprintable() else "".join(map(letter, part.encode())))]
+            ids += got
+            sizes.append(len(got))
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        self.part_flat = np.concatenate([self.part_flat, np.array(ids, np.uint32)])
+        self.part_at = np.concatenate([self.part_at, self.part_at[-1] + np.cumsum(sizes, dtype=np.int64)])
+        k = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        flat, stop = _gather(self.part_flat, self.part_at, k)
+        stop = np.r_[0, stop][np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(list(map(len, got)), dtype=np.int64)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not any(c in t for c in self.WHOLE) for t in texts]
-        split = [t.split() if p else [] for t, p in zip(texts, plain)]
-        flat = list(chain.from_iterable(split))
+        self.flat = np.concatenate([self.flat, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + stop])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) laid end to end, each with ``end_id`` behind it, and their numbers."""
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        parts = pc.utf8_split_whitespace(pc.if_else(whole, "", texts) if odd else texts)
+        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        words = parts.flatten()
+        filled = pc.greater(pc.binary_length(words), 0)           # blanks at an end of a text leave an empty one
+        words, doc = words.filter(filled).dictionary_encode(), doc[filled.to_numpy(zero_copy_only=False)]
+        found = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.index) > self.memory:
             self.clear()
-        k = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        unseen = np.flatnonzero(k < 0).tolist()
-        if unseen:
-            self._learn(list({flat[i] for i in unseen}))
-            k[unseen] = [self.index[flat[i]] for i in unseen]
+        if len(self.pieces) > self.memory:
+            self.clear_parts()
+        k = np.fromiter(map(self.index.get, found, repeat(-1)), np.int64, len(found))
+        unseen = np.flatnonzero(k < 0)
+        if len(unseen):
+            k[unseen] = np.arange(len(self.index), len(self.index) + len(unseen))
+            self._learn([found[i] for i in unseen.tolist()])
+        k = k[words.indices.to_numpy()]
         size = self.at[k + 1] - self.at[k]
-        stop = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[k] - (stop - size), size) + np.arange(int(stop[-1]) if len(k) else 0)]
-        edge = np.r_[0, stop][np.cumsum([0] + [len(ws) for ws in split])]
-        return [ids[a:b] if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-                for a, b, t, p in zip(edge[:-1].tolist(), edge[1:].tolist(), texts, plain)]
+        own = {i: self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids for i in odd}
+        lengths = np.bincount(doc, size, len(texts)).astype(np.int64) + 1
+        lengths[odd] = [len(ids) + 1 for ids in own.values()]
+        stop = np.cumsum(lengths)
+        out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
+        free = np.ones(len(out), bool)                            # places of words' ids
+        free[stop - 1] = False
+        out[stop - 1] = end_id
+        for i, ids in own.items():
+            free[stop[i] - lengths[i]:stop[i]] = False
+            out[stop[i] - lengths[i]:stop[i] - 1] = ids
+        out[free] = _gather(self.flat, self.at, k)[0]
+        return out, lengths
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[at[i]:at[i + 1]]`` of all i in ``k`` end to end, and where each ends."""
+    size = at[k + 1] - at[k]
+    stop = np.cumsum(size)
+    return flat[np.repeat(at[k] - (stop - size), size) + np.arange(int(stop[-1]) if len(k) else 0)], stop
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -302,10 +344,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
                 (here, seq, docs_[0], start, int(lengths.sum()), blob), SEGMENTS_ARROW.types)], schema=SEGMENTS_ARROW)
 
         for part in (p for b in batches for p in slices(b, "text", SLICE_BYTES)):
-            ids = enc.encode([t or "" for t in part.column("text").to_pylist()])
-            lengths = np.array([len(i) + 1 for i in ids], np.int64)
-            tail = np.full(1, end_id, np.uint32)
-            words, first = encode(np.concatenate([x for i in ids for x in (i, tail)]), lengths)
+            ids, lengths = enc.encode(part.column("text").fill_null(""), end_id)
+            words, first = encode(ids, lengths)
             held.append((part.column("doc_id").to_pylist(), lengths, words, first))
             if sum(int(x[1].sum()) for x in held) >= SEGMENT_IDS:
                 n = sum(int(x[1].sum()) for x in held)

@@ -523,3 +523,25 @@ def test_lattices_kept_up_to_memory(monkeypatch):
         assert [[f[2:] for f in fs] for fs in found] == [[f[2:] for f in next(once)] for _ in texts]
         at += len(texts)
     assert len(few.known.src) <= 60 < len(whole.known.src) or len(few.number) < len(whole.number)
+
+
+def test_words_are_looked_up_once_a_slice():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counting.asked += 1
+            return super().get(*a)
+    from tokenizers import Tokenizer
+    path = P.path("word_bpe_49k.json")
+    whole, enc = Tokenizer.from_file(path), tokenids.WordEncoder(path, memory=8)
+    texts = ["the the the cat's  the ", "", "  the x́ <b>", "a\x1dthe <|endoftext|>", "ÀÉ12 the cat", "the\n"]
+    for some in (texts, texts[::-1], ["漢字 kanji " * 3] * 4, texts):                     # memory runs out between
+        enc.index = Counting(enc.index)
+        Counting.asked = 0
+        ids, lengths = enc.encode(tokenids.pa.array(some), 2)
+        assert Counting.asked <= len({w for t in some for w in t.split()})
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    ids, lengths = enc.encode(tokenids.pa.array([], tokenids.pa.string()), 2)
+    assert not len(ids) and not len(lengths)
