@@ -278,3 +278,74 @@ def test_tied_centroids_take_the_first(spark):
     z = spark.createDataFrame([(0.0,), (1.0,), (-1.0,)], "z0 double")
     got = kmeans._partial_sums(z, ["z0"], [np.array([[1.0], [-1.0]]), np.array([[0.0], [0.0]])], True)
     assert [got[i][0] for i in sorted(got)] == [2, 1, 3] and sorted(got) == [0, 1, 2]
+
+
+def _ordered_points(n: int, seed: int) -> np.ndarray:
+    x = np.random.default_rng(seed).random((n, 3))
+    return x[np.lexsort((x * 16).astype(int).T)]
+
+
+def test_cluster_sums_compare_few_rows(monkeypatch):
+    """Rows of a box that one centroid owns are added as a whole: the same sums with a small part of the comparisons."""
+    from tablelens.operators import kmeans
+    x, rng, compared, inner = _ordered_points(262_144, 5), np.random.default_rng(6), [], kmeans._nearest_rows
+    monkeypatch.setattr(kmeans, "_nearest_rows", lambda y, stack, *a: compared.append(y.shape[1] * len(stack)) or inner(y, stack, *a))
+    centers = [x[rng.choice(len(x), k, replace=False)] for k in (1, 2, 5, 5, 9, 9)]
+    stack, model = np.vstack(centers), np.repeat(np.arange(6), [len(c) for c in centers])
+    sums = np.zeros((len(stack), 6))
+    for part in (*np.split(x[:229_376], 7), x[229_376:262_100], x[262_100:]):         # the last but one ends in less than a block
+        kmeans._add_sums(sums, part, stack, model)
+    assert sum(compared) < len(x) * len(stack) / 2
+    for at, c in zip(np.cumsum([0, 1, 2, 5, 5, 9]), centers):
+        own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+        for i in range(len(c)):
+            mine = x[own == i]
+            assert sums[at + i, :-1] == pytest.approx([len(mine), *mine.sum(0), (mine ** 2).sum()])
+
+
+def test_cluster_sums_of_ties_and_far_rows():
+    from tablelens.operators import kmeans
+    rng = np.random.default_rng(7)
+    for x in (rng.integers(0, 3, (5_000, 2)).astype(float), rng.normal(size=(5_000, 2)) * 1e-3 + 100, np.ones((700, 2)),
+              np.vstack([rng.normal(size=(3_000, 2)), np.full((1, 2), 1e6)])):
+        stack = np.vstack([x[[0, 1, 2]], x[[0, 0, 3]], x[-2:]])    # equal centroids too
+        model = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+        sums = np.zeros((8, 5))
+        kmeans._add_sums(sums, x, stack, model)
+        for m in range(3):
+            c = stack[model == m]
+            own = ((c * c).sum(1)[:, None] - 2 * c @ x.T).argmin(0)
+            assert list(sums[model == m, 0]) == list(np.bincount(own, minlength=len(c)))
+
+
+def test_cluster_rows_follow_near_rows(spark, monkeypatch):
+    """Passes read packed records of rows in order of place, with the values and numbers of the table."""
+    from tablelens.operators import kmeans
+    x = np.random.default_rng(8).random((4_000, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    held, inner = [], kmeans.sweep
+    monkeypatch.setattr(kmeans, "sweep", lambda z, *a: held.append(z) or inner(z, *a))
+    assert SG.segment(df, list("abc"), Options(kmeans_restarts=2), k=3) is not None
+    cols = ["z0", "z1", "z2"]
+    for part in held[0].select(kmeans.in_order(cols).alias("k"), F.spark_partition_id().alias("p"), F.input_file_name().alias("f")) \
+            .groupBy("f").agg(F.collect_list("k").alias("ks")).collect():
+        assert part.ks == sorted(part.ks)
+    records = kmeans.packed(held[0], cols)
+    got = {}
+    for r in records.collect():
+        got.update(zip(np.frombuffer(r.rows, np.int64).tolist(), map(tuple, np.frombuffer(r.points).reshape(-1, 3))))
+    assert records.count() < 400 and got == {r[0]: tuple(r[1:]) for r in held[0].select("row", *cols).collect()}
+
+
+def test_cluster_draws_are_the_least_keys(spark):
+    """Draws that skip rows too near to matter are those of all keys."""
+    from tablelens.operators import kmeans
+    x = _ordered_points(3_000, 9)
+    z = spark.createDataFrame(pd.DataFrame(x, columns=["z0", "z1", "z2"])).withColumn("row", F.monotonically_increasing_id()).coalesce(1)
+    rows = z.select("row", "z0", "z1", "z2").collect()
+    row, x = np.array([r[0] for r in rows]), np.array([list(r)[1:] for r in rows])
+    known = {1: np.empty((0, 3)), 2: x[[5, 1_700]]}
+    got = kmeans._draw(kmeans.packed(z, ["z0", "z1", "z2"]), ["z0", "z1", "z2"], known, 12, 1)
+    for s, c in known.items():
+        key = -np.log(kmeans._uniform(row, s, 1)) / (kmeans._squared(x, c).min(1) if len(c) else 1.0)
+        assert sorted(map(tuple, got[s][len(c):])) == sorted(map(tuple, x[np.argsort(key)[:12]]))
