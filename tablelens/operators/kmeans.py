@@ -38,7 +38,7 @@ TOLERANCE, FINAL_TOLERANCE = 1e-4, 1e-6
 UNIT, BLOCK = 32_768, 64
 RECORD, PACKED = 192, ["rows", "points"]
 #: Records of a file: many small files are dealt to tasks more evenly than a few long ones.
-FILE = 8_192
+FILE = 4_096
 #: More than rounding can add to a squared distance, relative to the squares it is made of.
 ROUNDING = 1e-12
 
